@@ -11,7 +11,7 @@ Output column names are the reference's aliases verbatim.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.football import (AGGRESSION_BAND_LABELS, DRAW, REFEREE_BAND_LABELS, aggression,
@@ -19,6 +19,7 @@ from ..functions.football import (AGGRESSION_BAND_LABELS, DRAW, REFEREE_BAND_LAB
                                   implied_probs, points, pressure_side, strict_least)
 from ..functions.numeric import exact_mean, exact_stddev_pop, half_up_ratio, pct
 from ..operators.broadcast import small_dim
+from ..operators.filters import period_delta
 from ..operators.ntile import ntile_scalable
 from ..operators.perspective import team_view
 from ..sources.star import Star
@@ -59,7 +60,7 @@ def q1_consistency(star: Star, seasons: int = FULL_COVERAGE_SEASONS) -> DataFram
                 .agg(F.count(F.lit(1)).alias("seasons_played"),
                      F.sum("total_points").alias("s"),
                      F.sum(F.col("total_points") * F.col("total_points")).alias("ss"))
-                .where(F.col("seasons_played") == seasons))
+                .where(F.col("seasons_played") == seasons))   # one row per (team, season): count = distinct seasons
     avg = exact_mean("s", "seasons_played")
     var = exact_stddev_pop("seasons_played", "s", "ss")
     return (per_team.join(team_names(star), "team_id")
@@ -193,18 +194,6 @@ def prediction_rows(star: Star, bookmaker: str | None = None) -> DataFrame:
                      confidence_band(strict_least(*odds)).alias("confidence_level"))
 
 
-def season_deltas(df: DataFrame, order_col: str, cols: dict[str, str], scale: int = 2) -> DataFrame:
-    """Value minus previous period's (already rounded) value, rounded again.
-
-    The frame has one row per period, so the un-partitioned window is bounded
-    by the number of periods, not by the fact.
-    """
-    w = Window.orderBy(order_col)
-    for out, src in cols.items():
-        df = df.withColumn(out, F.round(F.col(src) - F.lag(src).over(w), scale))
-    return df
-
-
 def q6_bookmaker(star: Star, bookmaker: str | None = None) -> DataFrame:
     medium = F.col("confidence_level") == "medium"
     agg = (prediction_rows(star, bookmaker).groupBy("season_id")
@@ -215,7 +204,7 @@ def q6_bookmaker(star: Star, bookmaker: str | None = None) -> DataFrame:
                           pct("c", "n").alias("overall_prediction_accuracy_pct"),
                           F.col("mn").alias("medium_confidence_match_count"),
                           pct("mc", "mn").alias("medium_confidence_accuracy_pct")))
-    out = season_deltas(per_season, "season_name", {
+    out = period_delta(per_season, "season_name", {
         "overall_accuracy_change_pp": "overall_prediction_accuracy_pct",
         "medium_confidence_accuracy_change_pp": "medium_confidence_accuracy_pct"})
     return out.select("season_name", "overall_prediction_accuracy_pct", "overall_accuracy_change_pp",

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import fixture_star
 from .questions import QUESTIONS
+from .transforms import TRANSFORMS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,6 @@ def _on_star(job) -> QueryFn:
 
 def registry() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
-    for name, job in QUESTIONS.items():
+    for name, job in {**QUESTIONS, **TRANSFORMS}.items():
         out[name] = _on_star(job)
     return out
