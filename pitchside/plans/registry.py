@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.fixtures import fixture_star
 from .questions import QUESTIONS
 from .transforms import TRANSFORMS
+from .browser_stats import BROWSER_STATS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -28,6 +29,6 @@ def _on_star(job) -> QueryFn:
 
 def registry() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
-    for name, job in {**QUESTIONS, **TRANSFORMS}.items():
+    for name, job in {**QUESTIONS, **TRANSFORMS, **BROWSER_STATS}.items():
         out[name] = _on_star(job)
     return out
