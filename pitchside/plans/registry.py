@@ -15,6 +15,7 @@ from ..sources.fixtures import fixture_star
 from .questions import QUESTIONS
 from .transforms import TRANSFORMS
 from .browser_stats import BROWSER_STATS
+from .ingest_outputs import INGEST_OUTPUTS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
@@ -31,4 +32,5 @@ def registry() -> dict[str, QueryFn]:
     out: dict[str, QueryFn] = {}
     for name, job in {**QUESTIONS, **TRANSFORMS, **BROWSER_STATS}.items():
         out[name] = _on_star(job)
+    out.update(INGEST_OUTPUTS)
     return out
