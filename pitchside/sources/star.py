@@ -55,4 +55,11 @@ class Star:
 def read_star(spark: SparkSession, root: str) -> Star:
     """Open a star schema written by ``plans.ingest.write_star``."""
     tables = {name: spark.read.parquet(os.path.join(root, name)) for name in STAR_TABLES}
+    # match_odds may be stored partitioned by season (incremental loads); expose the declared columns.
+    tables["match_odds"] = tables["match_odds"].select("match_id", "bookmaker_id", *ODDS_COLUMNS)
     return Star(**tables)
+
+
+def star_exists(spark: SparkSession, root: str) -> bool:
+    from ..session import path_exists
+    return all(path_exists(spark, os.path.join(root, name)) for name in STAR_TABLES)
