@@ -15,8 +15,22 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
+_PROBES: dict[tuple, bool] = {}
+_MAX_PROBES = 4096
+
+
 def row_count_at_most(df: DataFrame, bound: int) -> bool:
-    return df.limit(bound + 1).count() <= bound
+    """``limit(bound + 1).count() <= bound``, remembered per logical plan (same files, same result)."""
+    try:
+        key = (df.sparkSession.sparkContext.applicationId, df.semanticHash(), bound)
+    except Exception:
+        key = None
+    if key is not None and key in _PROBES:
+        return _PROBES[key]
+    fits = df.limit(bound + 1).count() <= bound
+    if key is not None and len(_PROBES) < _MAX_PROBES:
+        _PROBES[key] = fits
+    return fits
 
 
 def small_dim(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS, known_rows: int | None = None) -> DataFrame:

@@ -27,7 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -76,16 +76,68 @@ class _Selector:
         self.buckets, self.final_rows, self.max_levels = buckets, final_rows, max_levels
         self.types = {f.name: f.dataType for f in df.schema.fields}
 
-    def row_at(self, rank: int, total: int) -> tuple:
-        """Order-column values of the row at 1-based ``rank``."""
+    def _bucket_key(self, col: Column, c: str, lo, hi):
+        if isinstance(self.types[c], NUMERIC):
+            span = float(hi) - float(lo)
+            b = F.floor((col.cast("double") - F.lit(float(lo))) / F.lit(span) * F.lit(float(self.buckets)))
+            return F.least(b.cast("long"), F.lit(self.buckets - 1)), self.buckets + 1
+        return col, self.buckets * 64 + 1
+
+    def _histogram(self, cand: DataFrame, c: str, lo, hi) -> list:
+        col = F.col(c)
+        key, limit = self._bucket_key(col, c, lo, hi)
+        hist = (cand.groupBy(key.alias("b"))
+                .agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+                .limit(limit).collect())
+        if len(hist) >= limit:
+            raise ValueError(f"ntile: too many distinct values in non-numeric order column {c}")
+        return sorted(hist, key=lambda r: r["lo"])
+
+    def first_level(self) -> tuple[int, int, object, object, list | None]:
+        """Total, NULL count, range and histogram of the first column, shared by every boundary.
+
+        A first column with at most ``buckets`` distinct values (the usual
+        bounded-domain key) gets its exact histogram in one pass; otherwise one
+        pass for the range and one for the equal-width histogram.
+        """
+        c = self.cols[0]
+        col = F.col(c)
+        exact = (self.df.groupBy(col.alias("v"))
+                 .agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
+                 .limit(self.buckets + 2).collect())
+        if len(exact) <= self.buckets + 1:
+            total = sum(r["n"] for r in exact)
+            nulls = sum(r["n"] for r in exact if r["v"] is None)
+            vals = sorted((r for r in exact if r["v"] is not None), key=lambda r: r["lo"])
+            lo = vals[0]["lo"] if vals else None
+            hi = vals[-1]["hi"] if vals else None
+            return total, nulls, lo, hi, vals
+        st = self.df.agg(F.count(F.lit(1)).alias("n"), F.count(col).alias("nn"),
+                         F.min(col).alias("lo"), F.max(col).alias("hi")).collect()[0]
+        hist = None
+        if st["nn"] > self.final_rows and st["lo"] != st["hi"]:
+            hist = self._histogram(self.df.where(col.isNotNull()), c, st["lo"], st["hi"])
+        return st["n"], st["n"] - st["nn"], st["lo"], st["hi"], hist
+
+    def narrow(self, rank: int, total: int, first: tuple | None = None) -> tuple:
+        """(predicate, k): a candidate set of at most ``final_rows`` rows holding the
+        row at 1-based ``rank`` as its k-th row."""
         pred, k, fixed = F.lit(True), rank, []
-        count, known = total, None   # known = (lo, hi) of the current column, no NULLs left
+        count, known, hist = total, None, None   # known = (lo, hi) of the current column, no NULLs left
+        if first is not None:
+            _, nulls, lo, hi, hist = first
+            c0 = F.col(self.cols[0])
+            if k <= nulls:
+                pred, count = c0.isNull(), nulls
+                fixed.append(None)
+                hist = None
+            else:
+                k -= nulls
+                pred, count, known = c0.isNotNull(), total - nulls, (lo, hi)
         for _ in range(self.max_levels):
             cand = self.df.where(pred)
             if count <= self.final_rows:
-                order = [F.col(c).asc_nulls_first() for c in self.cols]
-                row = cand.orderBy(*order).offset(k - 1).limit(1).collect()[0]
-                return tuple(row[c] for c in self.cols)
+                return pred, k
             i = len(fixed)
             if i >= len(self.cols):
                 raise ValueError("ntile order columns do not identify rows uniquely")
@@ -108,46 +160,65 @@ class _Selector:
             if lo == hi:
                 pred = pred & (col == F.lit(lo))
                 fixed.append(lo)
+                hist = None
                 continue
-            if isinstance(self.types[c], NUMERIC):
-                span = float(hi) - float(lo)
-                b = F.floor((col.cast("double") - F.lit(float(lo))) / F.lit(span) * F.lit(float(self.buckets)))
-                key = F.least(b.cast("long"), F.lit(self.buckets - 1))
-                limit = self.buckets + 1
-            else:
-                key, limit = col, self.buckets * 64 + 1
-            hist = (cand.groupBy(key.alias("b"))
-                    .agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-                    .limit(limit).collect())
-            if len(hist) >= limit:
-                raise ValueError(f"ntile: too many distinct values in non-numeric order column {c}")
-            hist.sort(key=lambda r: r["lo"])
+            if hist is None:
+                hist = self._histogram(cand, c, lo, hi)
             for h in hist:
                 if k <= h["n"]:
                     pred = pred & (col >= F.lit(h["lo"])) & (col <= F.lit(h["hi"]))
                     count, known = h["n"], (h["lo"], h["hi"])
                     break
                 k -= h["n"]
+            hist = None
         raise RuntimeError("ntile selection did not converge")
 
+    def pick(self, pending: list[tuple]) -> list[tuple]:
+        """Resolve every (predicate, k) in one job: rows of each candidate set are
+        numbered in order within their own window partition (at most
+        ``final_rows`` rows each) and the k-th row is kept."""
+        if not pending:
+            return []
+        order = [F.col(c).asc_nulls_first() for c in self.cols]
+        tagged = None
+        for i, (pred, k) in enumerate(pending):
+            part = self.df.where(pred).select(*self.cols, F.lit(i).alias("_sel"), F.lit(k).alias("_k"))
+            tagged = part if tagged is None else tagged.unionByName(part)
+        w = Window.partitionBy("_sel").orderBy(*order)
+        rows = (tagged.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == F.col("_k"))
+                .select("_sel", *self.cols).collect())
+        by_sel = {r["_sel"]: tuple(r[c] for c in self.cols) for r in rows}
+        return [by_sel[i] for i in range(len(pending))]
+
+
+def _has_shuffle(df: DataFrame) -> bool:
+    """Whether recomputing ``df`` would repeat a join, aggregation or window."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(op in plan for op in ("Join ", "Aggregate ", "Window ", "Sort ", "Expand "))
+
 
 def ntile_scalable(df: DataFrame, n: int, order_by: Sequence[str], out_col: str = "tile",
                    buckets: int = 1024, final_rows: int = 50_000, max_levels: int = 64,
-                   materialize: bool = True) -> DataFrame:
+                   materialize: bool | str = "auto") -> DataFrame:
     """Add ``out_col`` = NTILE(n) OVER (ORDER BY order_by ASC NULLS FIRST).
 
-    ``df`` is read several times (one count, a few histogram passes per
-    boundary); with ``materialize`` it is first written to the session's
-    checkpoint folder so those passes read the written rows, not the lineage.
+    ``df`` is read a few times (one pass for the total and the first
+    histogram, about one more per boundary). With ``materialize`` it is first
+    written to the session's checkpoint folder so those passes read the written
+    rows; ``"auto"`` does so only when recomputing ``df`` would repeat a
+    shuffle (a narrow scan is cheaper to read again than to write and read).
     """
+    if materialize == "auto":
+        materialize = _has_shuffle(df)
     if materialize:
         checkpoint_root(df.sparkSession)
         df = df.checkpoint(eager=True)
-    total = df.count()
+    sel = _Selector(df, order_by, buckets, final_rows, max_levels)
+    first = sel.first_level()
+    total = first[0]
     if total == 0:
         return df.withColumn(out_col, F.lit(None).cast("int"))
-    sel = _Selector(df, order_by, buckets, final_rows, max_levels)
-    thresholds = [sel.row_at(r, total) for r in tile_bounds(total, n)]
+    thresholds = sel.pick([sel.narrow(r, total, first) for r in tile_bounds(total, n)])
     tile = F.lit(1)
     for t in thresholds:
         tile = tile + tuple_after(order_by, t).cast("int")
