@@ -70,6 +70,19 @@ def tuple_after(cols: Sequence[str], values: Sequence) -> Column:
     return expr
 
 
+class _Boundary:
+    """Search state for one tile boundary: candidate predicate, rank inside it, values fixed so far."""
+
+    def __init__(self, rank: int):
+        self.rank = rank
+        self.k = rank
+        self.pred = F.lit(True)
+        self.count = 0
+        self.fixed: list = []
+        self.known = None     # (lo, hi) of the current column over the candidates, NULLs excluded
+        self.hist = None      # histogram of the current column over the candidates, if already known
+
+
 class _Selector:
     def __init__(self, df: DataFrame, cols: Sequence[str], buckets: int, final_rows: int, max_levels: int):
         self.df, self.cols = df, list(cols)
@@ -119,60 +132,100 @@ class _Selector:
             hist = self._histogram(self.df.where(col.isNotNull()), c, st["lo"], st["hi"])
         return st["n"], st["n"] - st["nn"], st["lo"], st["hi"], hist
 
-    def narrow(self, rank: int, total: int, first: tuple | None = None) -> tuple:
-        """(predicate, k): a candidate set of at most ``final_rows`` rows holding the
-        row at 1-based ``rank`` as its k-th row."""
-        pred, k, fixed = F.lit(True), rank, []
-        count, known, hist = total, None, None   # known = (lo, hi) of the current column, no NULLs left
-        if first is not None:
-            _, nulls, lo, hi, hist = first
-            c0 = F.col(self.cols[0])
-            if k <= nulls:
-                pred, count = c0.isNull(), nulls
-                fixed.append(None)
-                hist = None
+    def narrow_all(self, ranks: list[int], total: int, first: tuple) -> list[tuple]:
+        """(predicate, k) per rank: a candidate set of at most ``final_rows`` rows whose
+        k-th row is the row at that rank.
+
+        Level-synchronous: each level is one pass over the input for every
+        boundary still too wide (a conditional aggregation for ranges, one
+        tagged histogram for buckets), so n-1 boundaries cost the scans of one.
+        """
+        _, nulls, lo, hi, hist = first
+        c0 = F.col(self.cols[0])
+        bs = []
+        for rank in ranks:
+            b = _Boundary(rank)
+            if rank <= nulls:
+                b.pred, b.count, b.fixed = c0.isNull(), nulls, [None]
             else:
-                k -= nulls
-                pred, count, known = c0.isNotNull(), total - nulls, (lo, hi)
+                b.k, b.pred, b.count, b.known, b.hist = rank - nulls, c0.isNotNull(), total - nulls, (lo, hi), hist
+            bs.append(b)
         for _ in range(self.max_levels):
-            cand = self.df.where(pred)
-            if count <= self.final_rows:
-                return pred, k
-            i = len(fixed)
-            if i >= len(self.cols):
-                raise ValueError("ntile order columns do not identify rows uniquely")
-            c = self.cols[i]
-            col = F.col(c)
-            if known is None:
-                stats = cand.agg(F.count(F.lit(1)).alias("n"), F.count(col).alias("nn"),
-                                 F.min(col).alias("lo"), F.max(col).alias("hi")).collect()[0]
-                nulls = stats["n"] - stats["nn"]
-                if k <= nulls:
-                    pred, count = pred & col.isNull(), nulls
-                    fixed.append(None)
-                    continue
-                k -= nulls
-                pred = pred & col.isNotNull()
-                lo, hi, count = stats["lo"], stats["hi"], stats["nn"]
-            else:
-                lo, hi = known
-            known = None
-            if lo == hi:
-                pred = pred & (col == F.lit(lo))
-                fixed.append(lo)
-                hist = None
-                continue
-            if hist is None:
-                hist = self._histogram(cand, c, lo, hi)
-            for h in hist:
-                if k <= h["n"]:
-                    pred = pred & (col >= F.lit(h["lo"])) & (col <= F.lit(h["hi"]))
-                    count, known = h["n"], (h["lo"], h["hi"])
-                    break
-                k -= h["n"]
-            hist = None
+            active = [b for b in bs if b.count > self.final_rows]
+            if not active:
+                return [(b.pred, b.k) for b in bs]
+            for b in active:
+                if len(b.fixed) >= len(self.cols):
+                    raise ValueError("ntile order columns do not identify rows uniquely")
+            self._ranges([b for b in active if b.known is None])
+            for b in active:
+                if b.known is not None and b.known[0] == b.known[1]:
+                    c = F.col(self.cols[len(b.fixed)])
+                    b.pred = b.pred & (c == F.lit(b.known[0]))
+                    b.fixed.append(b.known[0])
+                    b.known, b.hist = None, None
+            split = [b for b in active if b.known is not None]
+            self._histograms([b for b in split if b.hist is None])
+            for b in split:
+                c = F.col(self.cols[len(b.fixed)])
+                for h in b.hist:
+                    if b.k <= h["n"]:
+                        b.pred = b.pred & (c >= F.lit(h["lo"])) & (c <= F.lit(h["hi"]))
+                        b.count, b.known = h["n"], (h["lo"], h["hi"])
+                        break
+                    b.k -= h["n"]
+                b.hist = None
         raise RuntimeError("ntile selection did not converge")
 
+    def _ranges(self, bs: list) -> None:
+        """One pass: row count, non-NULL count, min and max of each boundary's current column."""
+        if not bs:
+            return
+        aggs = []
+        for i, b in enumerate(bs):
+            c = F.col(self.cols[len(b.fixed)])
+            aggs += [F.count_if(b.pred).alias(f"n{i}"), F.count(F.when(b.pred, c)).alias(f"nn{i}"),
+                     F.min(F.when(b.pred, c)).alias(f"lo{i}"), F.max(F.when(b.pred, c)).alias(f"hi{i}")]
+        r = self.df.agg(*aggs).collect()[0]
+        for i, b in enumerate(bs):
+            c = F.col(self.cols[len(b.fixed)])
+            nulls = r[f"n{i}"] - r[f"nn{i}"]
+            if b.k <= nulls:
+                b.pred, b.count = b.pred & c.isNull(), nulls
+                b.fixed.append(None)
+                continue
+            b.k -= nulls
+            b.pred = b.pred & c.isNotNull()
+            b.count, b.known = r[f"nn{i}"], (r[f"lo{i}"], r[f"hi{i}"])
+
+    def _histograms(self, bs: list) -> None:
+        """One pass: each row is tagged with every boundary whose candidate set holds it
+        (sets may overlap), and counted per (boundary, bucket)."""
+        if not bs:
+            return
+        tags = F.array_compact(F.array(*[F.when(b.pred, F.lit(i)) for i, b in enumerate(bs)]))
+        any_pred = bs[0].pred
+        for b in bs[1:]:
+            any_pred = any_pred | b.pred
+        t = F.col("_t")
+        key = None
+        aggs = [F.count(F.lit(1)).alias("n")]
+        for i, b in enumerate(bs):
+            cname = self.cols[len(b.fixed)]
+            col = F.col(cname)
+            k, _ = self._bucket_key(col, cname, *b.known)
+            k = k.cast("string")
+            key = F.when(t == i, k) if key is None else key.when(t == i, k)
+            aggs += [F.min(F.when(t == i, col)).alias(f"lo{i}"), F.max(F.when(t == i, col)).alias(f"hi{i}")]
+        limit = len(bs) * (self.buckets * 64 + 1)
+        rows = (self.df.where(any_pred).select("*", F.explode(tags).alias("_t"))
+                .groupBy("_t", key.alias("_b")).agg(*aggs).limit(limit + 1).collect())
+        if len(rows) > limit:
+            raise ValueError("ntile: too many distinct values in a non-numeric order column")
+        for i, b in enumerate(bs):
+            mine = [{"n": r["n"], "lo": r[f"lo{i}"], "hi": r[f"hi{i}"]} for r in rows if r["_t"] == i]
+            b.hist = sorted(mine, key=lambda h: h["lo"])
+
     def pick(self, pending: list[tuple]) -> list[tuple]:
         """Resolve every (predicate, k) in one job: rows of each candidate set are
         numbered in order within their own window partition (at most
@@ -218,7 +271,7 @@ def ntile_scalable(df: DataFrame, n: int, order_by: Sequence[str], out_col: str
     total = first[0]
     if total == 0:
         return df.withColumn(out_col, F.lit(None).cast("int"))
-    thresholds = sel.pick([sel.narrow(r, total, first) for r in tile_bounds(total, n)])
+    thresholds = sel.pick(sel.narrow_all(tile_bounds(total, n), total, first))
     tile = F.lit(1)
     for t in thresholds:
         tile = tile + tuple_after(order_by, t).cast("int")

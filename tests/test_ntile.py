@@ -63,3 +63,10 @@ def test_no_single_partition_window_over_rows(spark):
     plan = ntile_scalable(df, 3, ["k", "id"])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
     assert "SinglePartition" not in plan
+
+
+def test_boundaries_sharing_one_hot_value(spark):
+    # 80% of the rows share one key, so several tile boundaries fall inside the same value
+    df = spark.range(0, 2000).select(
+        F.col("id"), F.when(F.col("id") % 5 != 0, F.lit(3)).otherwise(F.col("id") % 7).cast("int").alias("k"))
+    check(df, 5, ["k", "id"], final_rows=16, buckets=4)
