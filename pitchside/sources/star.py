@@ -63,3 +63,17 @@ def read_star(spark: SparkSession, root: str) -> Star:
 def star_exists(spark: SparkSession, root: str) -> bool:
     from ..session import path_exists
     return all(path_exists(spark, os.path.join(root, name)) for name in STAR_TABLES)
+
+
+def register_star_views(star: Star, prefix: str = "") -> list[str]:
+    """Expose the star's tables as temporary views (``match``, ``team``, ...) for ``spark.sql``.
+
+    SQL written for the reference's database runs with Spark's dialect: use
+    ``stddev_pop`` for its STDDEV and ``count_if`` / ``avg(cast(x AS INT))`` for
+    sums and averages of comparisons.
+    """
+    names = []
+    for name, df in star.tables().items():
+        df.createOrReplaceTempView(prefix + name)
+        names.append(prefix + name)
+    return names

@@ -46,3 +46,16 @@ def test_json_sink(spark, star001, tmp_path):
     assert {"season_name", "matches", "avg_total_goals"} <= set(rows[0])
     write_json(df, str(tmp_path / "q5"))
     assert spark.read.json(str(tmp_path / "q5")).count() == df.count()
+
+
+def test_sql_over_star_views(spark, star001):
+    from pitchside.plans.questions import q5_scoring
+    from pitchside.sources.star import register_star_views
+    register_star_views(star001, prefix="t_")
+    sql = spark.sql("""
+        SELECT s.name AS season_name, COUNT(*) AS matches,
+               ROUND(STDDEV_POP(m.full_time_home_goals + m.full_time_away_goals), 2) AS goal_variability
+        FROM t_match m JOIN t_season s ON s.season_id = m.season_id
+        GROUP BY s.name ORDER BY s.name""").collect()
+    df = q5_scoring(star001).select("season_name", "matches", "goal_variability").collect()
+    assert [tuple(r) for r in sql] == [tuple(r) for r in df]
