@@ -4,7 +4,6 @@ import datetime as dt
 from decimal import Decimal as D
 
 import pytest
-from pyspark.sql import functions as F
 
 from pitchside.plans.browser_stats import p3_trend
 from pitchside.plans.questions import (q1_consistency, q2_expected_points, q3_comebacks, q6_bookmaker,
