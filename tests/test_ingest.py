@@ -39,6 +39,8 @@ def season_dir(tmp_path):
     ])
     write(d, "season_2021_2022.csv", [
         line("14/08/2021", "Chelsea", "Man City", 1, 1, "D", 1, 0, "H", "M Dean", extra=("x", "y")),  # extra columns
+        line("15/08/2021", "Arsenal", "Chelsea", 3, 0, "H", 1, 0, "H", "M Dean", extra=("x", "y", "z")),  # one more: ignored
+        "E0,16/08/2021,Arsenal,Chelsea,1,0,H",                                          # short line: no HT goals
     ], header=HEADER + ",Extra1,Extra2")
     return d
 
@@ -55,10 +57,10 @@ def test_load_semantics(spark, season_dir, tmp_path):
     assert sorted(r.name for r in star.season.collect()) == ["2020-2021", "2021-2022"]
 
     m = star.match
-    assert m.count() == 5
+    assert m.count() == 6
     rejected = {r.reason: r.n for r in res.rejected.select(F.explode("reasons").alias("reason"))
                 .groupBy("reason").agg(F.count(F.lit(1)).alias("n")).collect()}
-    assert rejected == {"invalid full_time_result": 1, "invalid date": 1}
+    assert rejected == {"invalid full_time_result": 1, "invalid date": 1, "missing HTHG": 1, "missing HTAG": 1}
 
     rows = {(r.match_date.isoformat(), r.full_time_result, r.half_time_result, r.referee_id is None)
             for r in m.collect()}
