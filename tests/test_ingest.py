@@ -117,3 +117,20 @@ def test_audit_finds_violations(spark, star001):
     assert v["pk match.match_id"] == 3
     assert v["fk match.referee_id"] > 0
     assert v["fk match.home_team_id"] == 0
+
+
+def test_reload_one_season(spark, star001, tmp_path):
+    from dataclasses import replace
+    from pitchside.plans.ingest_star import reload_season, write_star
+    root = str(tmp_path / "star")
+    write_star(star001, root)
+    before = {r.season_id: r.n for r in read_star(spark, root).match.groupBy("season_id")
+              .agg(F.count(F.lit(1)).alias("n")).collect()}
+    # season 1997 arrives again with only its home wins: that partition alone is replaced
+    changed = replace(star001, match=star001.match.where(F.col("full_time_result") == "H"))
+    reload_season(spark, changed, root, 1997)
+    after = {r.season_id: r.n for r in read_star(spark, root).match.groupBy("season_id")
+             .agg(F.count(F.lit(1)).alias("n")).collect()}
+    expected_1997 = star001.match.where((F.col("season_id") == 1997) & (F.col("full_time_result") == "H")).count()
+    assert after[1997] == expected_1997 < before[1997]
+    assert {k: v for k, v in after.items() if k != 1997} == {k: v for k, v in before.items() if k != 1997}
