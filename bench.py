@@ -9,7 +9,8 @@ to the session's checkpoint folder (what the reference's loader does once),
 with the match and odds facts bucketed by match id;
 every question then reads the written tables, as the reference's questions
 read its database. ``q1_from_raw`` times one question computed straight from
-the raw tables in one plan, for comparison. Each question time is the median
+the raw tables in one plan, for comparison. ``ingest_csv`` times the season-file
+loader (I1-I11) on the same matches written out as CSV season files. Each question time is the median
 of ``BENCH_RUNS`` (default 3) executions, plan building included; so is the
 load (each run into a fresh folder; the questions read the last one).
 """
@@ -24,10 +25,11 @@ import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pitchside.plans.ingest import load_seasons  # noqa: E402
 from pitchside.plans.ingest_star import read_star_bucketed, write_star_bucketed  # noqa: E402
 from pitchside.plans.questions import QUESTIONS  # noqa: E402
 from pitchside.session import get_spark, scratch_path  # noqa: E402
-from pitchside.sources.fixtures import fixture_star  # noqa: E402
+from pitchside.sources.fixtures import fixture_star, raw_season_rows  # noqa: E402
 
 
 RUNS = int(os.environ.get("BENCH_RUNS", "3"))
@@ -65,6 +67,14 @@ def main() -> None:
     star = read_star_bucketed(spark, root)
     for name, job in QUESTIONS.items():
         timings[name] = median_time(lambda: job(star).collect(), RUNS)
+    # Season files: the projection rendered as CSV (one folder per season, untimed setup), then
+    # the whole file loader timed: header check, parse, clean/quarantine, dimensions, fact, odds, write.
+    csv_root = scratch_path(spark, "bench-seasons")
+    (raw_season_rows(spark, sf_dir).write.partitionBy("source_file").option("header", True)
+     .csv(csv_root))
+    timings["ingest_csv"] = median_time(
+        lambda: load_seasons(spark, csv_root, scratch_path(spark, "bench-ingested")), RUNS)
+
     timings["q1_from_raw"] = median_time(
         lambda: QUESTIONS["q1_consistency"](fixture_star(spark, sf_dir)).collect(), RUNS)
 
