@@ -26,6 +26,7 @@ in the reference's database.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,7 +34,8 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint_root
 
-NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
+INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+NUMERIC = INTEGRAL + (T.FloatType, T.DoubleType, T.DecimalType)
 
 
 def tile_bounds(total: int, n: int) -> list[int]:
@@ -90,10 +92,23 @@ class _Selector:
         self.types = {f.name: f.dataType for f in df.schema.fields}
 
     def _bucket_key(self, col: Column, c: str, lo, hi):
-        if isinstance(self.types[c], NUMERIC):
+        """Equal-width bucket of ``col`` over [lo, hi] (monotone in ``col``), and a result-size limit.
+
+        Integers use exact decimal(38,0) arithmetic, so 64-bit keys (hashed ids) keep
+        narrowing down to single values; fractional keys use doubles; other types and
+        ranges too narrow for doubles are grouped by value.
+        """
+        t = self.types[c]
+        if isinstance(t, INTEGRAL):
+            dec = "decimal(38,0)"
+            offset = (col.cast(dec) - F.lit(Decimal(int(lo))).cast(dec)) * F.lit(self.buckets)
+            width = F.lit(Decimal(int(hi) - int(lo) + 1)).cast(dec)
+            return F.call_function("div", offset, width), self.buckets + 1
+        if isinstance(t, NUMERIC):
             span = float(hi) - float(lo)
-            b = F.floor((col.cast("double") - F.lit(float(lo))) / F.lit(span) * F.lit(float(self.buckets)))
-            return F.least(b.cast("long"), F.lit(self.buckets - 1)), self.buckets + 1
+            if span > 0:
+                b = F.floor((col.cast("double") - F.lit(float(lo))) / F.lit(span) * F.lit(float(self.buckets)))
+                return F.least(b.cast("long"), F.lit(self.buckets - 1)), self.buckets + 1
         return col, self.buckets * 64 + 1
 
     def _histogram(self, cand: DataFrame, c: str, lo, hi) -> list:

@@ -70,3 +70,10 @@ def test_boundaries_sharing_one_hot_value(spark):
     df = spark.range(0, 2000).select(
         F.col("id"), F.when(F.col("id") % 5 != 0, F.lit(3)).otherwise(F.col("id") % 7).cast("int").alias("k"))
     check(df, 5, ["k", "id"], final_rows=16, buckets=4)
+
+
+def test_full_range_64_bit_tie_key(spark):
+    # hashed ids span the whole long range; tiny buckets force many exact narrowing levels
+    df = spark.range(0, 3000).select(F.xxhash64("id").alias("h"), (F.col("id") % 3).cast("int").alias("k"))
+    check(df, 4, ["k", "h"], final_rows=4, buckets=2)
+    check(df, 3, ["h"], final_rows=8, buckets=16)
