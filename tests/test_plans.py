@@ -59,3 +59,19 @@ def test_sql_over_star_views(spark, star001):
         GROUP BY s.name ORDER BY s.name""").collect()
     df = q5_scoring(star001).select("season_name", "matches", "goal_variability").collect()
     assert [tuple(r) for r in sql] == [tuple(r) for r in df]
+
+
+def test_hot_order_keys_path_gives_same_rows(spark):
+    from pitchside.sources.fixtures import hot_order_keys, match_source_rows
+    from tests.conftest import SF001
+    busiest = [r.l_orderkey for r in spark.read.parquet(f"{SF001}/lineitem.parquet").groupBy("l_orderkey")
+               .count().orderBy("count", ascending=False).limit(5).collect()]
+    plain = sorted(tuple(r) for r in match_source_rows(spark, SF001).collect())
+    split = sorted(tuple(r) for r in match_source_rows(spark, SF001, hot_keys=busiest).collect())
+    assert plain == split
+    assert hot_order_keys(spark.read.parquet(f"{SF001}/lineitem.parquet"), max_task_rows=3, sample_rows=10_000)
+
+
+def test_lineitem_shuffled_once(star001):
+    p = plan(q1_consistency(star001))
+    assert p.count("Exchange hashpartitioning(l_orderkey") == 1
