@@ -261,7 +261,10 @@ class _Selector:
 
 def _has_shuffle(df: DataFrame) -> bool:
     """Whether recomputing ``df`` would repeat a join, aggregation or window."""
-    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    try:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+    except Exception:          # no JVM handle (Spark Connect): materialize to be safe
+        return True
     return any(op in plan for op in ("Join ", "Aggregate ", "Window ", "Sort ", "Expand "))
 
 
