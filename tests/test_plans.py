@@ -72,6 +72,22 @@ def test_hot_order_keys_path_gives_same_rows(spark):
     assert hot_order_keys(spark.read.parquet(f"{SF001}/lineitem.parquet"), max_task_rows=3, sample_rows=10_000)
 
 
-def test_lineitem_shuffled_once(star001):
-    p = plan(q1_consistency(star001))
-    assert p.count("Exchange hashpartitioning(l_orderkey") == 1
+def test_copartitioned_projection_shuffles_lineitem_once(spark):
+    from pitchside.sources.fixtures import match_source_rows
+    from tests.conftest import SF001
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        p = plan(match_source_rows(spark, SF001, strategy="copartition"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    line_exchanges = [l for l in p.split("\n") if "Exchange hashpartitioning(l_" in l]
+    assert len(line_exchanges) == 2                          # by order key, then by supplier key
+    assert any("hashpartitioning(l_orderkey#" in l and "l_linenumber" not in l for l in line_exchanges)
+
+
+def test_projection_strategies_agree(spark):
+    from pitchside.sources.fixtures import match_source_rows
+    from tests.conftest import SF001
+    a = sorted(tuple(r) for r in match_source_rows(spark, SF001, strategy="aggregate").collect())
+    b = sorted(tuple(r) for r in match_source_rows(spark, SF001, strategy="copartition").collect())
+    assert a == b
