@@ -56,8 +56,8 @@ def main() -> None:
     print("below is its final job. `rangepartitioning` exchanges sort the final result (one row per team,")
     print("season, referee or band); Q6's `SinglePartition` exchange feeds its per-season lag window.")
     print("Every exchange over fact rows sits on a partial aggregate, except in the projection (the load).\n")
-    print("## Projection of the driver's tables (`match_source_rows`)\n")
-    for s in summarize(match_source_rows(spark, sf_dir)):
+    print("## Projection of the driver's tables (`match_source_rows`, co-partitioned plan used at scale)\n")
+    for s in summarize(match_source_rows(spark, sf_dir, strategy="copartition")):
         print(f"- {s}")
     for name, job in QUESTIONS.items():
         print(f"\n## {name}\n")
