@@ -134,3 +134,14 @@ def test_reload_one_season(spark, star001, tmp_path):
     expected_1997 = star001.match.where((F.col("season_id") == 1997) & (F.col("full_time_result") == "H")).count()
     assert after[1997] == expected_1997 < before[1997]
     assert {k: v for k, v in after.items() if k != 1997} == {k: v for k, v in before.items() if k != 1997}
+
+
+def test_distributed_id_assignment_matches_window(spark):
+    from pitchside.operators.conform import assign_ids
+    names = spark.range(0, 5000).select(F.format_string("name_%05d", (F.col("id") * 7919) % 5000).alias("name"))
+    existing = spark.createDataFrame([(41, "old")], "team_id long, name string")
+    small = {r.name: r.team_id for r in assign_ids(names.repartition(7), existing, "team_id", ["name"]).collect()}
+    big = {r.name: r.team_id for r in assign_ids(names.repartition(7), existing, "team_id", ["name"],
+                                                 single_task_rows=10).collect()}
+    assert small == big
+    assert sorted(small.values()) == list(range(42, 5042))
