@@ -11,7 +11,7 @@ every question then reads the written tables, as the reference's questions
 read its database. ``q1_from_raw`` times one question computed straight from
 the raw tables in one plan, for comparison. ``ingest_csv`` times the season-file
 loader (I1-I11) on the same matches written out as CSV season files. Each question time is the median
-of ``BENCH_RUNS`` (default 3) executions, plan building included; so is the
+of ``BENCH_RUNS`` (default 5) executions, plan building included; so is the
 load (each run into a fresh folder; the questions read the last one). One
 untimed pass of the projection warms the JVM first.
 """
@@ -33,7 +33,7 @@ from pitchside.session import get_spark, scratch_path  # noqa: E402
 from pitchside.sources.fixtures import fixture_star, raw_season_rows  # noqa: E402
 
 
-RUNS = int(os.environ.get("BENCH_RUNS", "3"))
+RUNS = int(os.environ.get("BENCH_RUNS", "5"))
 
 
 def median_time(fn, runs: int) -> float:
