@@ -117,3 +117,29 @@ def test_catalog(tiny):
     assert set(parts) == {"A", "B"}
     with pytest.raises(QuestionNotFound):
         run_question(tiny, "99")
+
+
+def test_q6_counts_every_bookmaker_q2_only_b365(spark, tiny):
+    from dataclasses import replace
+    other = spark.createDataFrame([(1, 2, D("9.00"), D("1.20"), D("9.00"))],
+                                  "match_id long, bookmaker_id long, home_win_odds decimal(6,2), "
+                                  "draw_odds decimal(6,2), away_win_odds decimal(6,2)")
+    books = spark.createDataFrame([(1, "B365", "Bet365"), (2, "XX", "Other")], "bookmaker_id long, code string, name string")
+    two = replace(tiny, match_odds=tiny.match_odds.unionByName(other), bookmaker=books)
+    q6_one = {r.season_name: r for r in q6_bookmaker(tiny).collect()}
+    q6_two = {r.season_name: r for r in q6_bookmaker(two).collect()}
+    # season 1 gains one prediction row (the other bookmaker picks D for match 1, actual H): 1 of 4 right
+    assert q6_one["2001-2002"].overall_prediction_accuracy_pct == 33.33
+    assert q6_two["2001-2002"].overall_prediction_accuracy_pct == 25.0
+    q2_one = {r.team_name: r.matches_considered for r in q2_expected_points(tiny, seasons=2).collect()}
+    q2_two = {r.team_name: r.matches_considered for r in q2_expected_points(two, seasons=2).collect()}
+    assert q2_one == q2_two                                  # Q2 reads B365 only (N4)
+
+
+def test_audit_flags_home_equals_away(spark, tiny):
+    from dataclasses import replace
+    from pyspark.sql import functions as F
+    from pitchside.operators.audit import audit
+    same = tiny.match.withColumn("away_team_id", F.when(F.col("match_id") == 1, F.lit(1)).otherwise(F.col("away_team_id")))
+    v = {r.rule: r.violations for r in audit(replace(tiny, match=same)).collect()}
+    assert v["check match.home_team_id <> away_team_id"] == 1   # T1 would count it twice (N11)
