@@ -43,6 +43,7 @@ def _scaled(col: str, places: int):
 
 
 def p1_quadrants(star: Star) -> DataFrame:
+    """Q4 teams placed in quadrants around the median win and loss rates."""
     win, loss = "win_rate_with_pressure_pct", "loss_rate_despite_pressure_pct"
     q4 = q4_pressure(star)
     med_w = F.median(_scaled(win, 2)).over(_all()) / F.lit(100.0)
@@ -58,6 +59,7 @@ def p1_quadrants(star: Star) -> DataFrame:
 
 
 def loss_class(loss_col) -> F.Column:
+    """P2 rule: loss rate above 25 Wasteful, above 15 Average, else Clinical."""
     c = F.coalesce(F.col(loss_col), F.lit(0.0))
     expr = None
     for name, limit in LOSS_CLASSES:
@@ -66,6 +68,7 @@ def loss_class(loss_col) -> F.Column:
 
 
 def p2_loss_class(star: Star) -> DataFrame:
+    """Loss class of each Q4 team."""
     return q4_pressure(star).select("team_name", "loss_rate_despite_pressure_pct",
                                     loss_class("loss_rate_despite_pressure_pct").alias("loss_class"))
 
@@ -93,6 +96,7 @@ def p3_trend(star: Star) -> DataFrame:
 
 
 def p4_outcome_split(star: Star) -> DataFrame:
+    """Win / draw / loss shares of half-time comebacks (Q3), loss as 100 - non-loss."""
     w = F.coalesce(F.col("win_comeback_pct"), F.lit(0.0))
     d = F.coalesce(F.col("draw_comeback_pct"), F.lit(0.0))
     nl = F.coalesce(F.nullif(F.col("non_loss_comeback_pct"), F.lit(0.0)), w + d)
@@ -103,6 +107,7 @@ def p4_outcome_split(star: Star) -> DataFrame:
 
 
 def p5_size(star: Star) -> DataFrame:
+    """P5: bubble size of each Q4 team, clamped between 6 and 22."""
     m = F.greatest(F.lit(1), F.coalesce(F.col("matches_with_pressure"), F.lit(1))).cast("double")
     r = F.greatest(F.lit(RADIUS_MIN), F.least(F.lit(RADIUS_MAX), F.sqrt(m) * F.lit(RADIUS_SCALE)))
     return q4_pressure(star).select("team_name", "matches_with_pressure", r.alias("bubble_radius"))
@@ -122,10 +127,12 @@ def preview(df: DataFrame, order_cols: list, rows: int = PREVIEW_ROWS) -> DataFr
 
 
 def p6_preview(star: Star) -> DataFrame:
+    """Numbered first 50 rows of the per-team season points, with total and hidden counts."""
     return preview(t2_season_points(star), ["team_name", "season_name"])
 
 
 def p7_series(star: Star) -> DataFrame:
+    """Q5 and Q6 season metrics laid out as labelled series."""
     def series(df, pairs):
         cols = [F.col(c).cast("double").alias(label) for label, c in pairs]
         return df.select("season_name", *cols).unpivot(["season_name"], [label for label, _ in pairs],
@@ -140,11 +147,13 @@ def to_number(col: str):
 
 
 def p9_numeric_coercion(star: Star) -> DataFrame:
+    """Q6 values with NULL / non-numeric / infinite turned into 0 for charting."""
     q6 = q6_bookmaker(star)
     return q6.select("season_name", *[to_number(c).alias(c) for c in q6.columns if c != "season_name"])
 
 
 def p10_ranked(star: Star) -> DataFrame:
+    """P10: Q2 teams ranked by points over expectation per game."""
     q2 = q2_expected_points(star)
     key = F.coalesce(F.col("points_over_expected_per_game"), F.lit(0.0))
     return q2.select("team_name", "points_over_expected_per_game", "avg_actual_points_per_game",

@@ -34,10 +34,12 @@ ODDS_BOOKMAKER = "B365"
 
 
 def team_names(star: Star) -> DataFrame:
+    """Size-checked broadcast of (team_id, team_name)."""
     return small_dim(star.team.select("team_id", F.col("name").alias("team_name")))
 
 
 def season_names(star: Star) -> DataFrame:
+    """Size-checked broadcast of (season_id, season_name)."""
     return small_dim(star.season.select("season_id", F.col("name").alias("season_name")))
 
 
@@ -56,6 +58,7 @@ def team_season_points(star: Star) -> DataFrame:
 
 
 def q1_consistency(star: Star, seasons: int = FULL_COVERAGE_SEASONS) -> DataFrame:
+    """Q1: per team with all seasons, mean season points, population spread, mean / (1 + spread)."""
     per_team = (team_season_points(star).groupBy("team_id")
                 .agg(F.count(F.lit(1)).alias("seasons_played"),
                      F.sum("total_points").alias("s"),
@@ -83,6 +86,7 @@ def priced_matches(star: Star, bookmaker: str | None = ODDS_BOOKMAKER) -> DataFr
 
 
 def q2_expected_points(star: Star, seasons: int = FULL_COVERAGE_SEASONS, bookmaker: str = ODDS_BOOKMAKER) -> DataFrame:
+    """Q2: actual league points against points implied by the bookmaker's margin-free odds."""
     tv = team_view(priced_matches(star, bookmaker),
                    {"expected_points": (expected_points("p_home", "p_draw"), expected_points("p_away", "p_draw"))},
                    keep=["season_id", "full_time_result"])
@@ -120,6 +124,7 @@ def half_time_deficits(star: Star) -> DataFrame:
 
 
 def q3_comebacks(star: Star, min_games: int = MIN_HT_DEFICITS) -> DataFrame:
+    """Q3: how often a team trailing at half time wins, draws or avoids defeat."""
     agg = (half_time_deficits(star).groupBy("team_id")
            .agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("w"), F.count_if("drew").alias("d"))
            .where(F.col("n") >= min_games))
@@ -145,6 +150,7 @@ def pressure_rows(star: Star) -> DataFrame:
 
 
 def pressure_counts(star: Star, min_matches: int = MIN_PRESSURE_MATCHES) -> DataFrame:
+    """Per pressing team: matches, wins, draws and losses when it had more shots on target."""
     return (pressure_rows(star).groupBy("team_id")
             .agg(F.count(F.lit(1)).alias("n"), F.count_if("won").alias("w"),
                  F.count_if("drew").alias("d"), F.count_if("lost").alias("l"))
@@ -152,6 +158,7 @@ def pressure_counts(star: Star, min_matches: int = MIN_PRESSURE_MATCHES) -> Data
 
 
 def q4_pressure(star: Star, min_matches: int = MIN_PRESSURE_MATCHES) -> DataFrame:
+    """Q4: win / draw / loss rates of teams with more shots on target than the opponent."""
     n, w, d, l = (F.col(c) for c in "nwdl")
     return (pressure_counts(star, min_matches).join(team_names(star), "team_id")
             .select("team_name", n.alias("matches_with_pressure"), w.alias("wins_with_pressure"),
@@ -164,6 +171,7 @@ def q4_pressure(star: Star, min_matches: int = MIN_PRESSURE_MATCHES) -> DataFram
 
 # ---------------------------------------------------------------- Q5
 def q5_scoring(star: Star) -> DataFrame:
+    """Q5: per season, average goals (total, home, away, by half), shares and spread."""
     hg, ag = F.col("full_time_home_goals"), F.col("full_time_away_goals")
     ht = F.col("half_time_home_goals") + F.col("half_time_away_goals")
     agg = (star.match.groupBy("season_id")
@@ -195,6 +203,7 @@ def prediction_rows(star: Star, bookmaker: str | None = None) -> DataFrame:
 
 
 def q6_bookmaker(star: Star, bookmaker: str | None = None) -> DataFrame:
+    """Q6: per season, how often the favourite won, overall and at medium confidence, with changes."""
     medium = F.col("confidence_level") == "medium"
     agg = (prediction_rows(star, bookmaker).groupBy("season_id")
            .agg(F.count(F.lit(1)).alias("n"), F.count_if("correct").alias("c"),
@@ -227,6 +236,7 @@ def team_match_aggression(star: Star) -> DataFrame:
 
 
 def q7a_aggression(star: Star, min_matches: int = MIN_TEAM_MATCHES) -> DataFrame:
+    """Q7A: per team, average aggression index, fouls, cards, points and goal difference."""
     agg = (team_match_aggression(star).groupBy("team_id")
            .agg(F.count(F.lit(1)).alias("n"),
                 F.sum("points").alias("sp"), F.sum("goal_diff").alias("sgd"),
@@ -253,6 +263,7 @@ def aggression_tiles(star: Star, n: int = 3) -> DataFrame:
 
 
 def q7b_aggression_bands(star: Star) -> DataFrame:
+    """Q7B: team-match rows in aggression terciles and the outcomes of each band."""
     pts = F.col("points")
     agg = (aggression_tiles(star).groupBy("aggression_tercile")
            .agg(F.count(F.lit(1)).alias("n"), F.sum("aggression_index").alias("sag"),
@@ -287,6 +298,7 @@ def referee_seasons(star: Star) -> DataFrame:
 
 
 def q8a_referees(star: Star) -> DataFrame:
+    """Q8A: per referee, card means over season means, their spread and per-match extremes."""
     rs = referee_seasons(star).select(
         "*", (F.col("sy") / F.col("n")).alias("my"), (F.col("sr") / F.col("n")).alias("mr"))
     ro = (rs.groupBy("referee_id")
@@ -320,6 +332,7 @@ def referee_strictness(star: Star, min_matches: int = MIN_REFEREE_MATCHES) -> Da
 
 
 def q8b_referee_bands(star: Star, min_matches: int = MIN_REFEREE_MATCHES) -> DataFrame:
+    """Q8B: match outcomes under low / medium / high card-intensity referees."""
     ranked = ntile_scalable(referee_strictness(star, min_matches), 3,
                             ["ref_avg_weighted_cards", "referee_id"], out_col="card_intensity_tile")
     agg = (ranked.groupBy("card_intensity_tile")

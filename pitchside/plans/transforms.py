@@ -26,6 +26,7 @@ MIN_TEAM_MATCHES_SPLIT = 3000
 
 
 def t1_team_view(star: Star) -> DataFrame:
+    """Both team-perspective rows of every match."""
     m = star.match.select("match_id", "season_id", "home_team_id", "away_team_id",
                           "full_time_home_goals", "full_time_away_goals", "home_shots_on_target",
                           "away_shots_on_target", "home_fouls", "away_fouls", "home_yellow_cards",
@@ -35,15 +36,18 @@ def t1_team_view(star: Star) -> DataFrame:
 
 
 def t2_season_points(star: Star) -> DataFrame:
+    """League points per team and season."""
     return (team_season_points(star).join(team_names(star), "team_id").join(season_names(star), "season_id")
             .select("team_name", "season_name", "total_points"))
 
 
 def t3_implied_probs(star: Star) -> DataFrame:
+    """Margin-free outcome probabilities of every priced match."""
     return priced_matches(star, ODDS_BOOKMAKER).select("match_id", "p_home", "p_draw", "p_away")
 
 
 def t4_expected_points(star: Star) -> DataFrame:
+    """T4: actual and odds-expected points per team and season."""
     tv = team_view(priced_matches(star, ODDS_BOOKMAKER),
                    {"expected_points": (expected_points("p_home", "p_draw"), expected_points("p_away", "p_draw"))},
                    keep=["season_id", "full_time_result"])
@@ -65,15 +69,18 @@ def _prediction_counts(star: Star, label_col: str, label) -> DataFrame:
 
 
 def t5_favourite(star: Star) -> DataFrame:
+    """T5: favourite picks per season and how many were right."""
     return _prediction_counts(star, "predicted_result", favourite("home_win_odds", "draw_odds", "away_win_odds"))
 
 
 def t6_confidence(star: Star) -> DataFrame:
+    """Confidence bands per season and how many picks were right."""
     return _prediction_counts(star, "confidence_level",
                               confidence_band(strict_least("home_win_odds", "draw_odds", "away_win_odds")))
 
 
 def t7_pressure_side(star: Star) -> DataFrame:
+    """Pressing side per season and how often it won."""
     ps = pressure_side("home_shots_on_target", "away_shots_on_target")
     agg = (star.match.select("season_id", ps.alias("pressure_side"),
                              (ps == F.col("full_time_result")).alias("converted"))
@@ -83,11 +90,13 @@ def t7_pressure_side(star: Star) -> DataFrame:
 
 
 def t8_aggression(star: Star) -> DataFrame:
+    """Team-match rows and points per aggression index value (NULL included)."""
     return (team_match_aggression(star).groupBy("aggression_index")
             .agg(F.count(F.lit(1)).alias("team_match_rows"), F.sum("points").alias("points")))
 
 
 def t9_cards(star: Star) -> DataFrame:
+    """Yellow, red and weighted card totals per season (NULL as 0)."""
     m = star.match.select(
         "season_id",
         card_total("home_yellow_cards", "away_yellow_cards").alias("y"),
@@ -117,6 +126,7 @@ def t11_band_label(star: Star) -> DataFrame:
 
 
 def t12_coverage(star: Star, seasons: int = FULL_COVERAGE_SEASONS) -> DataFrame:
+    """Teams present in every season."""
     m = star.match.select("season_id", "home_team_id", "away_team_id")
     tv = team_view(m, keep=["season_id"])
     return (with_full_coverage(tv, "team_id", "season_id", seasons).join(team_names(star), "team_id")
@@ -124,12 +134,14 @@ def t12_coverage(star: Star, seasons: int = FULL_COVERAGE_SEASONS) -> DataFrame:
 
 
 def t13_min_sample(star: Star, n: int = MIN_TEAM_MATCHES_SPLIT) -> DataFrame:
+    """Teams with at least n team-match rows."""
     tv = team_view(star.match.select("home_team_id", "away_team_id"))
     counts = tv.groupBy("team_id").agg(F.count(F.lit(1)).alias("team_matches"))
     return min_sample(counts, "team_matches", n).join(team_names(star), "team_id").select("team_name", "team_matches")
 
 
 def t14_delta(star: Star) -> DataFrame:
+    """Average goals per season and its change from the previous season."""
     total = F.col("full_time_home_goals") + F.col("full_time_away_goals")
     agg = star.match.groupBy("season_id").agg(F.count(F.lit(1)).alias("n"), F.sum(total).alias("g"))
     per_season = (agg.join(season_names(star), "season_id")
@@ -138,6 +150,7 @@ def t14_delta(star: Star) -> DataFrame:
 
 
 def t15_rates(star: Star) -> DataFrame:
+    """Win / draw / loss rates per team."""
     tv = team_view(star.match.select("home_team_id", "away_team_id", "full_time_result"),
                    keep=["full_time_result"])
     ftr, side = F.col("full_time_result"), F.col("side")
