@@ -145,3 +145,14 @@ def test_distributed_id_assignment_matches_window(spark):
                                                  single_task_rows=10).collect()}
     assert small == big
     assert sorted(small.values()) == list(range(42, 5042))
+
+
+def test_copies_of_a_line_are_separate_matches(spark, tmp_path):
+    d = str(tmp_path / "copies")
+    same = line("12/09/2020", "Man City", "Arsenal", 2, 1, "H", 1, 0, "H", "M Dean")
+    write(d, "season_2020_2021.csv", [same] * 5 + [line("13/09/2020", "Chelsea", "Arsenal", 0, 0, "D", 0, 0, "D", "M Dean")])
+    star = load_seasons(spark, d).star
+    assert star.match.select("match_id").distinct().count() == 6
+    assert star.match.join(star.match_odds, "match_id").count() == 6     # one odds row each, no pairs of copies
+    v = {r.rule: r.violations for r in audit(star).collect()}
+    assert v["pk match.match_id"] == 0 and v["duplicate match content"] == 4
