@@ -91,3 +91,26 @@ def test_projection_strategies_agree(spark):
     a = sorted(tuple(r) for r in match_source_rows(spark, SF001, strategy="aggregate").collect())
     b = sorted(tuple(r) for r in match_source_rows(spark, SF001, strategy="copartition").collect())
     assert a == b
+
+
+def test_bucketed_star_joins_odds_without_exchange(spark, star001, tmp_path):
+    from pitchside.plans.ingest_star import read_star_bucketed, write_star_bucketed
+    from pitchside.plans.questions import q2_expected_points, q6_bookmaker
+    write_star_bucketed(star001, str(tmp_path / "star"), buckets=4, table_prefix="t_bucketed_")
+    star = read_star_bucketed(spark, str(tmp_path / "star"), table_prefix="t_bucketed_")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for job in (q2_expected_points, q6_bookmaker):
+            p = plan(job(star))
+            assert "SortMergeJoin" in p
+            assert "hashpartitioning(match_id" not in p          # both facts already bucketed by match_id
+            assert sorted(map(tuple, job(star).collect())) == sorted(map(tuple, job(star001).collect()))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_small_dim_hints_only_within_bound(spark):
+    from pitchside.operators.broadcast import small_dim
+    df = spark.range(0, 100)
+    assert "broadcast" in small_dim(df, max_rows=1000)._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in small_dim(df, max_rows=10)._jdf.queryExecution().analyzed().toString().lower()
