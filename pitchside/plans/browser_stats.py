@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.star import Star
-from .questions import q2_expected_points, q3_comebacks, q4_pressure, q5_scoring, q6_bookmaker, q7a_aggression
+from .questions import (q2_expected_points, q3_comebacks, q4_pressure, q5_scoring, q6_bookmaker, q7a_aggression,
+                        q8a_referees)
 from .transforms import t2_season_points
 
 # Fixed values of the reference's charts: quadrant names, loss-class names and
@@ -137,7 +138,8 @@ def p7_series(star: Star) -> DataFrame:
         cols = [F.col(c).cast("double").alias(label) for label, c in pairs]
         return df.select("season_name", *cols).unpivot(["season_name"], [label for label, _ in pairs],
                                                         "series", "value")
-    return series(q5_scoring(star), Q5_SERIES).unionByName(series(q6_bookmaker(star), Q6_SERIES))
+    out = series(q5_scoring(star), Q5_SERIES).unionByName(series(q6_bookmaker(star), Q6_SERIES))
+    return out.orderBy("series", "season_name")          # seasons ascending within each series
 
 
 def to_number(col: str):
@@ -161,6 +163,14 @@ def p10_ranked(star: Star) -> DataFrame:
                      F.row_number().over(Window.orderBy(key.desc(), F.col("team_name"))).cast("long").alias("chart_rank"))
 
 
+def p10_ranked_referees(star: Star) -> DataFrame:
+    """P10: Q8A referees ranked by yellow cards per match (highest first)."""
+    q8a = q8a_referees(star)
+    key = F.coalesce(F.col("avg_yellow_cards_per_match"), F.lit(0.0))
+    return q8a.select("referee_name", "avg_yellow_cards_per_match", "avg_red_cards_per_match",
+                      F.row_number().over(Window.orderBy(key.desc(), F.col("referee_name"))).cast("long").alias("chart_rank"))
+
+
 BROWSER_STATS = {
     "p1_quadrants": p1_quadrants,
     "p2_loss_class": p2_loss_class,
@@ -171,4 +181,5 @@ BROWSER_STATS = {
     "p7_series": p7_series,
     "p9_numeric_coercion": p9_numeric_coercion,
     "p10_ranked": p10_ranked,
+    "p10_ranked_referees": p10_ranked_referees,
 }
