@@ -3,6 +3,7 @@
     python -m pitchside load <season_csv_dir> <star_root>
     python -m pitchside list
     python -m pitchside ask <question_id> <star_root> [--json <out_dir>] [--rows 50]
+    python -m pitchside ask <question_id> --from-tables <sf_dir>     (star derived from the driver's tables)
 
 ``ask`` prints a numbered preview of each part (P6) and optionally writes the
 whole result as JSON Lines (P8). No server is started.
@@ -23,7 +24,8 @@ def main(argv: list[str] | None = None) -> int:
     sub.add_parser("list", help="list the questions")
     ask = sub.add_parser("ask", help="answer one question from a written star")
     ask.add_argument("question_id")
-    ask.add_argument("star_root")
+    ask.add_argument("star_root", nargs="?")
+    ask.add_argument("--from-tables", dest="tables_dir", help="derive the star from these parquet tables")
     ask.add_argument("--json", dest="json_dir")
     ask.add_argument("--rows", type=int, default=50)
     args = ap.parse_args(argv)
@@ -45,8 +47,16 @@ def main(argv: list[str] | None = None) -> int:
 
     from .plans.sinks import write_json
     from .sources.star import read_star
+    if args.tables_dir:
+        from .sources.fixtures import fixture_star
+        star = fixture_star(spark, args.tables_dir)
+    elif args.star_root:
+        star = read_star(spark, args.star_root)
+    else:
+        print("give a star root or --from-tables", file=sys.stderr)
+        return 2
     try:
-        parts = run_question(read_star(spark, args.star_root), args.question_id)
+        parts = run_question(star, args.question_id)
     except QuestionNotFound:
         print(f"question {args.question_id} not found", file=sys.stderr)
         return 2
