@@ -18,7 +18,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.broadcast import small_dim
 
 STAR_TABLES = ("league", "season", "team", "referee", "bookmaker", "match", "match_odds")
 ODDS_COLUMNS = ("home_win_odds", "draw_odds", "away_win_odds")
@@ -45,8 +44,14 @@ class Star:
             joined = self.match.join(self.match_odds, "match_id")
         if bookmaker_code is None:
             return joined
-        ids = small_dim(self.bookmaker.where(F.col("code") == bookmaker_code).select("bookmaker_id"))
-        return joined.join(ids, "bookmaker_id", "left_semi")
+        # The code is a unique key of a small dimension: look its id up (at most two rows
+        # read, to prove uniqueness) and filter on it, a predicate the scan can push down.
+        rows = self.bookmaker.where(F.col("code") == bookmaker_code).select("bookmaker_id").limit(2).collect()
+        if len(rows) > 1:
+            raise ValueError(f"bookmaker code {bookmaker_code!r} is not unique")
+        if not rows:
+            return joined.where(F.lit(False))
+        return joined.where(F.col("bookmaker_id") == F.lit(rows[0][0]))
 
     def tables(self) -> dict[str, DataFrame]:
         return {name: getattr(self, name) for name in STAR_TABLES}

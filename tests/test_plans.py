@@ -114,3 +114,14 @@ def test_small_dim_hints_only_within_bound(spark):
     df = spark.range(0, 100)
     assert "broadcast" in small_dim(df, max_rows=1000)._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in small_dim(df, max_rows=10)._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_registered_queries_stay_in_the_jvm_without_cross_joins(spark):
+    import __spark_entry__ as ent
+    from tests.conftest import SF001
+    banned = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
+              "FlatMapGroupsInPandas", "MapInPandas")
+    for name, query in ent.queries().items():
+        p = plan(query(spark, SF001))
+        found = [b for b in banned if b in p]
+        assert not found, (name, found)
