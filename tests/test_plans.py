@@ -116,11 +116,14 @@ def test_small_dim_hints_only_within_bound(spark):
     assert "broadcast" not in small_dim(df, max_rows=10)._jdf.queryExecution().analyzed().toString().lower()
 
 
-def test_registered_queries_stay_in_the_jvm_without_cross_joins(spark):
+def test_registered_queries_stay_in_the_jvm_without_cross_joins_and_prune_columns(spark):
     import __spark_entry__ as ent
     from tests.conftest import SF001
     banned = ("BroadcastNestedLoopJoin", "CartesianProduct", "BatchEvalPython", "ArrowEvalPython",
-              "FlatMapGroupsInPandas", "MapInPandas")
+              "FlatMapGroupsInPandas", "MapInPandas",
+              # columns of the driver's tables no job needs: their absence shows column pruning
+              "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_shipdate", "o_totalprice",
+              "o_orderpriority", "c_acctbal", "c_mktsegment", "s_acctbal", "n_regionkey")
     for name, query in ent.queries().items():
         p = plan(query(spark, SF001))
         found = [b for b in banned if b in p]
