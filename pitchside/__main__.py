@@ -60,14 +60,21 @@ def main(argv: list[str] | None = None) -> int:
     except QuestionNotFound:
         print(f"question {args.question_id} not found", file=sys.stderr)
         return 2
-    for label, df in parts.items():
-        total = df.count()
-        print(f"-- part {label or '-'}: {total} rows" + (f", first {args.rows} shown" if total > args.rows else ""))
-        print("#\t" + "\t".join(df.columns))
-        for i, row in enumerate(df.limit(args.rows).collect(), start=1):   # already in the question's order
-            print(f"{i}\t" + "\t".join("" if v is None else str(v) for v in row))
+    def fetch(item):
+        label, df = item
         if args.json_dir:
             write_json(df, f"{args.json_dir}/question_{args.question_id}{label}")
+        return label, df.columns, df.count(), df.limit(args.rows).collect()   # rows in the question's order
+
+    # Parts are independent jobs: run them concurrently, print them in order.
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=max(1, len(parts))) as pool:
+        results = list(pool.map(fetch, parts.items()))
+    for label, columns, total, rows in results:
+        print(f"-- part {label or '-'}: {total} rows" + (f", first {args.rows} shown" if total > args.rows else ""))
+        print("#\t" + "\t".join(columns))
+        for i, row in enumerate(rows, start=1):
+            print(f"{i}\t" + "\t".join("" if v is None else str(v) for v in row))
     return 0
 
 
