@@ -1,8 +1,10 @@
 """The catalog of registered queries, name -> ``(spark, sf_dir) -> DataFrame``.
 
-Every entry derives the star schema from the driver's tables in ``sf_dir``
-(lazily, so Catalyst prunes the projection to the columns the query uses) and
-returns the job's DataFrame without collecting it.
+Question, transform and statistic entries derive the star schema from the
+driver's tables in ``sf_dir`` (lazily, so Catalyst prunes the projection to the
+columns the query uses); ingestion entries render season-file rows from the same
+tables and run the loader on them. Every entry returns its DataFrame without
+collecting it.
 """
 
 from __future__ import annotations
@@ -12,10 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.fixtures import fixture_star
-from .questions import QUESTIONS
-from .transforms import TRANSFORMS
 from .browser_stats import BROWSER_STATS
 from .ingest_outputs import INGEST_OUTPUTS
+from .questions import QUESTIONS
+from .transforms import TRANSFORMS
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 
