@@ -77,3 +77,15 @@ def test_full_range_64_bit_tie_key(spark):
     df = spark.range(0, 3000).select(F.xxhash64("id").alias("h"), (F.col("id") % 3).cast("int").alias("k"))
     check(df, 4, ["k", "h"], final_rows=4, buckets=2)
     check(df, 3, ["h"], final_rows=8, buckets=16)
+
+
+def test_tuple_after_nulls_first(spark):
+    from pitchside.operators.ntile import tuple_after
+    rows = [(None, 1), (None, 5), (1, None), (1, 3), (2, 0)]
+    df = spark.createDataFrame(rows, "a int, b int")
+    def after(values):
+        return [tuple(r) for r in df.where(tuple_after(["a", "b"], values)).collect()]
+    assert set(after((None, 1))) == {(None, 5), (1, None), (1, 3), (2, 0)}   # NULL sorts first
+    assert set(after((1, None))) == {(1, 3), (2, 0)}
+    assert set(after((1, 3))) == {(2, 0)}
+    assert after((2, 0)) == []
