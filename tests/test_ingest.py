@@ -156,3 +156,16 @@ def test_copies_of_a_line_are_separate_matches(spark, tmp_path):
     assert star.match.join(star.match_odds, "match_id").count() == 6     # one odds row each, no pairs of copies
     v = {r.rule: r.violations for r in audit(star).collect()}
     assert v["pk match.match_id"] == 0 and v["duplicate match content"] == 4
+
+
+def test_one_pass_dimension_names_match_per_set_names(spark, season_dir):
+    from pitchside.operators.conform import distinct_names
+    from pitchside.plans.ingest import clean, dimension_names, tag_season
+    from pitchside.sources.season_csv import SOURCE_COL
+    cleaned = clean(tag_season(read_raw(spark, season_dir)))
+    names = dimension_names(cleaned)
+    for kind, cols in (("team", ["home_name", "away_name"]), ("referee", ["referee_name"])):
+        one = sorted(tuple(r) for r in names.where(F.col("kind") == kind).select("name_key", "name").collect())
+        per = sorted(tuple(r) for r in distinct_names(cleaned, cols, SOURCE_COL).select("name_key", "name").collect())
+        assert one == per
+    assert sorted(r.name for r in names.where(F.col("kind") == "season").collect()) == ["2020-2021", "2021-2022"]
