@@ -4,12 +4,14 @@ and the driver contract of ``__spark_entry__``."""
 import pytest
 
 import __spark_entry__ as ent
+from pitchside.plans.oracle import oracle_queries
+from pitchside.plans.registry import registry
 from pitchside.verify import compare, duckdb_connection
 
 from .conftest import SF001
 
-QUERIES = ent.queries()
-ORACLES = ent.oracle_sql()
+QUERIES = registry()
+ORACLES = oracle_queries()
 
 
 @pytest.fixture(scope="module")
@@ -19,6 +21,8 @@ def con():
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(ent.queries())
+    assert set(ent.oracle_sql()) <= set(ent.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
