@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import license_scan, mixing, url_filter
+from . import byte_bpe, license_scan, mixing, url_filter
 
 
 def queries() -> dict:
     return {
+        "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op3_license_scans": license_scan.op3_license_scans,
         "op5_url_filters": url_filter.op5_url_filters,
         "op7_mixing_sources": mixing.op7_mixing_sources,
