@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, license_scan, minhash, mixing, url_filter
+from . import byte_bpe, license_scan, minhash, mixing, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op5_url_filters": url_filter.op5_url_filters,
         "op7_mixing_sources": mixing.op7_mixing_sources,
         "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
