@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, license_scan, minhash, mixing, toxicity, url_filter
+from . import byte_bpe, imatch, license_scan, minhash, mixing, toxicity, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op3_license_scans": license_scan.op3_license_scans,
         "op5_url_filters": url_filter.op5_url_filters,
         "op7_mixing_sources": mixing.op7_mixing_sources,
+        "op8_document_fingerprints": imatch.op8_document_fingerprints,
         "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
     }
