@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, imatch, license_scan, minhash, mixing, toxicity, url_filter
+from . import byte_bpe, html_text, imatch, license_scan, minhash, mixing, toxicity, url_filter, vectors
 
 
 def queries() -> dict:
     return {
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
+        "op2_embedding_near_dedup": vectors.op2_embedding_near_dedup,
         "op3_license_scans": license_scan.op3_license_scans,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_html_extraction": html_text.op6_html_extraction,
