@@ -5,26 +5,32 @@ frequency) would shuffle one row per word occurrence. Instead each task cuts its
 into blocks of bounded size, numbers the distinct words of a block, and writes
 
 * one row per document: ``(block, id, seq)``, the document as packed word numbers,
-* one row per block: ``(block, words)``, the words in the order of their numbers.
-
-Only a block's distinct words are shuffled by word, so the rows of even the most frequent
-word are as many as there are blocks, and what was found for them meets the documents again
-by block. The table is written to the shared folder: block numbers are then fixed, whatever
-is recomputed later. A block closes after ``limit`` characters, so it holds at most that
-and one document more.
+* some rows per block: ``(block, slice, words, numbers)``, the distinct words of one hash slice.
+
+Only a block's distinct words are shuffled, packed by slice, so even the most frequent word
+travels once per block. All blocks' rows of a slice meet in one task, which streams over them
+and finds each distinct word's value once; the values return packed, by block, and meet the
+documents there. The table is written to the shared folder: block numbers are then fixed,
+whatever is recomputed later. A block closes after ``limit`` characters, so it holds at most
+that and one document more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Characters after which a block closes.
 BLOCK_CHARS = 32_000_000
+#: Hash slices of the words; more of them bound the distinct words that one task meets at a time.
+SLICES = 512
+#: Tasks among which the slices are dealt; their rows are small and their work is not, so they are not to be merged by size.
+SLICE_TASKS = 64
 
 
 class Numbering(dict):
@@ -53,13 +59,40 @@ def block_id(number: int) -> int:
     return (TaskContext.get().partitionId() << 32) + number
 
 
-def entries(blocks: DataFrame) -> DataFrame:
-    """``(block, number, word)``: the distinct words of each block."""
-    return blocks.where("words is not null").select("block", F.posexplode("words").alias("number", "word"))
+def pack_words(words: list[bytes]) -> bytes:
+    lengths = pack(np.fromiter(map(len, words), np.uint32, len(words)))
+    return len(lengths).to_bytes(4, "little") + lengths + zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
+
+def unpack_words(packed: bytes) -> list[bytes]:
+    n = 4 + int.from_bytes(packed[:4], "little")
+    ends = np.cumsum(unpack(packed[4:n])).tolist()
+    text = zstandard.ZstdDecompressor().decompress(packed[n:])
+    return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def slice_parts(keys: list[bytes], slices: int = SLICES) -> Iterator[tuple[int, np.ndarray]]:
+    """Each hash slice that has some of the keys, with their places."""
+    of = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64, len(keys)) % np.uint64(slices)
+    order = np.argsort(of, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+        if len(part):
+            yield int(of[part[0]]), part
+
+
+def sliced(words: list[bytes], slices: int = SLICES) -> Iterator[tuple[int, bytes, bytes]]:
+    """``(slice, words, numbers)`` of a block's words, which are in the order of their numbers."""
+    for k, part in slice_parts(words, slices):
+        yield k, pack_words([words[i] for i in part]), pack(part)
+
+
+def word_slices(blocks: DataFrame) -> DataFrame:
+    """The word rows, all of a slice in one task and one after the other."""
+    return blocks.where("slice is not null").select("slice", "block", "words", "numbers").repartition(SLICE_TASKS, "slice").sortWithinPartitions("slice", "block")
 
 
-def reassemble(blocks: DataFrame, values: DataFrame, rebuild: Callable, schema: str) -> DataFrame:
-    """``rebuild(documents, values)`` on the Arrow tables of each block; ``values`` has columns block, number and what was found."""
-    docs = blocks.where("words is null").drop("words")
+def reassemble(blocks: DataFrame, values: DataFrame, rebuild: Callable, schema) -> DataFrame:
+    """``rebuild(documents, values)`` on the Arrow tables of each block; ``values`` has a block column and what was found."""
+    docs = blocks.where("slice is null").drop("slice", "words", "numbers")
     docs = docs.select(*[F.col(c).alias(c) for c in docs.columns])  # columns of its own: both sides come from one table
     return docs.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(rebuild, schema)

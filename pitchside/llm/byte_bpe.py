@@ -2,7 +2,7 @@
 
 Texts are cut into pre-tokens by the tokenizer's pattern, kept with their positions as block
 sequences (``blocks``). The distinct words of all blocks meet in one shuffle, each is merged
-once, its ids go back to the blocks by a join, and documents are reassembled by position.
+once, its ids go back to its blocks, and documents are reassembled by position.
 Decoding joins the token-byte table (as large as the vocabulary, never as the data) to the ids.
 
 Edge cases: null text is an empty text and has no ids; a text may be one pre-token of any
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +23,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import BLOCK_CHARS, Numbering, block_id, entries, pack, reassemble, unpack
+from .blocks import BLOCK_CHARS, Numbering, block_id, pack, reassemble, sliced, unpack, unpack_words, word_slices
 from .common import table, written
 
 DEFAULT_RANKS = "byte_bpe_multi_50k.tiktoken"
+#: Distinct words whose ids a task keeps; beyond it they are found anew, so memory stays bounded.
+MOST_KNOWN = 2_000_000
 
 
 def read_ranks(path: str) -> bytes:
@@ -55,8 +58,8 @@ def _encoder(data: bytes):
 def pretoken_blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, limit: int = BLOCK_CHARS) -> DataFrame:
     """Block rows of the documents' pre-tokens (see ``blocks``)."""
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("id", id_type),
-                           T.StructField("seq", T.BinaryType()), T.StructField("words", T.ArrayType(T.StringType()))])
+    schema = T.StructType([T.StructField("block", T.LongType()), T.StructField("id", id_type), T.StructField("seq", T.BinaryType()),
+                           T.StructField("slice", T.IntegerType()), T.StructField("words", T.BinaryType()), T.StructField("numbers", T.BinaryType())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
@@ -66,8 +69,13 @@ def pretoken_blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, l
         pieces = regex.compile(pattern).findall
         number, chars, words = 0, 0, Numbering()
 
+        def rows(**columns) -> pa.RecordBatch:
+            n = len(columns["block"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(n, f.type) for f in out], schema=out)
+
         def close() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((block_id(number), None, None, list(words)), out, strict=True)], schema=out)
+            at, packed, numbers = zip(*sliced([w.encode() for w in words]), strict=True) if words else ((), (), ())
+            return rows(block=[block_id(number)] * len(at), slice=at, words=packed, numbers=numbers)
 
         for batch in batches:
             ids, seqs, at = [], [], []
@@ -80,10 +88,8 @@ def pretoken_blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, l
                 if chars >= limit:
                     yield close()
                     number, chars, words = number + 1, 0, Numbering()
-            if ids:
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ids, out.field(1).type), pa.array(seqs, pa.binary()), pa.nulls(len(ids), out.field(3).type)], schema=out)
-        if words or chars:
-            yield close()
+            yield rows(block=at, id=ids, seq=seqs)
+        yield close()
 
     return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(cut, schema), "bpe-blocks")
 
@@ -91,32 +97,43 @@ def pretoken_blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, l
 def encode(docs: DataFrame, ranks: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", limit: int = BLOCK_CHARS) -> DataFrame:
     """``(id_col, ids)``: one row per document, its token ids in order."""
     blocks = pretoken_blocks(docs, pattern, id_col, text_col, limit)
-    here = entries(blocks)
     shared = docs.sparkSession.sparkContext.broadcast(ranks)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        one = _encoder(shared.value).encode_ordinary
+        encode_one = _encoder(shared.value).encode_ordinary
+        known: dict[bytes, list[int]] = {}
+        now = None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([np.array(one(w), "<u4").tobytes() for w in batch.column(0).to_pylist()], pa.binary())], names=["word", "ids"])
-
-    encoded = here.select("word").distinct().mapInArrow(merge, "word string, ids binary")
-    values = here.join(encoded, "word").select("block", "number", "ids")
+            lengths, ids = [], []
+            for part, words in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if part != now or len(known) > MOST_KNOWN:
+                    known, now = {}, part
+                lists = []
+                for w in unpack_words(words):
+                    found = known.get(w)
+                    if found is None:
+                        found = known[w] = encode_one(w.decode())
+                    lists.append(found)
+                lengths.append(pack(np.fromiter(map(len, lists), np.uint32, len(lists))))
+                ids.append(pack(np.fromiter(chain.from_iterable(lists), np.uint32)))
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(3), pa.array(lengths, pa.binary()), pa.array(ids, pa.binary())], names=["block", "numbers", "lengths", "ids"])
+
+    values = word_slices(blocks).mapInArrow(merge, "block long, numbers binary, lengths binary, ids binary")
 
     def rebuild(rows: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words.column("number").to_numpy())
-        packed = words.column("ids").take(pa.array(order)).to_pylist()
-        of = [np.frombuffer(x, "<u4").astype(np.int32) for x in packed]
-        sizes = np.fromiter(map(len, of), np.int64, len(of))
-        flat, starts = (np.concatenate(of) if of else np.empty(0, np.int32)), np.cumsum(sizes) - sizes
+        joined = lambda name: np.concatenate([np.empty(0, np.uint32), *map(unpack, words.column(name).to_pylist())])
+        numbers, lengths, flat = joined("numbers"), joined("lengths").astype(np.int64), joined("ids").astype(np.int32)
+        sizes, starts = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        sizes[numbers], starts[numbers] = lengths, np.cumsum(lengths) - lengths
         lists = []
-        for packed_seq in rows.column("seq").to_pylist():
-            seq = unpack(packed_seq)
+        for packed in rows.column("seq").to_pylist():
+            seq = unpack(packed)
             n = sizes[seq]
             ends = np.cumsum(n)
             lists.append(flat[np.repeat(starts[seq] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)])
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in lists])]).astype(np.int32)
-        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(lists) if lists else np.empty(0, np.int32), pa.int32()))
-        return pa.table([rows.column("id").combine_chunks() if rows.num_rows else pa.array([], rows.schema.field("id").type), ids], names=[id_col, "ids"])
+        ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int32), *lists]), pa.int32()))
+        return pa.table([pa.array(rows.column("id").to_pylist(), rows.schema.field("id").type), ids], names=[id_col, "ids"])
 
     return reassemble(blocks, values, rebuild, T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))]))
 

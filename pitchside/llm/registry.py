@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, imatch, license_scan, minhash, mixing, toxicity, url_filter, vectors
+from . import byte_bpe, html_text, imatch, license_scan, minhash, mixing, mixing_lm, toxicity, url_filter, vectors
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_byte_bpe": byte_bpe.op1_byte_bpe,
         "op2_embedding_near_dedup": vectors.op2_embedding_near_dedup,
         "op3_license_scans": license_scan.op3_license_scans,
+        "op4_lm_scoring": mixing_lm.op4_lm_scoring,
         "op5_url_filters": url_filter.op5_url_filters,
         "op6_html_extraction": html_text.op6_html_extraction,
         "op7_mixing_sources": mixing.op7_mixing_sources,
