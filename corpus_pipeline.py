@@ -1,17 +1,65 @@
-"""From raw documents to token ids: reject toxic texts, keep one of each near-duplicate group, mix sources, encode."""
+"""From raw documents to token ids: reject toxic texts, keep one of each near-duplicate group, mix sources, encode.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``documents``, the last one
+token ids. ``run`` writes what a stage returns to the shared folder before the next reads it, so a
+stage is computed once and lost executors cost no more than their tasks.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pitchside.llm import byte_bpe, minhash, mixing, toxicity
+from pitchside.llm.common import table, written
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose toxicity score stays below the threshold; the model learns from the labelled ones among ``docs``."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
+    scored = toxicity.score(docs.drop("score"), model, keep=[c for c in docs.columns if c != "score"])
+    return scored.where(F.col("score") < toxicity.THRESHOLD).select(*[c for c in docs.columns if c != "score"])
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group: the one with the smallest id. Documents without an id cannot be told apart and stay."""
+    found = minhash.near_duplicates(docs)
+    kept = written(found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct(), "pipeline-kept")
+    # Repeated rows of a kept document: same id, same words. Its id already holds them together.
+    words = F.xxhash64(F.array_join(F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"[\x20\x09-\x0D]+"), " "))
+    once = docs.join(kept, docs["doc_id"] == F.col("_kept")).withColumn("_words", words).dropDuplicates(["doc_id", "_words"]).select(*docs.columns)
+    return once.unionByName(docs.where("doc_id is null"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.taken_documents(mixing.mix(docs), docs.columns)
+
+
+def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document, with digests of the ids and of the bytes they decode to."""
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path(byte_bpe.DEFAULT_RANKS))
+    both = byte_bpe.decode(byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks)
+    return both.select("doc_id", "ids", F.size("ids").cast("long").alias("n_tokens"),
+                       F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                       F.sha2("decoded", 256).alias("decoded_sha256"))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("minhash_near_dedup", drop_near_duplicates),
+    ("mixing_sources", mix_sources),
+    ("byte_bpe", encode_bytes),
+]
 #: Trained models and similarity joins are beyond SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
