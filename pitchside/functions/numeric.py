@@ -49,9 +49,10 @@ def exact_stddev_pop(n, s, ss) -> Column:
     """Population standard deviation of integers from count, sum and sum of squares.
 
     ``sqrt((n*ss - s*s) / n^2)`` with the numerator in exact integer
-    arithmetic, so the value is independent of summation order.
+    arithmetic of 38 digits (1e12 rows need 26), so the value is independent
+    of summation order and does not overflow.
     """
-    n_, s_, ss_ = _c(n).cast("long"), _c(s).cast("long"), _c(ss).cast("long")
+    n_, s_, ss_ = (_c(c).cast("decimal(38,0)") for c in (n, s, ss))
     num = (n_ * ss_ - s_ * s_).cast("double")
     return F.when(n_ == 0, F.lit(None).cast("double")).otherwise(
         F.sqrt(num / (n_ * n_).cast("double")))
@@ -76,5 +77,5 @@ def sql_exact_mean(total: str, n: str) -> str:
 
 
 def sql_exact_stddev_pop(n: str, s: str, ss: str) -> str:
-    return (f"(CASE WHEN {n} = 0 THEN NULL ELSE sqrt(CAST(CAST({n} AS BIGINT) * CAST({ss} AS BIGINT)"
-            f" - CAST({s} AS BIGINT) * CAST({s} AS BIGINT) AS DOUBLE) / CAST(CAST({n} AS BIGINT) * CAST({n} AS BIGINT) AS DOUBLE)) END)")
+    return (f"(CASE WHEN {n} = 0 THEN NULL ELSE sqrt(CAST(CAST({n} AS HUGEINT) * CAST({ss} AS HUGEINT)"
+            f" - CAST({s} AS HUGEINT) * CAST({s} AS HUGEINT) AS DOUBLE) / CAST(CAST({n} AS HUGEINT) * CAST({n} AS HUGEINT) AS DOUBLE)) END)")

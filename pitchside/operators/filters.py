@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,7 +18,7 @@ def period_coverage(df: DataFrame, entity: str, period: str) -> DataFrame:
     return pairs.groupBy(entity).agg(F.count(F.lit(1)).alias("periods"))
 
 
-def with_full_coverage(df: DataFrame, entity: str, period: str, n: int) -> DataFrame:
+def with_full_coverage(df: DataFrame, entity: str, period: str, n: int | Column) -> DataFrame:
     """Keep entities present in exactly ``n`` periods (returns (entity, periods))."""
     return period_coverage(df, entity, period).where(F.col("periods") == n)
 

@@ -78,9 +78,9 @@ def p3_trend(star: Star) -> DataFrame:
     """Least-squares line of points per match on aggression index over the Q7A teams.
 
     x has 2 decimal places and y 3, so sums run on x*100 and y*1000 as exact
-    integers. A constant x gives slope 0 and intercept mean(y).
+    integers. A constant x gives slope 0 and intercept mean(y); a missing x or y counts as 0.
     """
-    q = q7a_aggression(star).where(F.col("avg_aggression_index").isNotNull() & F.col("avg_points_per_match").isNotNull())
+    q = q7a_aggression(star).na.fill(0.0, ["avg_aggression_index", "avg_points_per_match"])
     x, y = _scaled("avg_aggression_index", 2), _scaled("avg_points_per_match", 3)
     s = q.agg(F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
               F.sum(x * y).alias("sxy"), F.sum(x * x).alias("sxx"),

@@ -25,7 +25,6 @@ from ..operators.perspective import team_view
 from ..sources.star import Star
 
 # Thresholds the reference hard-codes, kept as defaults of parameters.
-FULL_COVERAGE_SEASONS = 5
 MIN_HT_DEFICITS = 5
 MIN_PRESSURE_MATCHES = 10
 MIN_TEAM_MATCHES = 190
@@ -38,6 +37,11 @@ def team_names(star: Star) -> DataFrame:
     return small_dim(star.team.select("team_id", F.col("name").alias("team_name")))
 
 
+def all_seasons(star: Star, seasons: int | None = None):
+    """How many seasons full coverage means: ``seasons``, or as many as the season table has (a scalar subquery)."""
+    return F.lit(seasons) if seasons is not None else star.season.agg(F.count(F.lit(1))).scalar()
+
+
 def season_names(star: Star) -> DataFrame:
     """Size-checked broadcast of (season_id, season_name)."""
     return small_dim(star.season.select("season_id", F.col("name").alias("season_name")))
@@ -57,13 +61,13 @@ def team_season_points(star: Star) -> DataFrame:
             .agg(F.sum(points("full_time_result", F.col("side"))).alias("total_points")))
 
 
-def q1_consistency(star: Star, seasons: int = FULL_COVERAGE_SEASONS) -> DataFrame:
+def q1_consistency(star: Star, seasons: int | None = None) -> DataFrame:
     """Q1: per team with all seasons, mean season points, population spread, mean / (1 + spread)."""
     per_team = (team_season_points(star).groupBy("team_id")
                 .agg(F.count(F.lit(1)).alias("seasons_played"),
                      F.sum("total_points").alias("s"),
-                     F.sum(F.col("total_points") * F.col("total_points")).alias("ss"))
-                .where(F.col("seasons_played") == seasons))   # one row per (team, season): count = distinct seasons
+                     F.sum(F.col("total_points").cast("decimal(19,0)") * F.col("total_points").cast("decimal(19,0)")).alias("ss"))
+                .where(F.col("seasons_played") == all_seasons(star, seasons)))   # one row per (team, season): count = distinct seasons
     avg = exact_mean("s", "seasons_played")
     var = exact_stddev_pop("seasons_played", "s", "ss")
     return (per_team.join(team_names(star), "team_id")
@@ -85,7 +89,7 @@ def priced_matches(star: Star, bookmaker: str | None = ODDS_BOOKMAKER) -> DataFr
                                          pa.alias("p_away")))
 
 
-def q2_expected_points(star: Star, seasons: int = FULL_COVERAGE_SEASONS, bookmaker: str = ODDS_BOOKMAKER) -> DataFrame:
+def q2_expected_points(star: Star, seasons: int | None = None, bookmaker: str = ODDS_BOOKMAKER) -> DataFrame:
     """Q2: actual league points against points implied by the bookmaker's margin-free odds."""
     tv = team_view(priced_matches(star, bookmaker),
                    {"expected_points": (expected_points("p_home", "p_draw"), expected_points("p_away", "p_draw"))},
@@ -97,7 +101,7 @@ def q2_expected_points(star: Star, seasons: int = FULL_COVERAGE_SEASONS, bookmak
     per_team = (per_season.groupBy("team_id")
                 .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("seasons_covered"),
                      F.sum("sa").alias("sa"), F.sum("se").alias("se"))
-                .where(F.col("seasons_covered") == seasons))
+                .where(F.col("seasons_covered") == all_seasons(star, seasons)))
     n, sa, se = F.col("n"), F.col("sa"), F.col("se")
     return (per_team.join(team_names(star), "team_id")
             .select("team_name",

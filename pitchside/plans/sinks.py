@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    df.write.mode(mode).json(path)
+    """One JSON object per row; a NULL column keeps its key, with the value null."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def json_rows(df: DataFrame, column: str = "json") -> DataFrame:
     """One JSON object per row, keyed by column alias (the reference's row objects)."""
-    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns])).alias(column))
+    return df.select(F.to_json(F.struct(*[F.col(c) for c in df.columns]), {"ignoreNullFields": "false"}).alias(column))

@@ -18,7 +18,7 @@ from ..operators.filters import min_sample, period_delta, with_full_coverage
 from ..operators.ntile import ntile_scalable
 from ..operators.perspective import team_view
 from ..sources.star import Star
-from .questions import (FULL_COVERAGE_SEASONS, ODDS_BOOKMAKER, priced_matches, referee_strictness,
+from .questions import (ODDS_BOOKMAKER, all_seasons, priced_matches, referee_strictness,
                         season_names, team_match_aggression, team_names, team_season_points)
 
 # Thresholds that split the teams at sf 0.01 (parameters of the min-sample filter).
@@ -125,11 +125,11 @@ def t11_band_label(star: Star) -> DataFrame:
                     band_label("card_intensity_tile", REFEREE_BAND_LABELS).alias("referee_group")))
 
 
-def t12_coverage(star: Star, seasons: int = FULL_COVERAGE_SEASONS) -> DataFrame:
+def t12_coverage(star: Star, seasons: int | None = None) -> DataFrame:
     """Teams present in every season."""
     m = star.match.select("season_id", "home_team_id", "away_team_id")
     tv = team_view(m, keep=["season_id"])
-    return (with_full_coverage(tv, "team_id", "season_id", seasons).join(team_names(star), "team_id")
+    return (with_full_coverage(tv, "team_id", "season_id", all_seasons(star, seasons)).join(team_names(star), "team_id")
             .select("team_name", F.col("periods").alias("seasons_played")))
 
 

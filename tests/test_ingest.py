@@ -93,10 +93,11 @@ def test_shifted_file_is_refused(spark, tmp_path):
 
 
 def test_upsert_updates_and_inserts(spark):
-    dim = spark.createDataFrame([(1, "E0", "Old name"), (2, "E1", "Championship")], "league_id long, code string, name string")
-    rows = spark.createDataFrame([("E0", "Premier League"), ("SP1", "La Liga")], "code string, name string")
-    got = sorted(tuple(r) for r in upsert(dim, rows, "code", "league_id", ["name"]).collect())
-    assert got == [("E0", 1, "Premier League"), ("E1", 2, "Championship"), ("SP1", 3, "La Liga")]
+    dim = spark.createDataFrame([(1, "E0", "Old name", "England"), (2, "E1", "Championship", "England"), (3, "N1", "Eredivisie", "Netherlands")],
+                                "league_id long, code string, name string, country string")
+    rows = spark.createDataFrame([("E0", "Premier League"), ("SP1", "La Liga"), ("SP1", "La Liga"), ("N1", None)], "code string, name string")
+    got = sorted(tuple(r) for r in upsert(dim, rows, "code", "league_id", ["name"]).select("league_id", "code", "name", "country").collect())
+    assert got == [(1, "E0", "Premier League", "England"), (2, "E1", "Championship", "England"), (3, "N1", None, "Netherlands"), (4, "SP1", "La Liga", None)]
 
 
 def test_cascade_delete(spark, season_dir, tmp_path):
