@@ -1,10 +1,11 @@
 """Write and reopen a star schema (I10: re-runnable load of the conformed tables).
 
-The fact is written partitioned by ``season_id`` (partition pruning for
-per-season work; ``partitionOverwriteMode=dynamic`` lets one season be
-reloaded alone). Rows are sorted by season inside each task before the
-write, so every task writes one file per season it holds, whatever the data
-size; no repartition funnels a season into one task.
+Both facts are written partitioned by ``season_id`` and, where the rows come
+from files, by the file's name: partition pruning for per-season work, and one
+season (:func:`reload_season`) or one file (the stream) can be replaced alone,
+match and odds together. Rows are sorted by those columns inside each task
+before the write, so every task writes one file per partition it holds, whatever
+the data size; no repartition funnels a season into one task.
 
 With ``buckets``, ``match`` and ``match_odds`` are also bucketed (and sorted)
 by ``match_id`` into the same number of buckets and registered as tables, so
@@ -23,36 +24,53 @@ from pyspark.sql import functions as F
 from ..sources.star import STAR_TABLES, Star
 
 
-def write_fact(df: DataFrame, path: str, partition_col: str | None, mode: str = "overwrite") -> None:
-    writer = df
-    if partition_col:
-        writer = df.sortWithinPartitions(partition_col)
-        writer.write.mode(mode).partitionBy(partition_col).parquet(path)
-    else:
-        writer.write.mode(mode).parquet(path)
+FACTS = ("match", "match_odds")
+
+
+def write_fact(df: DataFrame, path: str, mode: str = "overwrite", replace_parts: bool = False) -> None:
+    """Write a fact by season and source file; ``replace_parts`` overwrites only the partitions that ``df`` has rows for."""
+    by = [c for c in ("season_id", "source_name") if c in df.columns]
+    writer = df.sortWithinPartitions(*by).write.mode(mode).partitionBy(*by)
+    writer.option("partitionOverwriteMode", "dynamic" if replace_parts else "static").parquet(path)
+
+
+def write_rejected(rejected: DataFrame, root: str, replace_parts: bool = False) -> None:
+    """Quarantined rows by source file, so that a replay replaces them."""
+    named = rejected.withColumn("source_name", F.regexp_extract(F.col("source_file"), r"([^/]*)$", 1))
+    write_fact(named, os.path.join(root, "rejected"), replace_parts=replace_parts)
+
+
+def odds_with_season(star: Star) -> DataFrame:
+    """The odds rows with their match's season, as they are stored."""
+    if "season_id" in star.match_odds.columns:
+        return star.match_odds
+    if star.odds_aligned is not None:
+        return star.odds_aligned.select(*star.match_odds.columns, "season_id")
+    return star.match_odds.join(star.match.select("match_id", "season_id"), "match_id").select(*star.match_odds.columns, "season_id")
 
 
 def write_star(star: Star, root: str, mode: str = "overwrite") -> None:
     """Write every table of ``star`` under ``root`` (one folder per table)."""
     for name in STAR_TABLES:
-        df = getattr(star, name)
         path = os.path.join(root, name)
-        if name == "match":
-            write_fact(df, path, "season_id", mode)
-        elif name == "match_odds":
-            write_fact(df, path, None, mode)
+        if name in FACTS:
+            write_fact(star.match if name == "match" else odds_with_season(star), path, mode)
         else:
-            df.coalesce(1).write.mode(mode).parquet(path)
+            getattr(star, name).write.mode(mode).parquet(path)
 
 
 def reload_season(spark, star: Star, root: str, season_id: int) -> None:
-    """Replace one season's match partition in place (dynamic partition overwrite)."""
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-    try:
-        part = star.match.where(F.col("season_id") == season_id)
-        write_fact(part, os.path.join(root, "match"), "season_id", "overwrite")
-    finally:
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "static")
+    """Replace one season of match and odds in place, as ``star`` has it; the other seasons stay untouched."""
+    from ..session import delete_path
+    parts = {"match": star.match, "match_odds": odds_with_season(star)}
+    odds_of = star.match.where(F.col("season_id") == season_id).select("match_id")
+    for name, df in parts.items():
+        part = df.where(F.col("season_id") == season_id)
+        if name == "match_odds":
+            part = part.join(odds_of, "match_id", "left_semi").select(*df.columns)
+        # The season's folder goes first: a stored file that the new rows do not have must not stay.
+        delete_path(spark, os.path.join(root, name, f"season_id={season_id}"))
+        write_fact(part, os.path.join(root, name), replace_parts=True)
 
 
 def write_star_bucketed(star: Star, root: str, buckets: int, table_prefix: str = "pitchside_",
@@ -88,7 +106,7 @@ def _write_tables_bucketed(star: Star, root: str, buckets: int, table_prefix: st
             (w.bucketBy(buckets, "match_id").sortBy("match_id").option("path", path)
              .saveAsTable(table_prefix + name))
         else:
-            df.coalesce(1).write.mode(mode).parquet(path)
+            df.write.mode(mode).parquet(path)
 
 
 def read_star_bucketed(spark, root: str, table_prefix: str = "pitchside_") -> Star:

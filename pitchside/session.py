@@ -79,3 +79,18 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     hpath = jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return bool(fs.exists(hpath))
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder of this library's own tables, on any filesystem; nothing if it is not there."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
+
+
+def move_path(spark: SparkSession, source: str, target: str) -> bool:
+    """Rename a folder within one filesystem."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(source)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.rename(hpath, jvm.org.apache.hadoop.fs.Path(target)))

@@ -21,6 +21,15 @@ from pyspark.sql import functions as F
 
 STAR_TABLES = ("league", "season", "team", "referee", "bookmaker", "match", "match_odds")
 ODDS_COLUMNS = ("home_win_odds", "draw_odds", "away_win_odds")
+_SIDES = ("shots", "shots_on_target", "fouls", "corners", "yellow_cards", "red_cards")
+FACT_SCHEMAS = {
+    "match": (
+        "match_id string", "league_id long", "season_id long", "match_date date", "home_team_id long", "away_team_id long",
+        "full_time_home_goals int", "full_time_away_goals int", "full_time_result string", "half_time_home_goals int",
+        "half_time_away_goals int", "half_time_result string", "referee_id long",
+        *[f"{side}_{what} int" for what in _SIDES for side in ("home", "away")], "original_div_code string"),
+    "match_odds": ("match_id string", "bookmaker_id long", *[f"{c} decimal(6,2)" for c in ODDS_COLUMNS], "season_id long"),
+}
 
 
 @dataclass
@@ -59,9 +68,11 @@ class Star:
 
 def read_star(spark: SparkSession, root: str) -> Star:
     """Open a star schema written by ``plans.ingest.write_star``."""
-    tables = {name: spark.read.parquet(os.path.join(root, name)) for name in STAR_TABLES}
-    # match_odds may be stored partitioned by season (incremental loads); expose the declared columns.
-    tables["match_odds"] = tables["match_odds"].select("match_id", "bookmaker_id", *ODDS_COLUMNS)
+    tables = {name: spark.read.parquet(os.path.join(root, name)) for name in STAR_TABLES if name not in FACT_SCHEMAS}
+    for name, schema in FACT_SCHEMAS.items():
+        # Facts are stored by season and source file, with the schema given: a load without valid rows leaves no file to read it from.
+        tables[name] = spark.read.schema(", ".join(schema)).parquet(os.path.join(root, name)).select(
+            *[c.split()[0] for c in schema if name == "match" or not c.startswith("season_id")])
     return Star(**tables)
 
 

@@ -135,6 +135,22 @@ def test_reload_one_season(spark, star001, tmp_path):
     expected_1997 = star001.match.where((F.col("season_id") == 1997) & (F.col("full_time_result") == "H")).count()
     assert after[1997] == expected_1997 < before[1997]
     assert {k: v for k, v in after.items() if k != 1997} == {k: v for k, v in before.items() if k != 1997}
+    # its odds came with it: every match has one odds row, and no odds row is left over
+    star = read_star(spark, root)
+    assert star.match.join(star.match_odds, "match_id").count() == star.match.count() == star.match_odds.count()
+
+
+def test_another_league_and_kept_columns(spark, season_dir, tmp_path):
+    from pitchside.plans.ingest import LoadSpec
+    out = str(tmp_path / "star")
+    first = load_seasons(spark, season_dir, out).star
+    first.team = first.team.withColumn("short_name", F.upper(F.substring("name", 1, 3)))
+    spec = LoadSpec("SP1", "La Liga", "Spain", "PIN", "Pinnacle")
+    star = load_seasons(spark, season_dir, str(tmp_path / "again"), first, spec).star
+    assert {(r.code, r.league_id) for r in star.league.collect()} == {("E0", 1), ("SP1", 2)}
+    assert {r.league_id for r in star.match.select("league_id").distinct().collect()} == {2}
+    assert {r.bookmaker_id for r in star.match_odds.select("bookmaker_id").distinct().collect()} == {2}
+    assert {r.name: r.short_name for r in star.team.collect()}["Arsenal"] == "ARS"
 
 
 def test_distributed_id_assignment_matches_window(spark):
