@@ -1,41 +1,27 @@
 """Equal-count banding (SQL ``NTILE(n) OVER (ORDER BY ...)``) without a global window.
 
-A window with ORDER BY and no PARTITION BY moves every row into one task.
-Here the tile boundaries are found instead. The row at rank ``R_t`` (last rank
-of tile ``t``) is found exactly by order-statistic selection, and every row
-then gets ``1 + #{t : row > row_at(R_t)}``. That last step is a narrow
-projection against ``n - 1`` literal tuples: no shuffle and no sort of the rows.
-
-Selection of the row at rank ``k`` narrows a candidate set level by level.
-Each level is one distributed aggregation: the current order column is split
-into ``buckets`` equal-width ranges and counted (the driver sees at most
-``buckets`` counts). The bucket holding rank ``k`` becomes the next candidate
-range (a literal range predicate, so it is pushed into the scan). When a
-range holds a single value, the next order column is refined the same way.
-Once at most ``final_rows`` candidates remain, one bounded top-k sort picks
-the exact row. A hot value (a third of all rows sharing one key) costs only
-more levels, never a bigger task. Column value ties inside a hot key are split
-by the next order column.
-
-The order columns must identify a row uniquely (add a key as the last tie
-column); otherwise tiles of tied rows are not defined, as with SQL NTILE.
-Ordering is ascending with NULLs first, the SQL default for ascending keys
-in the reference's database.
+A window with ORDER BY and no PARTITION BY moves every row into one task. Here the rows
+are range-partitioned by the order columns and written once to the shared folder, each with
+the number of its partition. Counting the partitions tells which of them holds the last row
+of a tile, and at which place; only those partitions (n - 1 at most) are sorted for it. Every
+row then gets ``1 + #{t : row > last row of tile t}``: a projection against literal tuples.
+
+Any orderable types serve. The order columns must identify a row uniquely (add a key as the
+last tie column): then a value that many rows share is split among partitions by the columns
+after it, so partitions stay even; and without it tiles of tied rows are not defined, as with
+SQL NTILE. All passes read the written rows, so an input that would differ from one evaluation
+to the next is evaluated once. Ordering is ascending with NULLs first, the SQL default for
+ascending keys in the reference's database.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-from ..session import checkpoint_root
 
-INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-NUMERIC = INTEGRAL + (T.FloatType, T.DoubleType, T.DecimalType)
+from ..session import scratch_path
 
 
 def tile_bounds(total: int, n: int) -> list[int]:
@@ -72,225 +58,27 @@ def tuple_after(cols: Sequence[str], values: Sequence) -> Column:
     return expr
 
 
-class _Boundary:
-    """Search state for one tile boundary: candidate predicate, rank inside it, values fixed so far."""
-
-    def __init__(self, rank: int):
-        self.rank = rank
-        self.k = rank
-        self.pred = F.lit(True)
-        self.count = 0
-        self.fixed: list = []
-        self.known = None     # (lo, hi) of the current column over the candidates, NULLs excluded
-        self.hist = None      # histogram of the current column over the candidates, if already known
-
-
-class _Selector:
-    def __init__(self, df: DataFrame, cols: Sequence[str], buckets: int, final_rows: int, max_levels: int):
-        self.df, self.cols = df, list(cols)
-        self.buckets, self.final_rows, self.max_levels = buckets, final_rows, max_levels
-        self.types = {f.name: f.dataType for f in df.schema.fields}
-
-    def _bucket_key(self, col: Column, c: str, lo, hi):
-        """Equal-width bucket of ``col`` over [lo, hi] (monotone in ``col``), and a result-size limit.
-
-        Integers use exact decimal(38,0) arithmetic, so 64-bit keys (hashed ids) keep
-        narrowing down to single values; fractional keys use doubles; other types and
-        ranges too narrow for doubles are grouped by value.
-        """
-        t = self.types[c]
-        if isinstance(t, INTEGRAL):
-            dec = "decimal(38,0)"
-            offset = (col.cast(dec) - F.lit(Decimal(int(lo))).cast(dec)) * F.lit(self.buckets)
-            width = F.lit(Decimal(int(hi) - int(lo) + 1)).cast(dec)
-            return F.call_function("div", offset, width), self.buckets + 1
-        if isinstance(t, NUMERIC):
-            span = float(hi) - float(lo)
-            if span > 0:
-                b = F.floor((col.cast("double") - F.lit(float(lo))) / F.lit(span) * F.lit(float(self.buckets)))
-                return F.least(b.cast("long"), F.lit(self.buckets - 1)), self.buckets + 1
-        return col, self.buckets * 64 + 1
-
-    def _histogram(self, cand: DataFrame, c: str, lo, hi) -> list:
-        col = F.col(c)
-        key, limit = self._bucket_key(col, c, lo, hi)
-        hist = (cand.groupBy(key.alias("b"))
-                .agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-                .limit(limit).collect())
-        if len(hist) >= limit:
-            raise ValueError(f"ntile: too many distinct values in non-numeric order column {c}")
-        return sorted(hist, key=lambda r: r["lo"])
-
-    def first_level(self) -> tuple[int, int, object, object, list | None]:
-        """Total, NULL count, range and histogram of the first column, shared by every boundary.
-
-        A first column with at most ``buckets`` distinct values (the usual
-        bounded-domain key) gets its exact histogram in one pass; otherwise one
-        pass for the range and one for the equal-width histogram.
-        """
-        c = self.cols[0]
-        col = F.col(c)
-        exact = (self.df.groupBy(col.alias("v"))
-                 .agg(F.count(F.lit(1)).alias("n"), F.min(col).alias("lo"), F.max(col).alias("hi"))
-                 .limit(self.buckets + 2).collect())
-        if len(exact) <= self.buckets + 1:
-            total = sum(r["n"] for r in exact)
-            nulls = sum(r["n"] for r in exact if r["v"] is None)
-            vals = sorted((r for r in exact if r["v"] is not None), key=lambda r: r["lo"])
-            lo = vals[0]["lo"] if vals else None
-            hi = vals[-1]["hi"] if vals else None
-            return total, nulls, lo, hi, vals
-        st = self.df.agg(F.count(F.lit(1)).alias("n"), F.count(col).alias("nn"),
-                         F.min(col).alias("lo"), F.max(col).alias("hi")).collect()[0]
-        hist = None
-        if st["nn"] > self.final_rows and st["lo"] != st["hi"]:
-            hist = self._histogram(self.df.where(col.isNotNull()), c, st["lo"], st["hi"])
-        return st["n"], st["n"] - st["nn"], st["lo"], st["hi"], hist
-
-    def narrow_all(self, ranks: list[int], total: int, first: tuple) -> list[tuple]:
-        """(predicate, k) per rank: a candidate set of at most ``final_rows`` rows whose
-        k-th row is the row at that rank.
-
-        Level-synchronous: each level is one pass over the input for every
-        boundary still too wide (a conditional aggregation for ranges, one
-        tagged histogram for buckets), so n-1 boundaries cost the scans of one.
-        """
-        _, nulls, lo, hi, hist = first
-        c0 = F.col(self.cols[0])
-        bs = []
-        for rank in ranks:
-            b = _Boundary(rank)
-            if rank <= nulls:
-                b.pred, b.count, b.fixed = c0.isNull(), nulls, [None]
-            else:
-                b.k, b.pred, b.count, b.known, b.hist = rank - nulls, c0.isNotNull(), total - nulls, (lo, hi), hist
-            bs.append(b)
-        for _ in range(self.max_levels):
-            active = [b for b in bs if b.count > self.final_rows]
-            if not active:
-                return [(b.pred, b.k) for b in bs]
-            for b in active:
-                if len(b.fixed) >= len(self.cols):
-                    raise ValueError("ntile order columns do not identify rows uniquely")
-            self._ranges([b for b in active if b.known is None])
-            for b in active:
-                if b.known is not None and b.known[0] == b.known[1]:
-                    c = F.col(self.cols[len(b.fixed)])
-                    b.pred = b.pred & (c == F.lit(b.known[0]))
-                    b.fixed.append(b.known[0])
-                    b.known, b.hist = None, None
-            split = [b for b in active if b.known is not None]
-            self._histograms([b for b in split if b.hist is None])
-            for b in split:
-                c = F.col(self.cols[len(b.fixed)])
-                for h in b.hist:
-                    if b.k <= h["n"]:
-                        b.pred = b.pred & (c >= F.lit(h["lo"])) & (c <= F.lit(h["hi"]))
-                        b.count, b.known = h["n"], (h["lo"], h["hi"])
-                        break
-                    b.k -= h["n"]
-                b.hist = None
-        raise RuntimeError("ntile selection did not converge")
-
-    def _ranges(self, bs: list) -> None:
-        """One pass: row count, non-NULL count, min and max of each boundary's current column."""
-        if not bs:
-            return
-        aggs = []
-        for i, b in enumerate(bs):
-            c = F.col(self.cols[len(b.fixed)])
-            aggs += [F.count_if(b.pred).alias(f"n{i}"), F.count(F.when(b.pred, c)).alias(f"nn{i}"),
-                     F.min(F.when(b.pred, c)).alias(f"lo{i}"), F.max(F.when(b.pred, c)).alias(f"hi{i}")]
-        r = self.df.agg(*aggs).collect()[0]
-        for i, b in enumerate(bs):
-            c = F.col(self.cols[len(b.fixed)])
-            nulls = r[f"n{i}"] - r[f"nn{i}"]
-            if b.k <= nulls:
-                b.pred, b.count = b.pred & c.isNull(), nulls
-                b.fixed.append(None)
-                continue
-            b.k -= nulls
-            b.pred = b.pred & c.isNotNull()
-            b.count, b.known = r[f"nn{i}"], (r[f"lo{i}"], r[f"hi{i}"])
-
-    def _histograms(self, bs: list) -> None:
-        """One pass: each row is tagged with every boundary whose candidate set holds it
-        (sets may overlap), and counted per (boundary, bucket)."""
-        if not bs:
-            return
-        tags = F.array_compact(F.array(*[F.when(b.pred, F.lit(i)) for i, b in enumerate(bs)]))
-        any_pred = bs[0].pred
-        for b in bs[1:]:
-            any_pred = any_pred | b.pred
-        t = F.col("_t")
-        key = None
-        aggs = [F.count(F.lit(1)).alias("n")]
-        for i, b in enumerate(bs):
-            cname = self.cols[len(b.fixed)]
-            col = F.col(cname)
-            k, _ = self._bucket_key(col, cname, *b.known)
-            k = k.cast("string")
-            key = F.when(t == i, k) if key is None else key.when(t == i, k)
-            aggs += [F.min(F.when(t == i, col)).alias(f"lo{i}"), F.max(F.when(t == i, col)).alias(f"hi{i}")]
-        limit = len(bs) * (self.buckets * 64 + 1)
-        rows = (self.df.where(any_pred).select("*", F.explode(tags).alias("_t"))
-                .groupBy("_t", key.alias("_b")).agg(*aggs).limit(limit + 1).collect())
-        if len(rows) > limit:
-            raise ValueError("ntile: too many distinct values in a non-numeric order column")
-        for i, b in enumerate(bs):
-            mine = [{"n": r["n"], "lo": r[f"lo{i}"], "hi": r[f"hi{i}"]} for r in rows if r["_t"] == i]
-            b.hist = sorted(mine, key=lambda h: h["lo"])
-
-    def pick(self, pending: list[tuple]) -> list[tuple]:
-        """Resolve every (predicate, k) in one job: rows of each candidate set are
-        numbered in order within their own window partition (at most
-        ``final_rows`` rows each) and the k-th row is kept."""
-        if not pending:
-            return []
-        order = [F.col(c).asc_nulls_first() for c in self.cols]
-        tagged = None
-        for i, (pred, k) in enumerate(pending):
-            part = self.df.where(pred).select(*self.cols, F.lit(i).alias("_sel"), F.lit(k).alias("_k"))
-            tagged = part if tagged is None else tagged.unionByName(part)
-        w = Window.partitionBy("_sel").orderBy(*order)
-        rows = (tagged.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == F.col("_k"))
-                .select("_sel", *self.cols).collect())
-        by_sel = {r["_sel"]: tuple(r[c] for c in self.cols) for r in rows}
-        return [by_sel[i] for i in range(len(pending))]
-
-
-def _has_shuffle(df: DataFrame) -> bool:
-    """Whether recomputing ``df`` would repeat a join, aggregation or window."""
-    try:
-        plan = df._jdf.queryExecution().optimizedPlan().toString()
-    except Exception:          # no JVM handle (Spark Connect): materialize to be safe
-        return True
-    return any(op in plan for op in ("Join ", "Aggregate ", "Window ", "Sort ", "Expand "))
-
-
-def ntile_scalable(df: DataFrame, n: int, order_by: Sequence[str], out_col: str = "tile",
-                   buckets: int = 1024, final_rows: int = 50_000, max_levels: int = 64,
-                   materialize: bool | str = "auto") -> DataFrame:
-    """Add ``out_col`` = NTILE(n) OVER (ORDER BY order_by ASC NULLS FIRST).
-
-    ``df`` is read a few times (one pass for the total and the first
-    histogram, about one more per boundary). With ``materialize`` it is first
-    written to the session's checkpoint folder so those passes read the written
-    rows; ``"auto"`` does so only when recomputing ``df`` would repeat a
-    shuffle (a narrow scan is cheaper to read again than to write and read).
-    """
-    if materialize == "auto":
-        materialize = _has_shuffle(df)
-    if materialize:
-        checkpoint_root(df.sparkSession)
-        df = df.checkpoint(eager=True)
-    sel = _Selector(df, order_by, buckets, final_rows, max_levels)
-    first = sel.first_level()
-    total = first[0]
-    if total == 0:
-        return df.withColumn(out_col, F.lit(None).cast("int"))
-    thresholds = sel.pick(sel.narrow_all(tile_bounds(total, n), total, first))
+def ntile_scalable(df: DataFrame, n: int, order_by: Sequence[str], out_col: str = "tile") -> DataFrame:
+    """Add ``out_col`` = NTILE(n) OVER (ORDER BY order_by ASC NULLS FIRST)."""
+    spark = df.sparkSession
+    order = [F.col(c).asc_nulls_first() for c in order_by]
+    path = scratch_path(spark, "ntile")
+    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged.write.parquet(path)
+    rows = spark.read.schema(ranged.schema).parquet(path)
+    counts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect()   # one row per partition
+    wanted, before = [], 0
+    bounds = tile_bounds(sum(r["n"] for r in counts), n)
+    for r in counts:
+        wanted += [(len(wanted) + i, r["_part"], b - before) for i, b in enumerate(b for b in bounds if before < b <= before + r["n"])]
+        before += r["n"]
     tile = F.lit(1)
-    for t in thresholds:
-        tile = tile + tuple_after(order_by, t).cast("int")
-    return df.withColumn(out_col, tile.cast("int"))
+    if wanted:
+        places = rows.select(*order_by, "_part").where(F.col("_part").isin(sorted({p for _, p, _ in wanted})))
+        placed = places.withColumn("_rn", F.row_number().over(Window.partitionBy("_part").orderBy(*order)))
+        is_last = F.lit(False)
+        for _, part, rank in wanted:
+            is_last = is_last | ((F.col("_part") == part) & (F.col("_rn") == rank))
+        for last in placed.where(is_last).collect():
+            tile = tile + tuple_after(order_by, [last[c] for c in order_by]).cast("int")
+    return rows.drop("_part").withColumn(out_col, tile.cast("int"))

@@ -11,7 +11,7 @@ Output column names are the reference's aliases verbatim.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.football import (AGGRESSION_BAND_LABELS, DRAW, REFEREE_BAND_LABELS, aggression,
@@ -335,11 +335,15 @@ def referee_strictness(star: Star, min_matches: int = MIN_REFEREE_MATCHES) -> Da
             .withColumn("ref_avg_weighted_cards", exact_mean("sw", "ref_match_count")))
 
 
+def referee_tiles(star: Star, min_matches: int = MIN_REFEREE_MATCHES) -> DataFrame:
+    """Referees in card-intensity terciles: one row per referee, so a plain window serves."""
+    order = Window.orderBy(F.col("ref_avg_weighted_cards").asc_nulls_first(), "referee_id")
+    return referee_strictness(star, min_matches).withColumn("card_intensity_tile", F.ntile(3).over(order))
+
+
 def q8b_referee_bands(star: Star, min_matches: int = MIN_REFEREE_MATCHES) -> DataFrame:
     """Q8B: match outcomes under low / medium / high card-intensity referees."""
-    ranked = ntile_scalable(referee_strictness(star, min_matches), 3,
-                            ["ref_avg_weighted_cards", "referee_id"], out_col="card_intensity_tile")
-    agg = (ranked.groupBy("card_intensity_tile")
+    agg = (referee_tiles(star, min_matches).groupBy("card_intensity_tile")
            .agg(F.sum("ref_match_count").alias("n"), F.sum("nh").alias("nh"),
                 F.sum("nd").alias("nd"), F.sum("na").alias("na")))
     return (agg.orderBy("card_intensity_tile")

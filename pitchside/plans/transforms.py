@@ -18,7 +18,7 @@ from ..operators.filters import min_sample, period_delta, with_full_coverage
 from ..operators.ntile import ntile_scalable
 from ..operators.perspective import team_view
 from ..sources.star import Star
-from .questions import (ODDS_BOOKMAKER, all_seasons, priced_matches, referee_strictness,
+from .questions import (ODDS_BOOKMAKER, all_seasons, priced_matches, referee_tiles,
                         season_names, team_match_aggression, team_names, team_season_points)
 
 # Thresholds that split the teams at sf 0.01 (parameters of the min-sample filter).
@@ -117,10 +117,8 @@ def t10_ntile(star: Star, n: int = 5) -> DataFrame:
 
 def t11_band_label(star: Star) -> DataFrame:
     """Referees ranked into card-intensity terciles and labelled (the middle frame of Q8B)."""
-    ranked = ntile_scalable(referee_strictness(star), 3, ["ref_avg_weighted_cards", "referee_id"],
-                            out_col="card_intensity_tile")
     refs = small_dim(star.referee.select("referee_id", F.col("name").alias("referee_name")))
-    return (ranked.join(refs, "referee_id")
+    return (referee_tiles(star).join(refs, "referee_id")
             .select("referee_name", "ref_match_count", "ref_avg_weighted_cards", "card_intensity_tile",
                     band_label("card_intensity_tile", REFEREE_BAND_LABELS).alias("referee_group")))
 
