@@ -187,6 +187,8 @@ def blocks_of(page: str) -> list[Block]:
                         pop("tr", ("table",))
             heading = not closing and tag in _HEADINGS
         if closing:
+            if tag not in _BLOCK and len(stack) > 1 and stack[-1][0] == tag and stack[-1][1] and not stack[-2][1]:
+                close()
             pop(tag, () if tag in _BLOCK else _BLOCK)
         elif tag not in _VOID and not m[3].rstrip(">").endswith("/"):
             _, furniture, main = stack[-1] if stack else ("", False, False)
