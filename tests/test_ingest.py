@@ -118,6 +118,12 @@ def test_audit_finds_violations(spark, star001):
     assert v["pk match.match_id"] == 3
     assert v["fk match.referee_id"] > 0
     assert v["fk match.home_team_id"] == 0
+    nulls = star001.match.withColumn("home_team_id", F.lit(None).cast("long")).withColumn("home_shots", F.lit(40_000))
+    twins = star001.team.unionByName(star001.team.limit(1).select(F.lit(999).cast("long").alias("team_id"), F.lower("name").alias("name"), F.lit("x" * 30).alias("short_name")))
+    v = {r.rule: r.violations for r in audit(replace(star001, match=nulls, team=twins, odds_aligned=None)).collect()}
+    n = nulls.count()
+    assert v["not null match keys"] == n and v["range match statistics"] == n
+    assert v["unique team.name"] == 1 and v["length team"] == 1 and v["pk team.team_id"] == 0
 
 
 def test_reload_one_season(spark, star001, tmp_path):
