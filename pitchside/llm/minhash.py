@@ -9,8 +9,9 @@ Bands of the signature are the buckets.
 Candidates of a bucket form a star around one centre, so their number is the bucket's size:
 
 1. the centre is the smallest node; candidates are confirmed on the full sets;
-2. where a bucket still holds several components, the member with the most confirmed links
-   so far (the text that many near copies come from, if it is there) is a second centre;
+2. where the members of a bucket do not share one best linked neighbour (hub), the member with the
+   most confirmed links so far (the text that many near copies come from, if it is there) is a
+   second centre;
 3. what is then still apart in a bucket is compared exactly, in blocks of bounded size: a pair
    is looked at in the first bucket that it shares, set aside if its signatures agree in far
    too few bins, and otherwise confirmed on the full sets within the task. Only links leave it.
@@ -87,7 +88,7 @@ _PROBES: list[np.ndarray] = []
 def _probe(step: int) -> np.ndarray:
     """The bin that each empty bin looks at in its ``step``-th attempt."""
     while len(_PROBES) <= step:
-        seed = np.arange(BINS, dtype=np.uint64) * _MIX[0] + np.uint64(len(_PROBES) + 1) * _MIX[1]
+        seed = np.arange(BINS, dtype=np.uint64) * _MIX[0] + np.uint64((len(_PROBES) + 1) * int(_MIX[1]) % 2**64)
         _PROBES.append((_scramble(seed) % np.uint64(BINS)).astype(np.int64))
     return _PROBES[step]
 
@@ -170,22 +171,38 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("i") * 100 >= (F.col("n") - F.col("i")) * percent).select("a", "b")
 
 
-def _apart(members: DataFrame, parts: DataFrame) -> DataFrame:
-    """Members of the buckets that hold more than one component, with their component."""
-    placed = written(members.join(parts.withColumnRenamed("node", "key"), "key", "left").select(
-        "bucket", "key", F.coalesce("component", "key").alias("component")), "minhash-placed")
-    mixed = written(placed.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket"), "minhash-mixed")
-    return placed.join(mixed, "bucket", "left_semi")
+def _hubs(links: DataFrame) -> DataFrame:
+    """``(key, degree, hub)``: each linked node's number of links, and the best linked among itself and its neighbours.
+
+    Nodes with one hub are in one component. Nodes of one component may have several hubs; they
+    are then compared once more than needed, and none is missed.
+    """
+    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degrees = written(both.groupBy(F.col("a").alias("key")).agg(F.count("*").alias("degree")), "minhash-degrees")
+    reached = both.join(degrees.withColumnRenamed("key", "b"), "b").select(F.col("a").alias("key"), F.struct("degree", F.col("b").alias("hub")).alias("h"))
+    own = degrees.select("key", F.struct("degree", F.col("key").alias("hub")).alias("h"))
+    best = reached.union(own).groupBy("key").agg(F.max("h").alias("h"))
+    return best.join(degrees, "key").select("key", "degree", F.col("h.hub").alias("hub"))
+
+
+def _apart(members: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Members of the buckets whose members do not all have one hub, with hub and degree."""
+    placed = written(members.join(hubs, "key", "left").select(
+        "bucket", "key", F.coalesce("hub", "key").alias("hub"), F.coalesce("degree", F.lit(0)).alias("degree")), "minhash-placed")
+    # The best linked member is the bucket's next centre.
+    mixed = written(placed.groupBy("bucket").agg(F.min("hub").alias("lo"), F.max("hub").alias("hi"), F.max(F.struct("degree", "key", "hub")).alias("c")).where(
+        "lo <> hi").select("bucket", F.col("c.key").alias("centre"), F.col("c.hub").alias("centre_hub")), "minhash-mixed")
+    return placed.select("bucket", "key", "hub").join(mixed, "bucket")
 
 
 def _compare_blocks(apart: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """Links between members of different components in one bucket, all pairs looked at in blocks."""
+    """Links between members of one bucket that have different hubs, all pairs looked at in blocks."""
     bands = sketches.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"))
     full = apart.join(sets, "key")
     sized = written(full.groupBy("bucket").agg(F.ceil(F.sum(F.size("shingles") * 8 + 1000) / BLOCK_BYTES).cast("int").alias("blocks")), "minhash-sizes")
     rows = full.join(bands, "key").join(sized, "bucket").select(
-        "bucket", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "component", "signature", "shingles", "bands")
-    packed = written(rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "component", "signature", "shingles", "bands")).alias("rows")), "minhash-blocks")
+        "bucket", "blocks", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int").alias("block"), "key", "hub", "signature", "shingles", "bands")
+    packed = written(rows.groupBy("bucket", "blocks", "block").agg(F.collect_list(F.struct("key", "hub", "signature", "shingles", "bands")).alias("rows")), "minhash-blocks")
     left = packed.select("bucket", F.col("block").alias("i"), F.col("rows").alias("x"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
 
@@ -193,7 +210,7 @@ def _compare_blocks(apart: DataFrame, sets: DataFrame, sketches: DataFrame, perc
         bucket, i, j = (v.as_py() for v in key)
         x, y = xs.column("x").to_pylist()[0], ys.column("y").to_pylist()[0]
         cols = lambda rows, c, t: np.array([np.frombuffer(r[c], t) if isinstance(r[c], bytes) else r[c] for r in rows])
-        ysig, yband, ycomp = cols(y, "signature", "<u2"), cols(y, "bands", np.int64), np.array([r["component"] for r in y], dtype=object)
+        ysig, yband, yhub = cols(y, "signature", "<u2"), cols(y, "bands", np.int64), np.array([r["hub"] for r in y], dtype=object)
         ysets = [np.array(r["shingles"], np.int64) for r in y]
         a, b = [], []
         for p, row in enumerate(x):
@@ -201,7 +218,7 @@ def _compare_blocks(apart: DataFrame, sets: DataFrame, sketches: DataFrame, perc
             shared = same.any(axis=1)
             near = (ysig == np.frombuffer(row["signature"], "<u2")).mean(axis=1) >= percent / 100 - SLACK
             here = yband[np.arange(len(y)), same.argmax(axis=1)] == bucket
-            look = np.flatnonzero(near & shared & here & (ycomp != row["component"]) & ((np.arange(len(y)) > p) | (i != j)))
+            look = np.flatnonzero(near & shared & here & (yhub != row["hub"]) & ((np.arange(len(y)) > p) | (i != j)))
             if len(look):
                 sx = np.array(row["shingles"], np.int64)
                 for q in look:
@@ -222,28 +239,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE, id
     # Buckets with two different nodes; the smallest is the first centre.
     stars = written(exploded.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("bucket", "a"), "minhash-stars")
     members = written(exploded.join(stars.select("bucket"), "bucket", "left_semi").distinct(), "minhash-members")
-    chosen = members.select("key").distinct().join(sketches.select("id", "key"), "key").groupBy("key").agg(F.min("id").alias("of"))
+    named = sketches.where("key is not null").groupBy("key").agg(F.min("id").alias("of"))
+    chosen = named.join(members.select("key").distinct(), "key", "left_semi")
     sets = _full_sets(docs, chosen, id_col, text_col, width)
 
     first = members.join(stars, "bucket").where("a <> key").select("a", F.col("key").alias("b")).distinct()
     links = written(_confirmed(first, sets, percent), "minhash-links")
-    apart = _apart(members, connected_components(links))
-
-    degrees = links.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("degree"))
-    centres = written(apart.join(degrees, "key", "left").groupBy("bucket").agg(
-        F.max(F.struct(F.coalesce("degree", F.lit(0)).alias("degree"), F.col("key"), F.col("component"))).alias("c")).select(
-        "bucket", F.col("c.key").alias("a"), F.col("c.component").alias("of")), "minhash-centres")
-    second = apart.join(centres, "bucket").where("component <> of").select("a", F.col("key").alias("b")).distinct()
+    apart = _apart(members, _hubs(links))
+    second = apart.where("hub <> centre_hub").select(F.col("centre").alias("a"), F.col("key").alias("b")).distinct()
     links = written(links.union(_confirmed(second, sets, percent)), "minhash-links")
-    apart = written(_apart(members, connected_components(links)), "minhash-apart")
+    apart = written(_apart(members, _hubs(links)).select("bucket", "key", "hub"), "minhash-apart")
 
     links = links.union(_compare_blocks(apart, sets, sketches, percent))
     parts = written(connected_components(links), "minhash-parts")
 
-    named = sketches.join(parts.withColumnRenamed("node", "key"), "key", "left").select(
+    placed = sketches.join(parts.withColumnRenamed("node", "key"), "key", "left").select(
         "id", "n_shingles", F.coalesce("component", "key").alias("part"))
-    smallest = written(named.where("part is not null").groupBy("part").agg(F.min("id").alias("component_id")), "minhash-smallest")
-    out = named.join(smallest, "part", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
+    smallest = written(placed.where("part is not null").groupBy("part").agg(F.min("id").alias("component_id")), "minhash-smallest")
+    out = placed.join(smallest, "part", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
