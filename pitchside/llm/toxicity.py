@@ -38,10 +38,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import table
+from .common import table, written
 
-MOST_TOXIC = 3000
-MOST_ORDINARY = 9000
+MOST_TOXIC = 2000
+MOST_ORDINARY = 5000
 #: Words of a window.
 WINDOW = 12
 #: Word beginnings with a code of their own, and bytes of a code.
@@ -50,6 +50,8 @@ LEVEL, MIN_MATCH = 6, 5
 ORDINARY_BYTES, TOXIC_BYTES = 24_576, 24_576
 THRESHOLD = 0.3
 
+_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+
 
 @dataclass(frozen=True)
 class Model:
@@ -82,25 +84,33 @@ def windows_of(words: Sequence[bytes], codes: Codes) -> list[bytes]:
 
 def dictionaries(texts: Sequence[str | None], labels: Sequence[int]) -> tuple[bytes, bytes]:
     """The ordinary and the toxic dictionary of labelled texts; the strongest codes stand last, nearest to the window."""
-    codes = Codes()
-    contexts: tuple[set, set] = (set(), set())
+    codes, names = Codes(), {b"": 0}
+    contexts: tuple[list, list] = ([], [])
     for text, label in zip(texts, labels, strict=True):
-        w = [b"", *words_of(text), b""]
-        contexts[label].update(zip(w, w[1:], w[2:], strict=False))
-    contexts[1].difference_update(contexts[0])
+        w = np.array([0, *(names.setdefault(x, len(names)) for x in words_of(text)), 0], np.uint64)
+        mixed = (w[:-2] * _MIX[0] + w[1:-1]) * _MIX[1] + w[2:]
+        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX[0]
+        contexts[label].append(np.stack([mixed ^ (mixed >> np.uint64(32)), w[1:-1]]))
+    # Distinct contexts (as 64-bit hashes) and the words that stand in them.
+    plain, bad = (np.concatenate([np.empty((2, 0), np.uint64), *c], axis=1) for c in contexts)
+    plain = plain[:, np.unique(plain[0], return_index=True)[1]]
+    bad = bad[:, np.unique(bad[0], return_index=True)[1]]
+    bad = bad[:, ~np.isin(bad[0], plain[0])]
     every, toxic = Counter(), Counter()
-    for label in (0, 1):
-        for word, n in Counter(c[1] for c in contexts[label]).items():
-            if word:
-                whole = codes[word]
-                for code in {whole[i:i + CODE] for i in range(0, len(whole), CODE)}:
-                    every[code] += n
-                    toxic[code] += n * label
+    listed = list(names)
+    for label, held in ((0, plain), (1, bad)):
+        counts = np.bincount(held[1].astype(np.int64), minlength=len(listed))
+        for i in np.flatnonzero(counts):
+            whole, n = codes[listed[i]], int(counts[i])
+            for code in {whole[j:j + CODE] for j in range(0, len(whole), CODE)}:
+                every[code] += n
+                if label:
+                    toxic[code] += n
     common = sorted(((n - toxic[c], c) for c, n in every.items() if n > toxic[c]))
     ordinary = b"".join(c for _, c in common[-(ORDINARY_BYTES // CODE):])
-    if not contexts[0] or not contexts[1]:
+    if not plain.shape[1] or not bad.shape[1]:
         return ordinary, b""
-    share = len(contexts[1]) / (len(contexts[0]) + len(contexts[1]))
+    share = bad.shape[1] / (plain.shape[1] + bad.shape[1])
     found = []
     for code, k in toxic.items():
         n = every[code]
@@ -197,9 +207,9 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
     # At most most_toxic + most_ordinary rows of two numbers: small enough to send to every task.
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").dropDuplicates(["id"])
     half = F.conv(F.substring(F.md5(F.concat(F.lit("half"), F.col("id").cast("string"))), 1, 4), 16, 10).cast("int") % 2
-    seen = rows.select("id", "text", "toxic", half.alias("half")).toPandas().sort_values("id")
+    rows = written(rows.select("id", "text", "toxic", half.alias("half")), "toxicity-drawn")
+    seen = rows.toPandas().sort_values("id")
     spark = docs.sparkSession
-    parts = max(1, min(len(seen), spark.sparkContext.defaultParallelism))
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, toxic bigint, f array<double>"
     measured = []
     # Each half is measured, in parallel, with the dictionaries of the other; a few numbers per text come back.
@@ -207,8 +217,8 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         told, held = seen[seen["half"] != k], seen[seen["half"] == k]
         if len(held) and told["toxic"].nunique() == 2:
             other = Model(*dictionaries(told["text"].tolist(), told["toxic"].tolist()), (), prior)
-            frame = spark.createDataFrame(held[["id", "text", "toxic"]]).repartition(parts)
-            measured.append(frame.mapInArrow(_feature_task(spark, other, 1), schema).toPandas().sort_values("id"))
+            texts = rows.where(F.col("half") == k).select("id", "text", "toxic").repartition(spark.sparkContext.defaultParallelism)
+            measured.append(texts.mapInArrow(_feature_task(spark, other, 1), schema).toPandas().sort_values("id"))
     ordinary, toxic = dictionaries(seen["text"].tolist(), seen["toxic"].tolist())
     if not measured:
         return Model(ordinary, toxic, (), prior)
