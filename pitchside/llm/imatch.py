@@ -209,12 +209,15 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        import zstandard
+
+        unpacked = zstandard.ZstdDecompressor().decompress
         part, hashes, last = TaskContext.get().partitionId(), TermHashes(), None
         none = (None,) * len(fields)
         for batch in batches:
             rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                text = text or ""
+            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                text = unpacked(packed).decode()
                 prints = fingerprint(terms_of(text, hashes), shared.value)
                 if last is None:
                     rows.append((part, 1, key, *none, text))
@@ -225,9 +228,19 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if last is not None:
             yield batch_of([(part, 2, last[0], *none, last[1])], schema)
 
-    given = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
+
+        squeezer = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = [squeezer.compress((t or "").encode()) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["id", "packed"])
+
+    # Texts are dealt out by id once, compressed: that shuffle is most of what the job writes.
+    given = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        squeeze, T.StructType([T.StructField("id", id_type), T.StructField("packed", T.BinaryType())]))
     order = [F.col("id").desc_nulls_last()]
-    walked = written(given.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("text")).mapInArrow(walk, schema), "imatch-walked")
+    walked = written(given.repartitionByRange(*order).sortWithinPartitions(*order, F.xxhash64("packed")).mapInArrow(walk, schema), "imatch-walked")
 
     # One pair of rows per partition: the last document of each with the first of the next, the very last with the very first.
     firsts = walked.where("end = 1").select("part")
