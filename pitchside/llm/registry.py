@@ -22,5 +22,6 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_url_filters": url_filter.OP5_SQL,
         "op7_mixing_sources": mixing.OP7_SQL,
     }

@@ -132,19 +132,60 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL_RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+_SQL_PARTS = r"'(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?'"
+
+
+def _sql_host(url: str) -> str:
+    return f"translate(regexp_extract(coalesce({url}, ''), {_SQL_PARTS}, 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _sql_part(url: str, k: int) -> str:
+    return f"regexp_extract(coalesce({url}, ''), {_SQL_PARTS}, {k})"
+
+
+def _sql_key(url: str) -> str:
+    return f"CASE WHEN {_sql_host(url)} <> '' THEN {_sql_host(url)} || {_sql_part(url, 2)} || {_sql_part(url, 3)} END"
+
+
+def _sql_best(urls: str) -> str:
+    """The longest fitting rule of each host and path, by testing every rule."""
+    return f"""SELECT u.host, u.path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS rule_verdict
+  FROM (SELECT DISTINCT host, path FROM {urls} WHERE host <> '') u
+  JOIN rules ON (u.host = h OR ends_with(u.host, '.' || h)) AND starts_with(u.path, p) GROUP BY u.host, u.path"""
+
+
+_SQL_FOLDER = f"regexp_replace({_sql_part('src', 2)}, '[^/]*$', '')"
 OP5_SQL = rf"""
-WITH parts AS (
-  SELECT page_id, html,
-         translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 1, 's'),
-                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
-         regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?', 2, 's') AS path
-  FROM pages),
-rules(h, p, v) AS (VALUES {_SQL_RULES}),
-best AS (
-  SELECT u.host, u.path, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS rule_verdict
-  FROM (SELECT DISTINCT host, path FROM parts) u
-  JOIN rules ON (u.host = h OR u.host LIKE '%.' || h) AND starts_with(u.path, p)
-  GROUP BY u.host, u.path)
-SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
-FROM parts LEFT JOIN best USING (host, path)
+WITH RECURSIVE rules(h, p, v) AS (VALUES {_SQL_RULES}),
+parts AS (SELECT page_id, html, url, {_sql_host('url')} AS host, {_sql_part('url', 2)} AS path, {_sql_key('url')} AS key FROM pages),
+tags AS (
+  SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag, true AS is_link
+  FROM parts WHERE host <> ''
+  UNION ALL
+  SELECT url, unnest(regexp_extract_all(html, '(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>')), false FROM parts WHERE host <> ''),
+targets AS (
+  SELECT src, replace(trim(CASE WHEN is_link THEN
+           regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 1)
+           || regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 2)
+           || regexp_extract(tag, '(?is)\bhref\s*=\s*(?:"([^"]*)"|''([^'']*)''|([^\s"''>]+))', 3)
+         ELSE regexp_extract(tag, '(?is)\burl\s*=\s*[''"]?([^''">\s]+)', 1) END), '&amp;', '&') AS dst
+  FROM tags),
+resolved AS (
+  SELECT src, CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dst
+                   WHEN starts_with(dst, '//') THEN 'x:' || dst
+                   WHEN starts_with(dst, '/') THEN 'x://' || {_sql_host('src')} || dst
+                   ELSE 'x://' || {_sql_host('src')} || CASE WHEN {_SQL_FOLDER} = '' THEN '/' ELSE {_SQL_FOLDER} END || dst END AS dst
+  FROM targets WHERE dst <> ''),
+edges AS (SELECT {_sql_key('src')} AS a, {_sql_key('dst')} AS b FROM resolved),
+ends AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL),
+reach(a, b) AS (SELECT a, a FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),
+nodes AS (SELECT DISTINCT a AS node, {_sql_host("('x://' || a)")} AS host, {_sql_part("('x://' || a)", 2)} AS path FROM ends),
+node_best AS ({_sql_best('nodes')}),
+ruled AS (SELECT n.node, b.rule_verdict FROM nodes n JOIN node_best b USING (host, path)),
+blocked AS (
+  SELECT r.a AS key FROM reach r JOIN ruled d ON d.node = r.b GROUP BY r.a
+  HAVING bool_or(d.rule_verdict = 'block') AND NOT bool_or(d.rule_verdict = 'allow')),
+best AS ({_sql_best('parts')})
+SELECT page_id, parts.host, parts.path, rule, coalesce(rule_verdict, CASE WHEN blocked.key IS NOT NULL THEN 'block' END, 'allow') AS verdict
+FROM parts LEFT JOIN best ON best.host = parts.host AND best.path = parts.path LEFT JOIN blocked ON blocked.key = parts.key
 """
