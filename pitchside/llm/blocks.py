@@ -5,7 +5,7 @@ frequency) would shuffle one row per word occurrence. Instead each task cuts its
 into blocks of bounded size, numbers the distinct words of a block, and writes
 
 * one row per document: ``(block, id, seq)``, the document as packed word numbers,
-* some rows per block: ``(block, slice, words, numbers)``, the distinct words of one hash slice.
+* some rows per block: ``(block, slice, words, ...)``, the distinct words of one hash slice.
 
 Only a block's distinct words are shuffled, packed by slice, so even the most frequent word
 travels once per block. All blocks' rows of a slice meet in one task, which streams over them
@@ -80,19 +80,8 @@ def slice_parts(keys: list[bytes], slices: int = SLICES) -> Iterator[tuple[int,
             yield int(of[part[0]]), part
 
 
-def sliced(words: list[bytes], slices: int = SLICES) -> Iterator[tuple[int, bytes, bytes]]:
-    """``(slice, words, numbers)`` of a block's words, which are in the order of their numbers."""
-    for k, part in slice_parts(words, slices):
-        yield k, pack_words([words[i] for i in part]), pack(part)
-
-
-def word_slices(blocks: DataFrame) -> DataFrame:
-    """The word rows, all of a slice in one task and one after the other."""
-    return blocks.where("slice is not null").select("slice", "block", "words", "numbers").repartition(SLICE_TASKS, "slice").sortWithinPartitions("slice", "block")
-
-
 def reassemble(blocks: DataFrame, values: DataFrame, rebuild: Callable, schema) -> DataFrame:
     """``rebuild(documents, values)`` on the Arrow tables of each block; ``values`` has a block column and what was found."""
-    docs = blocks.where("slice is null").drop("slice", "words", "numbers")
+    docs = blocks.where("slice is null").drop("slice", "words", "numbers", "counts")
     docs = docs.select(*[F.col(c).alias(c) for c in docs.columns])  # columns of its own: both sides come from one table
     return docs.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(rebuild, schema)
