@@ -207,6 +207,8 @@ def _compare_blocks(apart: DataFrame, sets: DataFrame, sketches: DataFrame, perc
     right = packed.select("bucket", F.col("block").alias("j"), F.col("rows").alias("y"), F.explode(F.sequence(F.lit(0), "block")).alias("i"))
 
     def links(key, xs: pa.Table, ys: pa.Table) -> pa.Table:
+        if not xs.num_rows or not ys.num_rows:  # members fall into blocks by hash: some stay empty
+            return pa.table([pa.array([], pa.binary()), pa.array([], pa.binary())], names=["a", "b"])
         bucket, i, j = (v.as_py() for v in key)
         x, y = xs.column("x").to_pylist()[0], ys.column("y").to_pylist()[0]
         cols = lambda rows, c, t: np.array([np.frombuffer(r[c], t) if isinstance(r[c], bytes) else r[c] for r in rows])

@@ -61,5 +61,21 @@ def test_hub_with_copies_that_are_not_alike(spark):
     assert {c for i, _, c in got if i < 200} == {0} and {c for i, _, c in got if i >= 300} == {300}
 
 
+def test_blocks_without_members(spark, monkeypatch):
+    """Two long texts that share buckets, are not linked, and make more blocks than there are members."""
+    monkeypatch.setattr(minhash, "BLOCK_BYTES", 4000)
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    one = [r.choice(words) for _ in range(2000)]
+    two = list(one)
+    for k in range(0, 2000, 30):
+        two[k] = f"new{k}"
+    three = [r.choice(words) for _ in range(2000)]
+    data = [(1, " ".join(one)), (2, " ".join(two)), (3, " ".join(three)), (4, " ".join([*three[:1000], "new", *three[1001:]]))]
+    data = [(*d, *([None] * 10)) for d in data]
+    got = found(spark.createDataFrame(data, SCHEMA))
+    assert got == brute(data) and [c for _, _, c in got] == [1, 2, 3, 3]
+
+
 def test_empty_table(spark):
     assert minhash.near_duplicates(documents(spark, [])).count() == 0
