@@ -9,8 +9,9 @@ dozen nodes; pages are independent, so no step shuffles them.
 
 Edge cases: null or empty html has empty text; unclosed tags, comments and quotes end with the
 page; text outside any tag is a block; character references are decoded once, unknown ones stay;
-scripts, styles and other elements without readable text are left out whole; repeated pages give
-repeated rows; an empty table gives an empty result; other columns are not read.
+scripts, styles and other elements without readable text are left out whole, where their content is
+raw up to the next end tag of that name, whatever it holds; a head without an end tag ends at the
+first tag or text that may not stand in it; repeated pages give repeated rows; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -64,7 +65,11 @@ _BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SILENT = frozenset(
-    "audio button canvas datalist head iframe math noscript object script select style svg template textarea title video".split())
+    "audio button canvas datalist iframe math noscript object script select style svg template textarea title video".split())
+#: Silent elements whose content is not markup, with their end tags.
+_RAW = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in "iframe noscript script style textarea title".split()}
+#: What may stand in a head.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noscript script style template title".split())
 _FURNITURE = frozenset("aside dialog footer form menu nav".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
@@ -114,7 +119,7 @@ def blocks_of(page: str) -> list[Block]:
     stack: list[tuple[str, bool, bool]] = []  # tag, and whether it or an ancestor is furniture, is main
     held: list[str] = []
     linked: list[str] = []
-    in_link, heading, silent, at = 0, False, None, 0
+    in_link, heading, silent, in_head, at = 0, False, None, False, 0
 
     def close() -> None:
         nonlocal heading
@@ -137,31 +142,43 @@ def blocks_of(page: str) -> list[Block]:
                 return
 
     def say(text: str) -> None:
-        if text:
+        nonlocal in_head
+        if in_head and text.strip(" \t\n\r\f"):
+            in_head = False
+        if text and not in_head:
             held.append(text)
             if in_link:
                 linked.append(text)
 
-    for m in _TOKEN.finditer(page):
+    while m := _TOKEN.search(page, at):
         start = m.start()
         if silent is None:
             say(page[at:start])
         at = m.end()
         if m[2] is None:
-            if silent is None and page.startswith("<![CDATA[", start):
+            if silent is None and not in_head and page.startswith("<![CDATA[", start):
                 say(html_lib.escape(page[start + 9:at].removesuffix("]]>")))
             continue
-        tag, closing = m[2].lower(), m[1] == "/"
+        tag, closing, void = m[2].lower(), m[1] == "/", m[3].rstrip(">").endswith("/")
+        if silent is None:
+            if tag == "head":
+                in_head = not closing
+                continue
+            if in_head:
+                in_head = tag not in ("body", "br", "html") if closing else tag in _IN_HEAD
+                if in_head and tag not in _SILENT:
+                    continue
+        if tag in _RAW and not closing and not (void and (tag == "noscript" or silent in ("math", "svg"))):
+            end = _RAW[tag].search(page, at)
+            at = _TOKEN.match(page, end.start()).end() if end else len(page)
+            continue
         if silent is not None:
             # Inside an element without readable text only its own end counts.
             if closing and tag == silent:
                 silent = None
-            elif silent == "head" and tag == "body" and not closing:
-                silent = None
-            if silent is not None or closing:
-                continue
+            continue
         if tag in _SILENT and not closing:
-            if not m[3].rstrip(">").endswith("/") or tag in ("script", "style", "title", "textarea", "iframe"):
+            if not void:
                 silent = tag
             continue
         if tag == "br":
@@ -190,7 +207,7 @@ def blocks_of(page: str) -> list[Block]:
             if tag not in _BLOCK and len(stack) > 1 and stack[-1][0] == tag and stack[-1][1] and not stack[-2][1]:
                 close()
             pop(tag, () if tag in _BLOCK else _BLOCK)
-        elif tag not in _VOID and not m[3].rstrip(">").endswith("/"):
+        elif tag not in _VOID and not void:
             _, furniture, main = stack[-1] if stack else ("", False, False)
             own_furniture, own_main = _kind(tag, m[3], main)
             if tag not in _BLOCK and own_furniture and not furniture:

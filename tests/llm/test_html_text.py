@@ -26,6 +26,34 @@ def test_pages(name):
     assert H.main_text(page, TREE) == want
 
 
+TEXT = "<article><p>One line.</p><p>Another line.</p></article>"
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><script>for(i=0;i<n;i++){{f(i)}}</script>{TEXT}",
+    f"<body><script>if(a<b){{x=\"it's\"}}</script>{TEXT}",
+    f"<body><script>if (a <b) y();</script>{TEXT}<script>z()</script>",
+    f"<body><script>var s = '<!-- <p>';</script>{TEXT}",
+    f"<body><SCRIPT>a='</p><b'</SCRIPT >{TEXT}",
+    f"<html><head><title>t <b it's</title><style>a:before{{content:'<x'}}</style><script>if(a<b)c()</script></head><body>{TEXT}",
+    f"<body><textarea>a <b \"c</textarea>{TEXT}",
+    f"<body><iframe><!-- </iframe>{TEXT}",
+    f"<body><noscript><img alt='x></noscript>{TEXT}",
+    f"<body><svg><title/><style>a>b</style><script href=x /><path d=''/></svg>{TEXT}",
+    f"<body><button><script>if(a<b)c()</script>Push</button>{TEXT}",
+    f"<html><head><meta charset=utf-8><title>t</title><link rel=x href=y><noscript><img src=z></noscript>\n{TEXT}",
+    f"<head><title>t</title><template><p>no</p></template><header>Site</header>{TEXT}",
+    f"<head><script>if(a<b)c()</script><base href=x></head>{TEXT}",
+    f"<head><title>t</title></html>{TEXT}",
+])
+def test_raw_content_and_heads_end_where_they_should(page):
+    assert H.main_text(page, TREE) == "One line.\n\nAnother line."
+
+
+def test_head_ends_at_text():
+    assert [b.text for b in H.blocks_of("<head><title>t</title>Some text<p>more")] == ["Some text", "more"]
+
+
 def test_long_and_hostile_pages():
     assert H.main_text("<article>" + "<div>" * 30_000 + "deep" + "</div>" * 30_000 + "</article>", TREE) == "deep"
     assert H.main_text("<" * 100_000, TREE) == ""
