@@ -14,6 +14,10 @@ from pitchside.llm import byte_bpe, minhash, mixing, toxicity
 from pitchside.llm.common import table, written
 
 
+#: Percent of shared five-word shingles from which two documents count as near-duplicates.
+NEAR_PERCENT = 80
+
+
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score stays below the threshold; the model learns from the labelled ones among ``docs``."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~toxicity.held_out()))
@@ -23,7 +27,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: the one with the smallest id. Documents without an id cannot be told apart and stay."""
-    found = minhash.near_duplicates(docs)
+    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT)
     kept = written(found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct(), "pipeline-kept")
     # Repeated rows of a kept document: same id, same words. Its id already holds them together.
     words = F.xxhash64(F.array_join(F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"[\x20\x09-\x0D]+"), " "))

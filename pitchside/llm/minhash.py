@@ -17,8 +17,8 @@ Candidates of a bucket form a star around one centre, so their number is the buc
    too few bins, and otherwise confirmed on the full sets within the task. Only links leave it.
 
 So no link that two documents of one bucket have is lost to the stars, and no step emits all
-pairs of a group. With 28 bands of 6 bins two documents at similarity 0.85 share no bucket
-with a probability of 2e-6.
+pairs of a group. Bands follow the threshold (``bands_for``): with 28 bands of 6 bins two documents at
+similarity 0.85 share no bucket with a probability of 2e-6, and so do two at 0.8 with 34 bands of 5.
 
 Edge cases: null or empty text, or text without words, has an empty set, links with nothing and
 is its own component; a text shorter than a shingle is one shingle; rows with a null id take part,
@@ -28,6 +28,7 @@ table gives an empty result; other input columns are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +41,10 @@ from .common import table, written
 from .components import connected_components
 
 SHINGLE = 5
-BANDS, ROWS = 28, 6
-BINS = BANDS * ROWS
-#: Share of agreeing bins below which a pair is not confirmed: at similarity 0.85 and 168 bins, five standard deviations lower.
-SLACK = 0.14
+#: Probability with which a pair at the threshold may share no bucket, and the most bins of a signature (unless bands of one need more).
+MISS, MOST_BINS = 2e-6, 170
+#: Standard deviations below the threshold at which a pair's share of agreeing bins is too small to confirm it.
+DEVIATIONS = 5.1
 #: Bytes of shingle sets in one block of step 3.
 BLOCK_BYTES = 1_000_000
 
@@ -82,38 +83,56 @@ def shingle_set(text: str | None, hashes: WordHashes, width: int = SHINGLE) -> n
     return np.unique(_scramble(h))
 
 
-_PROBES: list[np.ndarray] = []
+def bands_for(percent: int) -> tuple[int, int]:
+    """(bands, bins of a band) for a threshold: the longest bands with which pairs at it are missed no more often than ``MISS``."""
+    alike = min(percent, 99) / 100
+    for rows in range(16, 0, -1):
+        bands = math.ceil(math.log(MISS) / math.log1p(-alike ** rows))
+        if bands * rows <= MOST_BINS or rows == 1:
+            return bands, rows
+    raise AssertionError
 
 
-def _probe(step: int) -> np.ndarray:
+def least_agreement(percent: int) -> float:
+    """Share of agreeing bins below which a pair is not confirmed."""
+    bands, rows = bands_for(percent)
+    alike = percent / 100
+    return alike - DEVIATIONS * math.sqrt(alike * (1 - alike) / (bands * rows))
+
+
+_PROBES: dict[int, list[np.ndarray]] = {}
+
+
+def _probe(step: int, n_bins: int) -> np.ndarray:
     """The bin that each empty bin looks at in its ``step``-th attempt."""
-    while len(_PROBES) <= step:
-        seed = np.arange(BINS, dtype=np.uint64) * _MIX[0] + np.uint64((len(_PROBES) + 1) * int(_MIX[1]) % 2**64)
-        _PROBES.append((_scramble(seed) % np.uint64(BINS)).astype(np.int64))
-    return _PROBES[step]
+    probes = _PROBES.setdefault(n_bins, [])
+    while len(probes) <= step:
+        seed = np.arange(n_bins, dtype=np.uint64) * _MIX[0] + np.uint64((len(probes) + 1) * int(_MIX[1]) % 2**64)
+        probes.append((_scramble(seed) % np.uint64(n_bins)).astype(np.int64))
+    return probes[step]
 
 
-def signature(shingles: np.ndarray) -> np.ndarray:
+def signature(shingles: np.ndarray, n_bins: int) -> np.ndarray:
     """One value per bin; of a non-empty sorted set."""
     # Bins are ranges of the hash, so a bin's minimum is the first of its run in the sorted set.
-    bins = ((shingles >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
+    bins = ((shingles >> np.uint64(32)) * np.uint64(n_bins) >> np.uint64(32)).astype(np.int64)
     first = np.flatnonzero(np.diff(bins, prepend=-1))
-    own = np.zeros(BINS, np.uint64)
-    full = np.zeros(BINS, bool)
+    own = np.zeros(n_bins, np.uint64)
+    full = np.zeros(n_bins, bool)
     own[bins[first]], full[bins[first]] = shingles[first], True
     out, empty, step = own.copy(), np.flatnonzero(~full), 0
     while len(empty):
-        at = _probe(step)[empty]
+        at = _probe(step, n_bins)[empty]
         hit = full[at]
         out[empty[hit]] = own[at[hit]]
         empty, step = empty[~hit], step + 1
     return out
 
 
-def band_hashes(sig: np.ndarray) -> np.ndarray:
-    parts = sig.reshape(BANDS, ROWS)
-    h = np.arange(BANDS, dtype=np.uint64)
-    for j in range(ROWS):
+def band_hashes(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    parts = sig.reshape(bands, rows)
+    h = np.arange(bands, dtype=np.uint64)
+    for j in range(rows):
         h = _scramble(h * _MIX[0] + parts[:, j])
     return h.view(np.int64)
 
@@ -124,7 +143,8 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+    n_bands, n_rows = bands_for(percent)
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_shingles", T.LongType()),
                            T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
@@ -136,15 +156,16 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFr
                 s = shingle_set(text, hashes, width)
                 n.append(len(s))
                 keys.append(set_key(s) if len(s) else None)
-                bands.append(band_hashes(signature(s)) if len(s) else None)
+                bands.append(band_hashes(signature(s, n_bands * n_rows), n_bands, n_rows) if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=schema.names)
 
     return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(sketch, schema), "minhash-sketches")
 
 
-def _full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+def _full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
     """``(key, shingles, signature)`` of the nodes in ``chosen (id, key)``, from their texts."""
     schema = "key binary, shingles array<bigint>, signature binary"
+    n_bins = math.prod(bands_for(percent))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -155,7 +176,7 @@ def _full_sets(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str, w
                 if len(s) and set_key(s) == key:  # an id may stand on rows with different texts
                     keys.append(key)
                     found.append(s.view(np.int64))
-                    sigs.append(signature(s).astype("<u2").tobytes())
+                    sigs.append(signature(s, n_bins).astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(sigs, pa.binary())], names=["key", "shingles", "signature"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, F.col("id").eqNullSafe(F.col("of"))).select("key", "text")
@@ -197,6 +218,7 @@ def _apart(members: DataFrame, hubs: DataFrame) -> DataFrame:
 
 def _compare_blocks(apart: DataFrame, sets: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     """Links between members of one bucket that have different hubs, all pairs looked at in blocks."""
+    least = least_agreement(percent)
     bands = sketches.where("key is not null").groupBy("key").agg(F.first("bands").alias("bands"))
     full = apart.join(sets, "key")
     sized = written(full.groupBy("bucket").agg(F.ceil(F.sum(F.size("shingles") * 8 + 1000) / BLOCK_BYTES).cast("int").alias("blocks")), "minhash-sizes")
@@ -218,7 +240,7 @@ def _compare_blocks(apart: DataFrame, sets: DataFrame, sketches: DataFrame, perc
         for p, row in enumerate(x):
             same = yband == np.array(row["bands"], np.int64)
             shared = same.any(axis=1)
-            near = (ysig == np.frombuffer(row["signature"], "<u2")).mean(axis=1) >= percent / 100 - SLACK
+            near = (ysig == np.frombuffer(row["signature"], "<u2")).mean(axis=1) >= least
             here = yband[np.arange(len(y)), same.argmax(axis=1)] == bucket
             look = np.flatnonzero(near & shared & here & (yhub != row["hub"]) & ((np.arange(len(y)) > p) | (i != j)))
             if len(look):
@@ -236,14 +258,14 @@ def _compare_blocks(apart: DataFrame, sets: DataFrame, sketches: DataFrame, perc
 
 def near_duplicates(docs: DataFrame, percent: int = 85, width: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_shingles, component_id (smallest id of its component) and kept (it is that document)."""
-    sketches = _sketches(docs, id_col, text_col, width)
+    sketches = _sketches(docs, id_col, text_col, width, percent)
     exploded = sketches.where("key is not null").select(F.explode("bands").alias("bucket"), "key")
     # Buckets with two different nodes; the smallest is the first centre.
     stars = written(exploded.groupBy("bucket").agg(F.min("key").alias("a"), F.max("key").alias("z")).where("a <> z").select("bucket", "a"), "minhash-stars")
     members = written(exploded.join(stars.select("bucket"), "bucket", "left_semi").distinct(), "minhash-members")
     named = sketches.where("key is not null").groupBy("key").agg(F.min("id").alias("of"))
     chosen = named.join(members.select("key").distinct(), "key", "left_semi")
-    sets = _full_sets(docs, chosen, id_col, text_col, width)
+    sets = _full_sets(docs, chosen, id_col, text_col, width, percent)
 
     first = members.join(stars, "bucket").where("a <> key").select("a", F.col("key").alias("b")).distinct()
     links = written(_confirmed(first, sets, percent), "minhash-links")

@@ -1,5 +1,7 @@
 """Every stage on its own input, and the whole on a small table."""
 
+import random
+
 import corpus_pipeline
 from pitchside.llm import mixing, toxicity
 
@@ -23,6 +25,22 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert corpus_pipeline.drop_near_duplicates(spark, documents(spark, []).select(*COLUMNS), SF001).count() == 0
 
 
+def test_near_copies_from_80_percent_on_go(spark):
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    data = []
+    for i in range(300):  # one word of 50 changed: 41 of 51 shingles shared; two of them: fewer than 80 %
+        text = [r.choice(words) for _ in range(50)]
+        other = list(text)
+        for k in (20,) if i % 3 else (10, 30):
+            other[k] = "new"
+        data += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(other))]
+    data = [(*d, *([None] * 10)) for d in data]
+    want = {i for i, _, c in brute(data, 80) if i == c}
+    kept = corpus_pipeline.drop_near_duplicates(spark, documents(spark, data).select(*COLUMNS), SF001)
+    assert {x.doc_id for x in kept.collect()} == want and len(want) == 400
+
+
 def test_stages_in_turn(spark):
     docs = spark.read.parquet(f"{SF001}/documents.parquet")
     names = [n for n, _ in corpus_pipeline.STAGES]
