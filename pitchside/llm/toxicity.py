@@ -15,26 +15,26 @@ documents, so a text with many copies proves nothing; a code goes into the toxic
 share of toxic contexts is significantly high.
 
 The fit sees at most ``MOST_TOXIC`` toxic and ``MOST_ORDINARY`` ordinary labelled texts (whole
-texts, drawn by a hash of the id); every document is scored in full. The model has the size of
-its dictionaries (some 50 kB) whatever the data.
+texts, drawn by a hash of the id); every document is scored in full. Contexts and codes are
+counted in the executors: the driver sees the codes that enter a dictionary and a few numbers per
+drawn text, no text. The model has the size of its dictionaries (some 50 kB) whatever the data.
 
 Edge cases: null and empty texts have no window and get the score of a text without savings;
 rows without an id are scored, never learnt from; repeated labels of one id count as toxic if
-any says so; labels that are null are ignored; without toxic or without ordinary labels every
+any says so; of several texts with one id the smallest is learnt from; labels that are null are ignored; without toxic or without ordinary labels every
 score is the share of toxic labels (0 without labels); input columns beside id and text are not read.
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -82,44 +82,88 @@ def windows_of(words: Sequence[bytes], codes: Codes) -> list[bytes]:
     return [b"".join(map(codes.__getitem__, words[i:i + WINDOW])) for i in range(0, len(words), WINDOW)]
 
 
-def dictionaries(texts: Sequence[str | None], labels: Sequence[int]) -> tuple[bytes, bytes]:
-    """The ordinary and the toxic dictionary of labelled texts; the strongest codes stand last, nearest to the window."""
-    codes, names = Codes(), {b"": 0}
-    contexts: tuple[list, list] = ([], [])
-    for text, label in zip(texts, labels, strict=True):
-        w = np.array([0, *(names.setdefault(x, len(names)) for x in words_of(text)), 0], np.uint64)
-        mixed = (w[:-2] * _MIX[0] + w[1:-1]) * _MIX[1] + w[2:]
-        mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX[0]
-        contexts[label].append(np.stack([mixed ^ (mixed >> np.uint64(32)), w[1:-1]]))
-    # Distinct contexts (as 64-bit hashes) and the words that stand in them.
-    plain, bad = (np.concatenate([np.empty((2, 0), np.uint64), *c], axis=1) for c in contexts)
-    plain = plain[:, np.unique(plain[0], return_index=True)[1]]
-    bad = bad[:, np.unique(bad[0], return_index=True)[1]]
-    bad = bad[:, ~np.isin(bad[0], plain[0])]
-    every, toxic = Counter(), Counter()
-    listed = list(names)
-    for label, held in ((0, plain), (1, bad)):
-        counts = np.bincount(held[1].astype(np.int64), minlength=len(listed))
-        for i in np.flatnonzero(counts):
-            whole, n = codes[listed[i]], int(counts[i])
-            for code in {whole[j:j + CODE] for j in range(0, len(whole), CODE)}:
-                every[code] += n
-                if label:
-                    toxic[code] += n
-    common = sorted(((n - toxic[c], c) for c, n in every.items() if n > toxic[c]))
-    ordinary = b"".join(c for _, c in common[-(ORDINARY_BYTES // CODE):])
-    if not plain.shape[1] or not bad.shape[1]:
-        return ordinary, b""
-    share = bad.shape[1] / (plain.shape[1] + bad.shape[1])
-    found = []
-    for code, k in toxic.items():
-        n = every[code]
-        q = k / n
-        if k >= 3 and q >= 0.6:
-            gain = 2 * k * math.log(q / share) + (2 * (n - k) * math.log((1 - q) / (1 - share)) if k < n else 0.0)
-            if gain >= 20:
-                found.append((gain, code))
-    return ordinary, b"".join(c for _, c in sorted(found)[-(TOXIC_BYTES // CODE):])
+#: Flags of a context: the class and the half of a text in which it stands.
+def _flag(toxic: int, half: int) -> int:
+    return 1 << (2 * toxic + half)
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each batch of ``(toxic, half, text)`` the distinct contexts (as 64-bit hashes), the codes of the word in them, and their flag."""
+    from xxhash import xxh3_64_intdigest
+
+    codes = Codes()
+    for batch in batches:
+        names: dict[bytes, int] = {}
+        held = []
+        for toxic, half, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            w = np.array([names.setdefault(x, len(names)) for x in words_of(text)], np.int64)
+            if len(w):
+                held.append((w, _flag(toxic, half)))
+        if not held:
+            continue
+        listed = list(names)
+        hashes = np.fromiter(map(xxh3_64_intdigest, listed), np.uint64, len(listed))
+        contexts, words, flags = [], [], []
+        for w, flag in held:
+            h = np.zeros(len(w) + 2, np.uint64)
+            h[1:-1] = hashes[w]
+            mixed = (h[:-2] * _MIX[0] + h[1:-1]) * _MIX[1] + h[2:]
+            mixed = (mixed ^ (mixed >> np.uint64(29))) * _MIX[0]
+            contexts.append((mixed ^ (mixed >> np.uint64(32))).view(np.int64))
+            words.append(w)
+            flags.append(np.full(len(w), flag, np.int64))
+        context, word, flag = map(np.concatenate, (contexts, words, flags))
+        first = np.unique(np.stack([context, flag]), axis=1, return_index=True)[1]
+        word = word[first]
+        whole = np.frombuffer(b"".join(codes[x] for x in listed), np.uint8).reshape(len(listed), -1, CODE).astype(np.int64)
+        numbers = (whole << (8 * np.arange(CODE - 1, -1, -1))).sum(axis=2)[word]
+        for at in range(0, len(first), 50_000):
+            part = slice(at, at + 50_000)
+            own = numbers[part]
+            yield pa.RecordBatch.from_arrays([
+                pa.array(context[first][part]), pa.array(flag[first][part], pa.int32()),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1]), pa.int32()), pa.array(own.ravel()))], names=["context", "flag", "codes"])
+
+
+def _listed(codes: DataFrame, order: Column, most: int) -> bytes:
+    """The codes largest in ``order``, the largest last."""
+    best = codes.orderBy(order.desc(), F.desc("code")).limit(most).select("code").collect()  # at most a dictionary's codes
+    return b"".join(int(r[0]).to_bytes(CODE, "big") for r in reversed(best))
+
+
+def dictionaries(rows: DataFrame, tellings: Sequence[Sequence[int]]) -> list[tuple[bytes, bytes]]:
+    """For each telling (a list of halves) the ordinary and the toxic dictionary of its texts; the strongest codes stand last, nearest to the window.
+
+    ``rows`` has toxic, half and text. Contexts are told apart, and codes counted, in the executors;
+    only the codes that pass come to the driver.
+    """
+    seen = rows.select(F.col("toxic").cast("int"), F.col("half").cast("int"), "text").mapInArrow(_contexts, "context long, flag int, codes array<long>")
+    once = seen.groupBy("context").agg(F.bit_or("flag").alias("flags"), F.min("codes").alias("codes"))
+
+    def told(halves: Sequence[int]) -> tuple[Column, Column]:
+        """Whether a context counts, and whether as a toxic one: one that stands in no ordinary text."""
+        plain = F.col("flags").bitwiseAND(F.lit(sum(_flag(0, h) for h in halves))) != 0
+        bad = F.col("flags").bitwiseAND(F.lit(sum(_flag(1, h) for h in halves))) != 0
+        return plain | bad, bad & ~plain
+
+    names = [(f"n{i}", f"k{i}", *told(halves)) for i, halves in enumerate(tellings)]
+    sums = [F.count_if(c).alias(name) for n, k, every, toxic in names for name, c in ((n, every), (k, toxic))]
+    once = written(once, "toxicity-contexts")
+    alike = once.select("flags", F.explode(F.array_distinct("codes")).alias("code"))
+    totals = once.agg(*sums).first()
+    counts = written(alike.groupBy("code").agg(*sums), "toxicity-codes")
+    out = []
+    for i in range(len(tellings)):
+        n, k = F.col(f"n{i}"), F.col(f"k{i}")
+        ordinary = _listed(counts.where(n > k), n - k, ORDINARY_BYTES // CODE)
+        every, bad = totals[f"n{i}"], totals[f"k{i}"]
+        if not bad or bad == every:
+            out.append((ordinary, b""))
+            continue
+        share = bad / every
+        gain = 2 * k * F.log(k / n / share) + F.when(k < n, 2 * (n - k) * F.log((1 - k / n) / (1 - share))).otherwise(0.0)
+        out.append((ordinary, _listed(counts.where((k >= 3) & (k / n >= 0.6) & (gain >= 20)), gain, TOXIC_BYTES // CODE)))
+    return out
 
 
 class Distance:
@@ -205,21 +249,22 @@ def train(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most
         return Model(b"", b"", (), prior)
     drawn = _drawn(labelled, 1, most_toxic).union(_drawn(labelled, 0, most_ordinary))
     # At most most_toxic + most_ordinary rows of two numbers: small enough to send to every task.
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").dropDuplicates(["id"])
+    # Of several texts with one id the smallest counts, on every run.
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(drawn), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))
     half = F.conv(F.substring(F.md5(F.concat(F.lit("half"), F.col("id").cast("string"))), 1, 4), 16, 10).cast("int") % 2
     rows = written(rows.select("id", "text", "toxic", half.alias("half")), "toxicity-drawn")
-    seen = rows.toPandas().sort_values("id")
     spark = docs.sparkSession
+    classes = {tuple(r) for r in rows.select("half", "toxic").distinct().collect()}
+    without = dictionaries(rows, [(1,), (0,), (0, 1)])
     schema = f"id {docs.schema[id_col].dataType.simpleString()}, toxic bigint, f array<double>"
     measured = []
     # Each half is measured, in parallel, with the dictionaries of the other; a few numbers per text come back.
     for k in (0, 1):
-        told, held = seen[seen["half"] != k], seen[seen["half"] == k]
-        if len(held) and told["toxic"].nunique() == 2:
-            other = Model(*dictionaries(told["text"].tolist(), told["toxic"].tolist()), (), prior)
+        if {(1 - k, 0), (1 - k, 1)} <= classes and classes & {(k, 0), (k, 1)}:
+            other = Model(*without[k], (), prior)
             texts = rows.where(F.col("half") == k).select("id", "text", "toxic").repartition(spark.sparkContext.defaultParallelism)
             measured.append(texts.mapInArrow(_feature_task(spark, other, 1), schema).toPandas().sort_values("id"))
-    ordinary, toxic = dictionaries(seen["text"].tolist(), seen["toxic"].tolist())
+    ordinary, toxic = without[2]
     if not measured:
         return Model(ordinary, toxic, (), prior)
     back = pd.concat(measured)
