@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, imatch, license_scan, minhash, mixing, mixing_lm, toxicity, url_filter, vectors
+from . import byte_bpe, html_text, imatch, license_scan, merkle, minhash, mixing, mixing_lm, toxicity, url_filter, vectors, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_document_fingerprints": imatch.op8_document_fingerprints,
         "op9_minhash_near_dedup": minhash.op9_minhash_near_dedup,
         "op10_toxicity": toxicity.op10_toxicity,
+        "op11_embedding_whitening": whitening.op11_embedding_whitening,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
     }
 
 
@@ -24,4 +26,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_url_filters": url_filter.OP5_SQL,
         "op7_mixing_sources": mixing.OP7_SQL,
+        "op12_merkle_manifest": merkle.OP12_SQL,
     }
