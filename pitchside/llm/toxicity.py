@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,7 +50,11 @@ BEGINNINGS, CODE = (4, 6), 6
 LEVEL, MIN_MATCH = 6, 5
 ORDINARY_BYTES, TOXIC_BYTES = 24_576, 24_576
 THRESHOLD = 0.3
+#: Bytes of text that a task handles at a time, and words whose codes it keeps.
+PIECE, KEPT_CODES = 2_000_000, 200_000
 
+#: Columns of a word's codes.
+_CODES = tuple(f"c{i}" for i in range(len(BEGINNINGS) + 1))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
 
 
@@ -71,7 +76,7 @@ class Codes(dict):
     def __missing__(self, word: bytes) -> bytes:
         from xxhash import xxh3_64_digest
 
-        if len(self) > 500_000:
+        if len(self) > KEPT_CODES:
             self.clear()
         parts = [xxh3_64_digest(word[:n], seed=n)[:CODE] for n in BEGINNINGS] + [xxh3_64_digest(word)[:CODE]]
         code = self[word] = b"".join(parts)
@@ -87,12 +92,23 @@ def _flag(toxic: int, half: int) -> int:
     return 1 << (2 * toxic + half)
 
 
+def pieces(batch: pa.RecordBatch, text_at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with some ``PIECE`` bytes of text (a longer text stands alone), so that memory does not grow with the batch."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, before + PIECE, "right")))
+        yield batch.slice(start, stop - start)
+        start = stop
+
+
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each batch of ``(toxic, half, text)`` the distinct contexts (as 64-bit hashes), the codes of the word in them, and their flag."""
+    """Of ``(toxic, half, text)`` the distinct contexts of a piece (as 64-bit hashes), their flag, and the codes of the word in them."""
     from xxhash import xxh3_64_intdigest
 
     codes = Codes()
-    for batch in batches:
+    for batch in (part for whole in batches for part in pieces(whole, 2)):
         names: dict[bytes, int] = {}
         held = []
         for toxic, half, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -101,8 +117,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held.append((w, _flag(toxic, half)))
         if not held:
             continue
-        listed = list(names)
-        hashes = np.fromiter(map(xxh3_64_intdigest, listed), np.uint64, len(listed))
+        hashes = np.fromiter(map(xxh3_64_intdigest, names), np.uint64, len(names))
         contexts, words, flags = [], [], []
         for w, flag in held:
             h = np.zeros(len(w) + 2, np.uint64)
@@ -114,15 +129,9 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             flags.append(np.full(len(w), flag, np.int64))
         context, word, flag = map(np.concatenate, (contexts, words, flags))
         first = np.unique(np.stack([context, flag]), axis=1, return_index=True)[1]
-        word = word[first]
-        whole = np.frombuffer(b"".join(codes[x] for x in listed), np.uint8).reshape(len(listed), -1, CODE).astype(np.int64)
-        numbers = (whole << (8 * np.arange(CODE - 1, -1, -1))).sum(axis=2)[word]
-        for at in range(0, len(first), 50_000):
-            part = slice(at, at + 50_000)
-            own = numbers[part]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(context[first][part]), pa.array(flag[first][part], pa.int32()),
-                pa.ListArray.from_arrays(pa.array(np.arange(0, own.size + 1, own.shape[1]), pa.int32()), pa.array(own.ravel()))], names=["context", "flag", "codes"])
+        whole = np.frombuffer(b"".join(map(codes.__getitem__, names)), np.uint8).reshape(len(names), -1, CODE).astype(np.int64)
+        numbers = (whole << (8 * np.arange(CODE - 1, -1, -1))).sum(axis=2)[word[first]]
+        yield pa.RecordBatch.from_arrays([pa.array(context[first]), pa.array(flag[first], pa.int32()), *(pa.array(c) for c in numbers.T)], names=["context", "flag", *_CODES])
 
 
 def _listed(codes: DataFrame, order: Column, most: int) -> bytes:
@@ -137,8 +146,8 @@ def dictionaries(rows: DataFrame, tellings: Sequence[Sequence[int]]) -> list[tup
     ``rows`` has toxic, half and text. Contexts are told apart, and codes counted, in the executors;
     only the codes that pass come to the driver.
     """
-    seen = rows.select(F.col("toxic").cast("int"), F.col("half").cast("int"), "text").mapInArrow(_contexts, "context long, flag int, codes array<long>")
-    once = seen.groupBy("context").agg(F.bit_or("flag").alias("flags"), F.min("codes").alias("codes"))
+    seen = rows.select(F.col("toxic").cast("int"), F.col("half").cast("int"), "text").mapInArrow(_contexts, "context long, flag int, " + ", ".join(f"{c} long" for c in _CODES))
+    once = seen.groupBy("context").agg(F.bit_or("flag").alias("flags"), *[F.min(c).alias(c) for c in _CODES])
 
     def told(halves: Sequence[int]) -> tuple[Column, Column]:
         """Whether a context counts, and whether as a toxic one: one that stands in no ordinary text."""
@@ -149,7 +158,7 @@ def dictionaries(rows: DataFrame, tellings: Sequence[Sequence[int]]) -> list[tup
     names = [(f"n{i}", f"k{i}", *told(halves)) for i, halves in enumerate(tellings)]
     sums = [F.count_if(c).alias(name) for n, k, every, toxic in names for name, c in ((n, every), (k, toxic))]
     once = written(once, "toxicity-contexts")
-    alike = once.select("flags", F.explode(F.array_distinct("codes")).alias("code"))
+    alike = once.select("flags", F.explode(F.array_distinct(F.array(*_CODES))).alias("code"))
     totals = once.agg(*sums).first()
     counts = written(alike.groupBy("code").agg(*sums), "toxicity-codes")
     out = []
@@ -280,7 +289,7 @@ def _feature_task(spark: SparkSession, model: Model, text_at: int):
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(shared.value)
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole, text_at)):
             f = [features(s) for s in distance.savings(batch.column(text_at).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2).cast(pa.int64()), pa.array(f, pa.list_(pa.float64()))], names=["id", "toxic", "f"])
 
@@ -299,11 +308,11 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distance = Distance(shared.value)
         w = np.array(shared.value.weights)
-        for batch in batches:
-            if batch.num_rows:
-                f = np.array([features(s) for s in distance.savings(batch.column(columns.index(text_col)).to_pylist())])
-                p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in out), pa.array(p)], names=schema.names)
+        text_at = columns.index(text_col)
+        for batch in (part for whole in batches for part in pieces(whole, text_at)):
+            f = np.array([features(s) for s in distance.savings(batch.column(text_at).to_pylist())])
+            p = 1 / (1 + np.exp(-np.clip(f @ w[:-1] + w[-1], -30, 30)))
+            yield pa.RecordBatch.from_arrays([*(batch.column(columns.index(c)) for c in out), pa.array(p)], names=schema.names)
 
     return docs.select(*columns).mapInArrow(task, schema)
 
