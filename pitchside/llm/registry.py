@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, html_text, imatch, license_scan, merkle, minhash, mixing, mixing_lm, toxicity, url_filter, vectors, whitening
+from . import byte_bpe, html_text, imatch, license_scan, merkle, minhash, mixing, mixing_lm, routed_ann, toxicity, url_filter, vectors, whitening
 
 
 def queries() -> dict:
@@ -19,6 +19,7 @@ def queries() -> dict:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_embedding_whitening": whitening.op11_embedding_whitening,
         "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_approximate_neighbours": routed_ann.op13_approximate_neighbours,
     }
 
 
