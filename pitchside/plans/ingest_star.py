@@ -1,11 +1,13 @@
-"""Write and reopen a star schema (I10: re-runnable load of the conformed tables).
+"""Write, refresh and cut a stored star (I10: re-runnable load of the conformed tables).
 
-Both facts are written partitioned by ``season_id`` and, where the rows come
-from files, by the file's name: partition pruning for per-season work, and one
-season (:func:`reload_season`) or one file (the stream) can be replaced alone,
-match and odds together. Rows are sorted by those columns inside each task
-before the write, so every task writes one file per partition it holds, whatever
-the data size; no repartition funnels a season into one task.
+Every write is a new version of the star (``sources.store``): folders of its own, then one pointer.
+Facts are stored by league, season and file, so one file, one season or one league is replaced
+without touching the folders of the others. Rows are sorted by those columns inside each task
+before the write, so every task writes one file per part it holds, whatever the data size; no
+repartition funnels a season into one task.
+
+The ledger is the table of arrived files: one row per league and full path, with the digest of the
+content that arrived last, and the commits that hold its match rows and its quarantined rows.
 
 With ``buckets``, ``match`` and ``match_odds`` are also bucketed (and sorted)
 by ``match_id`` into the same number of buckets and registered as tables, so
@@ -17,60 +19,135 @@ unique key, so no skew) to write exactly one file per bucket and season.
 from __future__ import annotations
 
 import os
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.star import STAR_TABLES, Star
-
+from ..sources.star import FACT_SCHEMAS, STAR_TABLES, Star, read_fact
+from ..sources.store import PARTS, Snapshot, buried, current, new_commit, publish, read_parts, table_path, write_table
 
-FACTS = ("match", "match_odds")
+FACTS = tuple(FACT_SCHEMAS)
+DIMENSIONS = tuple(t for t in STAR_TABLES if t not in FACTS)
+LEDGER = "files"
+REJECTED = "rejected"
+LEDGER_SCHEMA = ("league_id long, league_code string, path string, name string, namesake int, file_id string, digest string, "
+                 "season_id long, lines long, state string, reason string, facts string, rejects string")
 
 
-def write_fact(df: DataFrame, path: str, mode: str = "overwrite", replace_parts: bool = False) -> None:
-    """Write a fact by season and source file; ``replace_parts`` overwrites only the partitions that ``df`` has rows for."""
-    by = [c for c in ("season_id", "source_name") if c in df.columns]
-    writer = df.sortWithinPartitions(*by).write.mode(mode).partitionBy(*by)
-    writer.option("partitionOverwriteMode", "dynamic" if replace_parts else "static").parquet(path)
+def read_ledger(spark: SparkSession, root: str, held: Snapshot | None = None) -> DataFrame:
+    """The arrived files of the current (or the given) version."""
+    held = held or current(spark, root)
+    if held is None:
+        return spark.createDataFrame([], LEDGER_SCHEMA)
+    return spark.read.schema(LEDGER_SCHEMA).parquet(table_path(root, LEDGER, held.tables[LEDGER]))
 
 
-def write_rejected(rejected: DataFrame, root: str, replace_parts: bool = False) -> None:
-    """Quarantined rows by source file, so that a replay replaces them."""
-    named = rejected.withColumn("source_name", F.regexp_extract(F.col("source_file"), r"([^/]*)$", 1))
-    write_fact(named, os.path.join(root, "rejected"), replace_parts=replace_parts)
+def read_rejected(spark: SparkSession, root: str, held: Snapshot | None = None) -> DataFrame:
+    """Quarantined rows and files with their reasons."""
+    from .ingest import REJECTED_SCHEMA
+    held = held or current(spark, root)
+    if held is None:
+        raise FileNotFoundError(f"no star at {root}")
+    return read_parts(spark, root, REJECTED, held.rejects, f"{REJECTED_SCHEMA}, file_id string, commit string").drop("commit")
 
 
-def odds_with_season(star: Star) -> DataFrame:
-    """The odds rows with their match's season, as they are stored."""
-    if "season_id" in star.match_odds.columns:
-        return star.match_odds
+def odds_with_parts(star: Star) -> DataFrame:
+    """The odds rows with their match's league and season, as they are stored."""
     if star.odds_aligned is not None:
-        return star.odds_aligned.select(*star.match_odds.columns, "season_id")
-    return star.match_odds.join(star.match.select("match_id", "season_id"), "match_id").select(*star.match_odds.columns, "season_id")
+        return star.odds_aligned.select(*star.match_odds.columns, "league_id", "season_id")
+    return star.match_odds.join(star.match.select("match_id", "league_id", "season_id"), "match_id")
 
 
-def write_star(star: Star, root: str, mode: str = "overwrite") -> None:
-    """Write every table of ``star`` under ``root`` (one folder per table)."""
-    for name in STAR_TABLES:
-        path = os.path.join(root, name)
-        if name in FACTS:
-            write_fact(star.match if name == "match" else odds_with_season(star), path, mode)
-        else:
-            getattr(star, name).write.mode(mode).parquet(path)
-
-
-def reload_season(spark, star: Star, root: str, season_id: int) -> None:
-    """Replace one season of match and odds in place, as ``star`` has it; the other seasons stay untouched."""
-    from ..session import delete_path
-    parts = {"match": star.match, "match_odds": odds_with_season(star)}
-    odds_of = star.match.where(F.col("season_id") == season_id).select("match_id")
-    for name, df in parts.items():
-        part = df.where(F.col("season_id") == season_id)
-        if name == "match_odds":
-            part = part.join(odds_of, "match_id", "left_semi").select(*df.columns)
-        # The season's folder goes first: a stored file that the new rows do not have must not stay.
-        delete_path(spark, os.path.join(root, name, f"season_id={season_id}"))
-        write_fact(part, os.path.join(root, name), replace_parts=True)
+def _season_file():
+    """Rows that came from no file count as one file per league and season."""
+    return F.concat(F.lit("season-"), F.col("league_id").cast("string"), F.lit("-"), F.col("season_id").cast("string"))
+
+
+def publish_star(spark: SparkSession, root: str, base: Snapshot | None, commit: str, dims: Mapping[str, DataFrame] | None, ledger: DataFrame,
+                 facts: Mapping[str, Sequence[str]], rejects: Mapping[str, Sequence[str]]) -> Snapshot:
+    """Write the dimensions (None: as they are) and the ledger, then make all of it the next version.
+
+    Commits that no file of the ledger points at any more are left out.
+    """
+    tables = dict(base.tables) if base else {}
+    for name, df in (dims or {}).items():
+        write_table(df, root, name, commit)
+        tables[name] = commit
+    write_table(ledger, root, LEDGER, commit)
+    tables[LEDGER] = commit
+    # As many rows as there are commits.
+    written = spark.read.schema(LEDGER_SCHEMA).parquet(table_path(root, LEDGER, commit))
+    live = {k: {r[0] for r in written.select(k).where(F.col(k).isNotNull()).distinct().collect()} for k in ("facts", "rejects")}
+    return publish(spark, root, base, tables, {k: v for k, v in facts.items() if k in live["facts"]}, {k: v for k, v in rejects.items() if k in live["rejects"]})
+
+
+def write_star(star: Star, root: str) -> Snapshot:
+    """Write every table of ``star`` as the next version; what stood there before is no part of it."""
+    spark = star.match.sparkSession
+    base, commit = current(spark, root), new_commit()
+    write_table(star.match.withColumn("file_id", _season_file()), root, "match", commit, PARTS)
+    write_table(odds_with_parts(star).withColumn("file_id", _season_file()), root, "match_odds", commit, PARTS)
+    fresh = Snapshot(facts={commit: []})
+    return publish_star(spark, root, base, commit, {name: getattr(star, name) for name in DIMENSIONS},
+                        _own_files(read_fact(spark, root, "match", fresh), star.league, commit), fresh.facts, {})
+
+
+def _own_files(match: DataFrame, league: DataFrame, commit: str) -> DataFrame:
+    """Ledger rows for the rows of a commit that came from no file: one per league and season."""
+    parts = match.groupBy(*PARTS).agg(F.count(F.lit(1)).alias("lines"))
+    named = parts.join(league.select("league_id", F.col("code").alias("league_code")), "league_id", "left")
+    given = {"name": F.col("file_id"), "namesake": F.lit(0), "state": F.lit("loaded"), "facts": F.lit(commit)}
+    return named.select(*[given.get(c.name, F.col(c.name) if c.name in named.columns else F.lit(None)).cast(c.dataType).alias(c.name)
+                          for c in _ledger_fields()])
+
+
+def _ledger_fields():
+    from pyspark.sql.types import StructType
+    return StructType.fromDDL(LEDGER_SCHEMA).fields
+
+
+def reload_season(spark: SparkSession, star: Star, root: str, season_id: int) -> Snapshot:
+    """Replace one season of match and odds, as ``star`` has it; the folders of the other seasons stay as they are."""
+    base, commit = _current(spark, root), new_commit()
+    ledger = read_ledger(spark, root, base)
+    season = F.col("season_id") == season_id
+    match = star.match.where(season)
+    odds = odds_with_parts(star).where(season).join(match.select("match_id"), "match_id", "left_semi")
+    write_table(match.withColumn("file_id", _season_file()), root, "match", commit, PARTS)
+    write_table(odds.withColumn("file_id", _season_file()), root, "match_odds", commit, PARTS)
+    # The files of one season.
+    dead = [tuple(r) for r in ledger.where(season & F.col("facts").isNotNull()).select("facts", "file_id").collect()]
+    own = _own_files(read_fact(spark, root, "match", Snapshot(facts={commit: []})), star.league, commit)
+    left = ledger.where(~F.coalesce(season, F.lit(False)))
+    return publish_star(spark, root, base, commit, None, left.unionByName(own), buried({**base.facts, commit: []}, dead), base.rejects)
+
+
+def delete_stored(spark: SparkSession, root: str, match_ids: DataFrame) -> Snapshot:
+    """I12 (ON DELETE CASCADE) on the stored star: drop the given matches and their odds.
+
+    Only the files that hold one of them are written anew; all others keep their folders.
+    """
+    base, commit = _current(spark, root), new_commit()
+    ids = match_ids.select("match_id").distinct().checkpoint(eager=True)
+    match = read_fact(spark, root, "match", base)
+    hit = match.join(ids, "match_id", "left_semi").select("commit", "file_id").distinct().checkpoint(eager=True)
+    dead = [tuple(r) for r in hit.collect()]     # the files that change
+    if not dead:
+        return base
+    for name in FACTS:
+        left = read_fact(spark, root, name, base).join(hit, ["commit", "file_id"], "left_semi").join(ids, "match_id", "left_anti").drop("commit")
+        write_table(left, root, name, commit, PARTS)
+    moved = hit.select("file_id", F.col("commit").alias("facts"), F.lit(commit).alias("_now"))
+    ledger = read_ledger(spark, root, base).join(moved, ["file_id", "facts"], "left").withColumn("facts", F.coalesce("_now", "facts"))
+    return publish_star(spark, root, base, commit, None, ledger.select(*[c.name for c in _ledger_fields()]), buried({**base.facts, commit: []}, dead), base.rejects)
+
+
+def _current(spark: SparkSession, root: str) -> Snapshot:
+    found = current(spark, root)
+    if found is None:
+        raise FileNotFoundError(f"no star at {root}")
+    return found
 
 
 def write_star_bucketed(star: Star, root: str, buckets: int, table_prefix: str = "pitchside_",

@@ -12,6 +12,7 @@ import os
 import tempfile
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 # Settings every job relies on. AQE re-plans joins from runtime sizes (its
@@ -88,9 +89,48 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hpath, True)
 
 
-def move_path(spark: SparkSession, source: str, target: str) -> bool:
-    """Rename a folder within one filesystem."""
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder; none if it is not there."""
+    if not path_exists(spark, path):
+        return []
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(hpath))
+
+
+def create_text(spark: SparkSession, path: str, line: str) -> bool:
+    """Create a small file of one line; False if it exists already, which leaves it as it is."""
+    jvm = spark.sparkContext._jvm
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        out = fs.create(hpath, False)
+    except Py4JJavaError as e:
+        if fs.exists(hpath):
+            return False
+        raise e
+    writer = jvm.java.io.OutputStreamWriter(out, "UTF-8")
+    try:
+        writer.write(line + "\n")
+    finally:
+        writer.close()
+    return True
+
+
+def read_line(spark: SparkSession, path: str) -> str | None:
+    """The first line of a small file."""
     jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(source)
+    hpath = jvm.org.apache.hadoop.fs.Path(path)
+    stream = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(hpath)
+    reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
+    try:
+        return reader.readLine()
+    finally:
+        reader.close()
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its filesystem, as file names in rows have it."""
+    hpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return bool(fs.rename(hpath, jvm.org.apache.hadoop.fs.Path(target)))
+    return fs.makeQualified(hpath).toString()

@@ -5,19 +5,19 @@ bookmaker; the rest are small dimensions. Two physical forms exist:
 
 * a lazily derived star (``sources.fixtures``) whose odds come from the same
   source rows as the match, so :meth:`Star.matches_with_odds` needs no join;
-* a written star (``plans.ingest.write_star`` / :func:`read_star`) where
+* a written star (``plans.ingest_star.write_star`` / :func:`read_star`) where
   ``match`` and ``match_odds`` are separate parquet tables and the odds are
   joined on ``match_id``.
 """
 
 from __future__ import annotations
 
-import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import Snapshot, current, read_parts, table_path
 
 STAR_TABLES = ("league", "season", "team", "referee", "bookmaker", "match", "match_odds")
 ODDS_COLUMNS = ("home_win_odds", "draw_odds", "away_win_odds")
@@ -28,7 +28,7 @@ FACT_SCHEMAS = {
         "full_time_home_goals int", "full_time_away_goals int", "full_time_result string", "half_time_home_goals int",
         "half_time_away_goals int", "half_time_result string", "referee_id long",
         *[f"{side}_{what} int" for what in _SIDES for side in ("home", "away")], "original_div_code string"),
-    "match_odds": ("match_id string", "bookmaker_id long", *[f"{c} decimal(6,2)" for c in ODDS_COLUMNS], "season_id long"),
+    "match_odds": ("match_id string", "bookmaker_id long", *[f"{c} decimal(6,2)" for c in ODDS_COLUMNS]),
 }
 
 
@@ -66,19 +66,30 @@ class Star:
         return {name: getattr(self, name) for name in STAR_TABLES}
 
 
-def read_star(spark: SparkSession, root: str) -> Star:
-    """Open a star schema written by ``plans.ingest.write_star``."""
-    tables = {name: spark.read.parquet(os.path.join(root, name)) for name in STAR_TABLES if name not in FACT_SCHEMAS}
+def _stored(schema) -> str:
+    """The columns of a fact as it is stored: with its file and commit."""
+    names = [c.split()[0] for c in schema]
+    return ", ".join([*schema, *[f"{c} long" for c in ("league_id", "season_id") if c not in names], "file_id string", "commit string"])
+
+
+def read_fact(spark: SparkSession, root: str, name: str, held: Snapshot) -> DataFrame:
+    """A stored fact's live rows with the file and the commit they come from."""
+    return read_parts(spark, root, name, held.facts, _stored(FACT_SCHEMAS[name]))
+
+
+def read_star(spark: SparkSession, root: str, held: Snapshot | None = None) -> Star:
+    """Open the current (or the given) version of a star written by the loader or ``write_star``."""
+    held = held or current(spark, root)
+    if held is None:
+        raise FileNotFoundError(f"no star at {root}")
+    tables = {name: spark.read.parquet(table_path(root, name, held.tables[name])) for name in STAR_TABLES if name not in FACT_SCHEMAS}
     for name, schema in FACT_SCHEMAS.items():
-        # Facts are stored by season and source file, with the schema given: a load without valid rows leaves no file to read it from.
-        tables[name] = spark.read.schema(", ".join(schema)).parquet(os.path.join(root, name)).select(
-            *[c.split()[0] for c in schema if name == "match" or not c.startswith("season_id")])
+        tables[name] = read_fact(spark, root, name, held).select(*[c.split()[0] for c in schema])
     return Star(**tables)
 
 
 def star_exists(spark: SparkSession, root: str) -> bool:
-    from ..session import path_exists
-    return all(path_exists(spark, os.path.join(root, name)) for name in STAR_TABLES)
+    return current(spark, root) is not None
 
 
 def register_star_views(star: Star, prefix: str = "") -> list[str]:

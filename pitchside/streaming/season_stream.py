@@ -1,16 +1,13 @@
 """Incremental season arrival with Structured Streaming.
 
-New season files dropped into a folder are picked up by the file source;
-``foreachBatch`` checks their headers, runs the batch load (I3-I9) on each
-micro-batch against the dimensions already written, then writes:
+New season files dropped into a folder (or its subfolders) are picked up by the file source;
+``foreachBatch`` loads each micro-batch into the stored star as one new version
+(``plans.ingest.ingest``): the ledger of arrived files tells which of them are new, changed or
+known, a file with the wrong header goes to quarantine with its reason while the others of its
+batch load, and names that exist keep their ids.
 
-* facts and quarantined rows by season and source file, overwriting only the
-  partitions of the batch's files: a replayed micro-batch, or a file that
-  arrives again, replaces its own rows, and the other files of a season stay;
-* dimensions (small) whole, into a folder beside the old one that then takes
-  its place, so an existing name keeps its id and a crash leaves one of the two.
-  Facts come first: a batch that fails in between is replayed against the same
-  dimensions and gets the same ids.
+A batch that dies before its version is published has changed nothing, and is loaded again; one that
+dies after it finds its files in the ledger, unchanged, and has nothing to do.
 
 State lives in the tables and the stream's checkpoint (kept under the star's
 root unless given), not in a stateful operator: the reference itself loads one
@@ -22,69 +19,33 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..plans.ingest import LoadSpec, build_match, build_odds, load_frames
-from ..plans.ingest_star import write_fact, write_rejected
-from ..session import checkpoint_root, delete_path, move_path, path_exists
-from ..sources.season_csv import RAW_COLUMNS, SOURCE_COL, check_headers, raw_schema
-from ..sources.star import read_star, star_exists
-
-DIMENSIONS = ("league", "season", "team", "referee", "bookmaker")
-
-
-def _next(root: str, name: str) -> str:
-    return os.path.join(root, f"_next_{name}")
-
-
-def _take_over(spark: SparkSession, root: str, name: str) -> None:
-    """Put a finished new dimension folder in the place of the old one; also finishes a switch that a crash cut short."""
-    new, now = _next(root, name), os.path.join(root, name)
-    if path_exists(spark, os.path.join(new, "_SUCCESS")):
-        delete_path(spark, now)
-        if not move_path(spark, new, now):
-            raise OSError(f"cannot rename {new} to {now}")
-
-
-def _write_batch(batch: DataFrame, out_root: str, spec: LoadSpec = LoadSpec()) -> None:
-    spark = batch.sparkSession
-    checkpoint_root(spark)
-    files = sorted(r[0] for r in batch.select(SOURCE_COL).distinct().collect())   # one path per arrived file
-    check_headers(spark, files)
-    for name in DIMENSIONS:
-        if not path_exists(spark, os.path.join(out_root, name)):
-            _take_over(spark, out_root, name)
-    existing = None
-    if star_exists(spark, out_root):
-        existing = read_star(spark, out_root)
-        # Materialize the small dimensions before their folders are replaced.
-        for name in DIMENSIONS:
-            setattr(existing, name, getattr(existing, name).checkpoint(eager=True))
-    result = load_frames(batch, existing, spec)
-    write_fact(build_match(result.resolved), os.path.join(out_root, "match"), replace_parts=True)
-    write_fact(build_odds(result.resolved), os.path.join(out_root, "match_odds"), replace_parts=True)
-    write_rejected(result.rejected, out_root, replace_parts=True)
-    for name in DIMENSIONS:
-        getattr(result.star, name).write.mode("overwrite").parquet(_next(out_root, name))
-    for name in DIMENSIONS:
-        _take_over(spark, out_root, name)
+from ..plans.ingest import LoadSpec, ingest
+from ..session import qualified
+from ..sources.season_csv import reader_options, with_source
 
 
 def ingest_stream(spark: SparkSession, in_dir: str, out_root: str, checkpoint_location: str | None = None,
                   available_now: bool = True, max_files_per_trigger: int | None = None,
                   spec: LoadSpec = LoadSpec()) -> StreamingQuery:
-    """Start the incremental load of season files from ``in_dir`` into the star at ``out_root``.
+    """Start the incremental load of one league's season files from ``in_dir`` into the star at ``out_root``.
 
     With ``available_now`` the query processes every file present and stops
     (a scheduled incremental load); otherwise it keeps watching the folder.
+    Streams of several leagues into one star take turns: two that publish at
+    once do not lose anything, the later one fails and goes on at its restart.
     """
-    location = checkpoint_location or os.path.join(out_root, "_stream")
-    reader = spark.readStream.schema(raw_schema()).option("header", True).option("quote", '"').option("escape", '"')
+    location = checkpoint_location or os.path.join(out_root, "_stream", spec.league_code)
+    folder = qualified(spark, in_dir)
+    reader = reader_options(spark.readStream)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    rows = reader.csv(in_dir).select(*RAW_COLUMNS, F.col("_metadata.file_path").alias(SOURCE_COL))
-    writer = (rows.writeStream.foreachBatch(lambda df, epoch: _write_batch(df, out_root, spec))
-              .option("checkpointLocation", location))
+
+    def load(batch: DataFrame, epoch: int) -> None:
+        if not batch.isEmpty():
+            ingest(batch, out_root, spec, folder=folder)
+
+    writer = with_source(reader.csv(in_dir)).writeStream.foreachBatch(load).option("checkpointLocation", location)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
