@@ -6,7 +6,7 @@ Usage: ``python bench.py`` with optional ``BENCH_SF_DIR`` (default
 
 ``load_star`` derives the star schema from the driver's tables and writes it
 to the session's checkpoint folder (what the reference's loader does once),
-with the match and odds facts bucketed by match id;
+as the loader stores it (a match with its odds);
 every question then reads the written tables, as the reference's questions
 read its database. ``q1_from_raw`` times one question computed straight from
 the raw tables in one plan, for comparison. ``ingest_csv`` times the season-file
@@ -27,10 +27,11 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pitchside.plans.ingest import load_seasons  # noqa: E402
-from pitchside.plans.ingest_star import read_star_bucketed, write_star_bucketed  # noqa: E402
+from pitchside.plans.ingest_star import write_star  # noqa: E402
 from pitchside.plans.questions import QUESTIONS  # noqa: E402
 from pitchside.session import get_spark, scratch_path  # noqa: E402
 from pitchside.sources.fixtures import fixture_star, raw_season_rows  # noqa: E402
+from pitchside.sources.star import read_star  # noqa: E402
 
 
 RUNS = int(os.environ.get("BENCH_RUNS", "5"))
@@ -63,12 +64,12 @@ def main() -> None:
 
     def load() -> None:
         roots.append(scratch_path(spark, "bench-star"))
-        write_star_bucketed(fixture_star(spark, sf_dir), roots[-1], buckets=cpus * 2)
+        write_star(fixture_star(spark, sf_dir), roots[-1], one_price=True)
 
     timings["load_star"] = median_time(load, RUNS)
     root = roots[-1]
 
-    star = read_star_bucketed(spark, root)
+    star = read_star(spark, root)
     for name, job in QUESTIONS.items():
         timings[name] = median_time(lambda: job(star).collect(), RUNS)
     # Season files: the projection rendered as CSV (one folder per season, untimed setup), then

@@ -42,7 +42,9 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "load":
         from .plans.ingest import load_seasons
         res = load_seasons(spark, args.csv_dir, args.star_root)
-        print(f"loaded {res.star.match.count()} matches, rejected {res.rejected.count()} rows")
+        print(f"loaded {res.counts.matches} matches, rejected {res.counts.rejected} rows")
+        for reason, n in sorted(res.counts.reasons.items()):
+            print(f"  {n}\t{reason}")
         return 0
 
     from .plans.sinks import write_json

@@ -54,6 +54,25 @@ def expected_points(p_win, p_draw) -> Column:
     return F.lit(float(WIN_POINTS)) * _c(p_win) + F.lit(float(DRAW_POINTS)) * _c(p_draw)
 
 
+# Parts of a point that sums of expected points count in: whole numbers add up to the same sum in any order.
+POINT_PARTS = 10 ** 12
+
+
+def point_parts(points_col) -> Column:
+    """Expected points in whole parts of a point, to be summed."""
+    return F.floor(_c(points_col) * F.lit(float(POINT_PARTS)) + F.lit(0.5)).cast("decimal(19,0)")
+
+
+def from_parts(total) -> Column:
+    """A sum of parts, in points."""
+    return _c(total).cast("double") / F.lit(float(POINT_PARTS))
+
+
+def sql_sum_points(expr: str) -> str:
+    """SQL text of the sum of expected points, added up in whole parts."""
+    return f"(CAST(SUM(CAST(floor(({expr}) * CAST(1e12 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS BIGINT)) AS DOUBLE) / CAST(1e12 AS DOUBLE))"
+
+
 def favourite(home_odds, draw_odds, away_odds) -> Column:
     """T5: outcome with the lowest odds; ties go H, then D; any NULL comparison falls to 'A'."""
     h, d, a = _c(home_odds), _c(draw_odds), _c(away_odds)

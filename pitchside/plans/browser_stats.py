@@ -9,9 +9,10 @@ interpolations are exact and independent of row order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
 from ..sources.star import Star
 from .questions import (q2_expected_points, q3_comebacks, q4_pressure, q5_scoring, q6_bookmaker, q7a_aggression,
                         q8a_referees)
@@ -117,11 +118,14 @@ def p5_size(star: Star) -> DataFrame:
 def preview(df: DataFrame, order_cols: list, rows: int = PREVIEW_ROWS) -> DataFrame:
     """First ``rows`` rows numbered from 1, with the total and hidden counts.
 
-    ``orderBy().limit()`` plans as a bounded top-k; the numbering window runs
-    on at most ``rows`` rows. The total is one distributed count.
+    The job runs once: its rows are written to the shared folder and counted as they are
+    written. ``orderBy().limit()`` on them plans as a bounded top-k; the numbering window runs
+    on at most ``rows`` rows.
     """
-    total = df.count()
-    top = df.orderBy(*order_cols).limit(rows)
+    seen, path = Observation(), scratch_path(df.sparkSession, "preview")
+    df.observe(seen, F.count(F.lit(1)).alias("total")).write.parquet(path)
+    total = seen.get["total"]
+    top = df.sparkSession.read.schema(df.schema).parquet(path).orderBy(*order_cols).limit(rows)
     numbered = top.withColumn("row_no", F.row_number().over(Window.orderBy(*order_cols)).cast("long"))
     return numbered.select("row_no", *df.columns, F.lit(total).cast("long").alias("total_rows"),
                            F.lit(max(0, total - rows)).cast("long").alias("hidden_rows"))

@@ -1,8 +1,8 @@
 """Write, refresh and cut a stored star (I10: re-runnable load of the conformed tables).
 
 Every write is a new version of the star (``sources.store``): folders of its own, then one pointer.
-Facts are stored by league, season and file, so one file, one season or one league is replaced
-without touching the folders of the others. Rows are sorted by those columns inside each task
+Matches are stored with their odds, by league, season and file, so one file, one season or one league is replaced
+without touching the folders of the others, and a deleted match takes its odds with it. Rows are sorted by those columns inside each task
 before the write, so every task writes one file per part it holds, whatever the data size; no
 repartition funnels a season into one task.
 
@@ -24,10 +24,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.star import FACT_SCHEMAS, STAR_TABLES, Star, read_fact
+from ..sources.star import FACTS, MATCH_COLUMNS, ODDS_ENTRY, STAR_TABLES, Star, read_matches
 from ..sources.store import PARTS, Snapshot, buried, current, new_commit, publish, read_parts, table_path, write_table
 
-FACTS = tuple(FACT_SCHEMAS)
 DIMENSIONS = tuple(t for t in STAR_TABLES if t not in FACTS)
 LEDGER = "files"
 REJECTED = "rejected"
@@ -52,11 +51,17 @@ def read_rejected(spark: SparkSession, root: str, held: Snapshot | None = None)
     return read_parts(spark, root, REJECTED, held.rejects, f"{REJECTED_SCHEMA}, file_id string, commit string").drop("commit")
 
 
-def odds_with_parts(star: Star) -> DataFrame:
-    """The odds rows with their match's league and season, as they are stored."""
-    if star.odds_aligned is not None:
-        return star.odds_aligned.select(*star.match_odds.columns, "league_id", "season_id")
-    return star.match_odds.join(star.match.select("match_id", "league_id", "season_id"), "match_id")
+def with_odds(star: Star, one_price: bool = False) -> DataFrame:
+    """Match rows with their odds as entries, as they are stored. Odds without a match, which the schema forbids, have no place.
+
+    ``one_price`` says that ``match`` and ``match_odds`` are projections of ``odds_aligned``, which has one row per match;
+    otherwise the odds are grouped by match (a few bookmakers each).
+    """
+    entry = F.struct(*ODDS_ENTRY)
+    if one_price:
+        return star.odds_aligned.select(*MATCH_COLUMNS, F.array(entry).alias("odds"))
+    prices = star.match_odds.groupBy("match_id").agg(F.collect_list(entry).alias("odds"))
+    return star.match.select(*MATCH_COLUMNS).join(prices, "match_id", "left")
 
 
 def _season_file():
@@ -82,15 +87,14 @@ def publish_star(spark: SparkSession, root: str, base: Snapshot | None, commit:
     return publish(spark, root, base, tables, {k: v for k, v in facts.items() if k in live["facts"]}, {k: v for k, v in rejects.items() if k in live["rejects"]})
 
 
-def write_star(star: Star, root: str) -> Snapshot:
+def write_star(star: Star, root: str, one_price: bool = False) -> Snapshot:
     """Write every table of ``star`` as the next version; what stood there before is no part of it."""
     spark = star.match.sparkSession
     base, commit = current(spark, root), new_commit()
-    write_table(star.match.withColumn("file_id", _season_file()), root, "match", commit, PARTS)
-    write_table(odds_with_parts(star).withColumn("file_id", _season_file()), root, "match_odds", commit, PARTS)
+    write_table(with_odds(star, one_price).withColumn("file_id", _season_file()), root, "match", commit, PARTS)
     fresh = Snapshot(facts={commit: []})
     return publish_star(spark, root, base, commit, {name: getattr(star, name) for name in DIMENSIONS},
-                        _own_files(read_fact(spark, root, "match", fresh), star.league, commit), fresh.facts, {})
+                        _own_files(read_matches(spark, root, fresh), star.league, commit), fresh.facts, {})
 
 
 def _own_files(match: DataFrame, league: DataFrame, commit: str) -> DataFrame:
@@ -112,13 +116,10 @@ def reload_season(spark: SparkSession, star: Star, root: str, season_id: int) ->
     base, commit = _current(spark, root), new_commit()
     ledger = read_ledger(spark, root, base)
     season = F.col("season_id") == season_id
-    match = star.match.where(season)
-    odds = odds_with_parts(star).where(season).join(match.select("match_id"), "match_id", "left_semi")
-    write_table(match.withColumn("file_id", _season_file()), root, "match", commit, PARTS)
-    write_table(odds.withColumn("file_id", _season_file()), root, "match_odds", commit, PARTS)
+    write_table(with_odds(star).where(season).withColumn("file_id", _season_file()), root, "match", commit, PARTS)
     # The files of one season.
     dead = [tuple(r) for r in ledger.where(season & F.col("facts").isNotNull()).select("facts", "file_id").collect()]
-    own = _own_files(read_fact(spark, root, "match", Snapshot(facts={commit: []})), star.league, commit)
+    own = _own_files(read_matches(spark, root, Snapshot(facts={commit: []})), star.league, commit)
     left = ledger.where(~F.coalesce(season, F.lit(False)))
     return publish_star(spark, root, base, commit, None, left.unionByName(own), buried({**base.facts, commit: []}, dead), base.rejects)
 
@@ -130,14 +131,13 @@ def delete_stored(spark: SparkSession, root: str, match_ids: DataFrame) -> Snaps
     """
     base, commit = _current(spark, root), new_commit()
     ids = match_ids.select("match_id").distinct().checkpoint(eager=True)
-    match = read_fact(spark, root, "match", base)
+    match = read_matches(spark, root, base)
     hit = match.join(ids, "match_id", "left_semi").select("commit", "file_id").distinct().checkpoint(eager=True)
     dead = [tuple(r) for r in hit.collect()]     # the files that change
     if not dead:
         return base
-    for name in FACTS:
-        left = read_fact(spark, root, name, base).join(hit, ["commit", "file_id"], "left_semi").join(ids, "match_id", "left_anti").drop("commit")
-        write_table(left, root, name, commit, PARTS)
+    left = match.join(hit, ["commit", "file_id"], "left_semi").join(ids, "match_id", "left_anti").drop("commit")
+    write_table(left, root, "match", commit, PARTS)
     moved = hit.select("file_id", F.col("commit").alias("facts"), F.lit(commit).alias("_now"))
     ledger = read_ledger(spark, root, base).join(moved, ["file_id", "facts"], "left").withColumn("facts", F.coalesce("_now", "facts"))
     return publish_star(spark, root, base, commit, None, ledger.select(*[c.name for c in _ledger_fields()]), buried({**base.facts, commit: []}, dead), base.rejects)

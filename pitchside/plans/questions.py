@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.football import (AGGRESSION_BAND_LABELS, DRAW, REFEREE_BAND_LABELS, aggression,
                                   band_label, card_total, confidence_band, expected_points, favourite,
-                                  implied_probs, points, pressure_side, strict_least)
+                                  from_parts, implied_probs, point_parts, points, pressure_side, strict_least)
 from ..functions.numeric import exact_mean, exact_stddev_pop, half_up_ratio, pct
 from ..operators.broadcast import small_dim
 from ..operators.filters import period_delta
@@ -97,12 +97,12 @@ def q2_expected_points(star: Star, seasons: int | None = None, bookmaker: str =
     tv = tv.withColumn("actual_points", points("full_time_result", F.col("side")))
     per_season = (tv.groupBy("team_id", "season_id")
                   .agg(F.count(F.lit(1)).alias("n"), F.sum("actual_points").alias("sa"),
-                       F.sum("expected_points").alias("se")))
+                       F.sum(point_parts("expected_points")).alias("se")))
     per_team = (per_season.groupBy("team_id")
                 .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("seasons_covered"),
                      F.sum("sa").alias("sa"), F.sum("se").alias("se"))
                 .where(F.col("seasons_covered") == all_seasons(star, seasons)))
-    n, sa, se = F.col("n"), F.col("sa"), F.col("se")
+    n, sa, se = F.col("n"), F.col("sa"), from_parts("se")
     return (per_team.join(team_names(star), "team_id")
             .select("team_name",
                     n.alias("matches_considered"),

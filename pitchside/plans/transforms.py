@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.football import (REFEREE_BAND_LABELS, band_label, card_total, confidence_band,
-                                  expected_points, favourite, points, pressure_side, strict_least)
+                                  expected_points, favourite, from_parts, point_parts, points, pressure_side, strict_least)
 from ..functions.numeric import half_up_ratio, pct
 from ..operators.broadcast import small_dim
 from ..operators.filters import min_sample, period_delta, with_full_coverage
@@ -54,7 +54,7 @@ def t4_expected_points(star: Star) -> DataFrame:
     agg = (tv.groupBy("team_id", "season_id")
            .agg(F.count(F.lit(1)).alias("matches"),
                 F.sum(points("full_time_result", F.col("side"))).alias("actual_points"),
-                F.round(F.sum("expected_points"), 3).alias("expected_points")))
+                F.round(from_parts(F.sum(point_parts("expected_points"))), 3).alias("expected_points")))
     return (agg.join(team_names(star), "team_id").join(season_names(star), "season_id")
             .select("team_name", "season_name", "matches", "actual_points", "expected_points"))
 

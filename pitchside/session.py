@@ -52,14 +52,19 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and intermediate tables.
 
-    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset (tests on
-    one machine) a private scratch directory is created and registered.
+    Uses the cluster's ``spark.checkpoint.dir``; only when it is unset on one machine
+    (tests) a private scratch directory is created and registered. On a cluster
+    other machines would not see such a folder, so there the setting is required.
     """
     try:
         sc = spark.sparkContext
     except Exception:          # a Spark Connect session: the server owns the checkpoint folder
         return spark.conf.get("spark.checkpoint.dir", None) or ""
     path = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if not path and sc.getCheckpointDir() is not None:
+        return sc.getCheckpointDir()
+    if not path and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     if not path:
         path = tempfile.mkdtemp(prefix="pitchside-ckpt-")
         spark.conf.set("spark.checkpoint.dir", path)

@@ -5,9 +5,11 @@ bookmaker; the rest are small dimensions. Two physical forms exist:
 
 * a lazily derived star (``sources.fixtures``) whose odds come from the same
   source rows as the match, so :meth:`Star.matches_with_odds` needs no join;
-* a written star (``plans.ingest_star.write_star`` / :func:`read_star`) where
-  ``match`` and ``match_odds`` are separate parquet tables and the odds are
-  joined on ``match_id``.
+* a stored star (``plans.ingest_star.write_star``, the loader, :func:`read_star`),
+  where a match row holds its odds, one entry per bookmaker: ``match`` and
+  ``match_odds`` are two views of one table, and bringing them together again
+  is no join (the columns that a question does not read are pruned, inside the
+  entries too).
 """
 
 from __future__ import annotations
@@ -22,14 +24,17 @@ from .store import Snapshot, current, read_parts, table_path
 STAR_TABLES = ("league", "season", "team", "referee", "bookmaker", "match", "match_odds")
 ODDS_COLUMNS = ("home_win_odds", "draw_odds", "away_win_odds")
 _SIDES = ("shots", "shots_on_target", "fouls", "corners", "yellow_cards", "red_cards")
+FACTS = ("match", "match_odds")
 FACT_SCHEMAS = {
     "match": (
         "match_id string", "league_id long", "season_id long", "match_date date", "home_team_id long", "away_team_id long",
         "full_time_home_goals int", "full_time_away_goals int", "full_time_result string", "half_time_home_goals int",
         "half_time_away_goals int", "half_time_result string", "referee_id long",
         *[f"{side}_{what} int" for what in _SIDES for side in ("home", "away")], "original_div_code string"),
-    "match_odds": ("match_id string", "bookmaker_id long", *[f"{c} decimal(6,2)" for c in ODDS_COLUMNS]),
 }
+ODDS_ENTRY = ("bookmaker_id", *ODDS_COLUMNS)
+_ODDS = "odds array<struct<bookmaker_id: bigint, " + ", ".join(f"{c}: decimal(6,2)" for c in ODDS_COLUMNS) + ">>"
+MATCH_COLUMNS = tuple(c.split()[0] for c in FACT_SCHEMAS["match"])
 
 
 @dataclass
@@ -41,8 +46,8 @@ class Star:
     bookmaker: DataFrame
     match: DataFrame
     match_odds: DataFrame
-    # Match rows that already carry (bookmaker_id, odds) from the same source
-    # row; set only when match and odds are two projections of one input.
+    # Match rows that already carry (bookmaker_id, odds), one row per match and
+    # bookmaker; set only when match and odds are two projections of one input.
     odds_aligned: DataFrame | None = None
 
     def matches_with_odds(self, bookmaker_code: str | None = None) -> DataFrame:
@@ -66,15 +71,9 @@ class Star:
         return {name: getattr(self, name) for name in STAR_TABLES}
 
 
-def _stored(schema) -> str:
-    """The columns of a fact as it is stored: with its file and commit."""
-    names = [c.split()[0] for c in schema]
-    return ", ".join([*schema, *[f"{c} long" for c in ("league_id", "season_id") if c not in names], "file_id string", "commit string"])
-
-
-def read_fact(spark: SparkSession, root: str, name: str, held: Snapshot) -> DataFrame:
-    """A stored fact's live rows with the file and the commit they come from."""
-    return read_parts(spark, root, name, held.facts, _stored(FACT_SCHEMAS[name]))
+def read_matches(spark: SparkSession, root: str, held: Snapshot) -> DataFrame:
+    """The stored matches: their live rows with their odds, and the file and the commit they come from."""
+    return read_parts(spark, root, "match", held.facts, ", ".join([*FACT_SCHEMAS["match"], _ODDS, "file_id string", "commit string"]))
 
 
 def read_star(spark: SparkSession, root: str, held: Snapshot | None = None) -> Star:
@@ -82,10 +81,10 @@ def read_star(spark: SparkSession, root: str, held: Snapshot | None = None) -> S
     held = held or current(spark, root)
     if held is None:
         raise FileNotFoundError(f"no star at {root}")
-    tables = {name: spark.read.parquet(table_path(root, name, held.tables[name])) for name in STAR_TABLES if name not in FACT_SCHEMAS}
-    for name, schema in FACT_SCHEMAS.items():
-        tables[name] = read_fact(spark, root, name, held).select(*[c.split()[0] for c in schema])
-    return Star(**tables)
+    tables = {name: spark.read.parquet(table_path(root, name, held.tables[name])) for name in STAR_TABLES if name not in FACTS}
+    rows = read_matches(spark, root, held)
+    return Star(match=rows.select(*MATCH_COLUMNS), match_odds=rows.select("match_id", F.inline("odds")),
+                odds_aligned=rows.select(*MATCH_COLUMNS, F.inline("odds")), **tables)
 
 
 def star_exists(spark: SparkSession, root: str) -> bool:

@@ -92,6 +92,46 @@ def test_shifted_file_is_refused(spark, tmp_path):
         read_raw(spark, d)
 
 
+def test_names_agree_as_the_database_compares_them(spark):
+    from pitchside.operators.conform import name_key, sql_name_key
+    import duckdb
+    pairs = [("Beşiktaş", "besiktas"), ("Łódź", "LODZ"), ("Vålerenga", "Valerenga "), ("Ferencváros", "FERENCVAROS"), ("Hafnarfjörður", "hafnarfjorður"),
+             ("Málaga", "Ma\u0301laga"), ("Strømsgodset", "stromsgodset"), ("Preußen", "PREUSSEN"), ("Næstved", "naestved"), ("Việt Nam", "viet nam"), ("Đặng", "dang")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    assert all(r.x == r.y for r in df.select(name_key("a").alias("x"), name_key("b").alias("y")).collect())
+    keys = [tuple(r) for r in df.select(name_key("a"), name_key("b")).collect()]
+    con = duckdb.connect()
+    assert [con.execute(f"SELECT {sql_name_key('a')}, {sql_name_key('b')} FROM (SELECT ? AS a, ? AS b)", p).fetchone() for p in pairs] == keys
+    other = spark.createDataFrame([("Leeds", "Leeds United"), ("Brann", "Bran"), (" Ajax", "Ajax"), ("Ağrı", "Agri")], "a string, b string")
+    assert not any(r.same for r in other.select((name_key("a") == name_key("b")).alias("same")).collect())
+
+
+def test_values_beyond_their_columns_are_rejected(spark, tmp_path):
+    d = str(tmp_path / "wide")
+    good = line("12/09/2020", "Man City", "Arsenal", 2, 1, "H", 1, 0, "H", "M Dean")
+    write(d, "season_2020_2021.csv", [good, good.replace("Arsenal,2,1", "Arsenal,128,1"), good.replace(",12,9,", ",32768,9,"), good.replace("Man City", "M" * 101), good.replace("E0,", "E0E0E0E0E0E,")])
+    out = str(tmp_path / "star")
+    res = load_seasons(spark, d, out)
+    assert res.counts.matches == res.star.match.count() == 1 and res.counts.rejected == res.rejected.count() == 4
+    assert res.counts.reasons == {"out of range FTHG": 1, "out of range HS": 1, "too long HomeTeam": 1, "too long Div": 1}
+    assert all(r.violations == 0 for r in audit(res.star).collect())
+    assert load_seasons(spark, d, out).counts.matches == 0      # known files are not loaded again
+
+
+def test_a_hot_line_spreads_over_tasks(spark, monkeypatch):
+    """Copies are numbered as a window over all rows would number them; a line's copies are written out in runs by several tasks."""
+    from pyspark.sql import Window
+    from pitchside.plans import ingest
+    monkeypatch.setattr(ingest, "COPIES_AT_ONCE", 16)
+    rows = spark.range(0, 1500).select((F.col("id") % 400).alias("k"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).cast("int").alias("v"), F.lit(None).cast("string").alias("w"))
+    hot = rows.unionByName(spark.range(0, 700).select(F.lit(-1).cast("long").alias("k"), F.lit(5).alias("v"), F.lit("x").alias("w")))
+    got = ingest.numbered_copies(hot, ["k"], ["v"], "n")
+    want = hot.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v", "w")).cast("long"))
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    tasks = got.where("k = -1").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 2 and sum(r["count"] for r in tasks) == 700
+
+
 def test_upsert_updates_and_inserts(spark):
     dim = spark.createDataFrame([(1, "E0", "Old name", "England"), (2, "E1", "Championship", "England"), (3, "N1", "Eredivisie", "Netherlands")],
                                 "league_id long, code string, name string, country string")

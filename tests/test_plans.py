@@ -47,6 +47,33 @@ def test_windows_only_above_aggregates_of_a_dimension(star001):
     assert windows
 
 
+def test_odds_join_on_a_loaded_star_moves_no_fact(spark, tmp_path):
+    """After two loads into one star neither Q2 nor Q6 exchanges a fact: only partial aggregates and dimensions move."""
+    from pitchside.plans.ingest import load_seasons
+    from pitchside.plans.questions import q2_expected_points, q6_bookmaker
+    from pitchside.sources.star import read_star
+    from pitchside.streaming.season_stream import ingest_stream
+    from tests.test_ingest import line, write
+    src, out = str(tmp_path / "in"), str(tmp_path / "star")
+    write(src, "season_2020_2021.csv", [line("12/09/2020", "Man City", "Arsenal", 2, 1, "H", 1, 0, "H", "M Dean")])
+    load_seasons(spark, src, out)
+    for y in (2021, 2022):
+        write(src, f"season_{y}_{y + 1}.csv", [line(f"12/09/{y}", "Arsenal", "Man City", 2, 1, "H", 1, 0, "H", "M Dean")])
+        ingest_stream(spark, src, out).awaitTermination()
+    star = read_star(spark, out)
+    for job in (q2_expected_points, q6_bookmaker):
+        p = plan(job(star))
+        assert "SortMergeJoin" not in p and "match_id" not in "".join(re.findall(r"Exchange hashpartitioning\([^)]*\)", p))
+        lines = p.splitlines()
+        for at, text in enumerate(lines):
+            if "Exchange hashpartitioning" in text:
+                assert "HashAggregate" in lines[at + 1] and "partial_" in lines[at + 1], text
+    scans = [text for text in plan(q6_bookmaker(star)).splitlines() if "odds" in text and "FileScan" in text]
+    # entries are pruned too: Q6 reads no column of a match that it does not use
+    assert scans and all("home_shots" not in s for s in scans)
+    assert [r.matches for r in star.match_odds.groupBy().agg({"match_id": "count"}).toDF("matches").collect()] == [3]
+
+
 def test_json_sink(spark, star001, tmp_path):
     from pitchside.plans.questions import q5_scoring
     df = q5_scoring(star001)
