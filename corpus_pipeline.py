@@ -26,13 +26,17 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: the one with the smallest id. Documents without an id cannot be told apart and stay."""
-    found = minhash.near_duplicates(docs, percent=NEAR_PERCENT)
-    kept = written(found.where("kept and doc_id is not null").select(F.col("doc_id").alias("_kept")).distinct(), "pipeline-kept")
-    # Repeated rows of a kept document: same id, same words. Its id already holds them together.
-    words = F.xxhash64(F.array_join(F.split(F.lower(F.trim(F.coalesce("text", F.lit("")))), r"[\x20\x09-\x0D]+"), " "))
-    once = docs.join(kept, docs["doc_id"] == F.col("_kept")).withColumn("_words", words).dropDuplicates(["doc_id", "_words"]).select(*docs.columns)
-    return once.unionByName(docs.where("doc_id is null"))
+    """One document of each near-duplicate group: the one with the smallest id, with an id before without.
+
+    A row is known by its id and its text, since an id may stand on several texts and a row may have no id;
+    rows that are alike in both are copies of one row, of which one stays.
+    """
+    text = F.sha2(F.coalesce("text", F.lit("")), 256)
+    rows = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("unnamed"), F.col("doc_id").alias("id"), text.alias("text")))
+    found = minhash.near_duplicates(rows, percent=NEAR_PERCENT, id_col="_row")
+    kept = written(found.where("kept").select(F.to_json("_row").alias("_kept")).distinct(), "pipeline-kept")
+    own = rows.withColumn("_row", F.to_json("_row"))
+    return own.join(kept, F.col("_row") == F.col("_kept")).dropDuplicates(["_row"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
