@@ -27,8 +27,17 @@ def unit_draw(col: Column) -> Column:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, and prunes columns when reread."""
+    """``df`` as a table in the shared folder: cuts the lineage, survives lost executors, and prunes columns when reread.
+
+    Nothing reads the shuffles of the write again, so their files go when it ends.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup)
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     return spark.read.schema(df.schema).parquet(path)
