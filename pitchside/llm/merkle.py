@@ -6,11 +6,13 @@ by group, give the root in the same way. Digests are lowercase hex text, and tha
 
 The tree is built ``HOP`` levels at a time: ``2 ** HOP`` neighbouring nodes meet in one row and give
 their ancestor ``HOP`` levels above. What is stored is one row for every node of these levels, linked
-to that ancestor as its parent, with the siblings passed on the way to it. A recursive query climbs from every leaf along the parent links, appends
+to that ancestor as its parent, with the siblings passed on the way to it; the lowest of them are the
+leaves. A recursive query starts with every leaf and climbs along the parent links, appends
 the siblings and folds the claimed leaf with them; whoever holds a leaf, its siblings and the root
-can repeat that without the data. With ``HOP`` levels a step, three steps reach the root of 16
-million rows. Nodes of the levels that have few rows, which many leaves pass, are broadcast behind
-a count of their rows; any other node is passed by a small share of the leaves.
+can repeat that without the data. The leaves' own rows bring the first ``HOP`` levels with them, so
+what the climb joins has a thousandth of the rows. Nodes of the levels that have few rows, which
+many leaves pass, are broadcast behind a count of their rows; any other node is passed by a small
+share of the leaves.
 
 Edge cases: a null field is written as ``-``, any other with its length, so no two rows read alike;
 a null group is a group of its own and comes first; rows of one group with equal or null ids are
@@ -33,18 +35,19 @@ from .numbering import placed
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 #: Levels from a stored node to its stored parent.
-HOP = 8
+HOP = 10
 #: Levels of the trees with this many rows at most (some 8 MB) are broadcast.
 BROADCAST_ROWS = 16_384
 #: The tree over the subroots.
 TOP = -1
 
+_NODE_COLUMNS = ("tree", "level", "place", "parent_tree", "parent_level", "parent_place", "siblings")
 _NODES = "tree long, level int, place long, parent_tree long, parent_level int, parent_place long, siblings array<binary>"
 
 
 @dataclass(frozen=True)
 class Manifest:
-    """``leaves``: id, group, tree, place, leaf, claimed; ``nodes``: stored node rows; ``groups``: group, tree, rows, subroot."""
+    """``leaves``: id, tree, place, leaf, claimed, and its parent and siblings; ``nodes``: the node rows above them; ``groups``: group, tree, rows, subroot."""
     leaves: DataFrame
     nodes: DataFrame
     groups: DataFrame
@@ -72,35 +75,45 @@ def _levels(nodes: Column, height: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), height), F.array(nodes), lambda done, _: F.concat(done, F.array(above(F.element_at(done, -1)))))
 
 
-def _built(rows: DataFrame, up: bool) -> tuple[list[DataFrame], DataFrame]:
-    """Node rows of trees, and their roots ``(tree, hash)``; ``rows`` has tree, place, hash and the levels ``left`` to the root.
-
-    With ``up``, a tree's root is linked to the tree over the subroots, at the tree's number.
-    """
-    nodes, roots, level = [], [rows.where("left = 0").select("tree", "hash")], 0
-    rows = rows.where("left > 0")
-    while not rows.isEmpty():
-        # A row takes 2 ** HOP nodes at most.
-        met = rows.groupBy("tree", F.shiftright("place", HOP).alias("above")).agg(
-            F.sort_array(F.collect_list(F.struct("place", "hash"))).alias("met"), F.first("left").alias("left"))
-        height = F.least(F.lit(HOP), F.col("left"))
-        part = written(met.select("tree", "above", "left", height.alias("height"), _levels(F.col("met.hash"), height).alias("levels")), "merkle-levels")
-        last = (F.col("left") == F.col("height")) & F.lit(up)
-        siblings = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda k: F.unhex(
-            F.get(F.get(F.col("levels"), k), F.call_function("shiftright", F.col("at"), k).bitwiseXOR(F.lit(1)))))
-        each = part.select("*", F.posexplode(F.get("levels", F.lit(0))).alias("at", "_hash"))
-        nodes.append(each.select(
-            "tree", F.lit(level).alias("level"), (F.shiftleft("above", HOP) + F.col("at")).alias("place"),
-            F.when(last, F.lit(TOP)).otherwise(F.col("tree")).cast("long").alias("parent_tree"),
-            F.when(last, F.lit(0)).otherwise(F.lit(level) + F.col("height")).alias("parent_level"),
-            F.when(last, F.col("tree")).otherwise(F.col("above")).alias("parent_place"), siblings.alias("siblings")))
-        done = part.select("tree", F.col("above").alias("place"), F.get(F.element_at("levels", -1), F.lit(0)).alias("hash"), (F.col("left") - F.col("height")).alias("left"))
-        roots.append(done.where("left = 0").select("tree", "hash"))
-        rows, level = done.where("left > 0"), level + HOP
-    every = roots[0]
-    for r in roots[1:]:
-        every = every.union(r)
-    return nodes, every
+def _blocks(rows: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Neighbouring nodes in one row, ``2 ** HOP`` at most, with the levels above them; of nodes that are not their tree's root."""
+    met = rows.where("left > 0").groupBy("tree", F.shiftright("place", HOP).alias("above")).agg(
+        F.sort_array(F.collect_list(F.struct("place", "hash", *keep))).alias("met"), F.first("left").alias("left"))
+    height = F.least(F.lit(HOP), F.col("left"))
+    return written(met.select("*", height.alias("height"), _levels(F.col("met.hash"), height).alias("levels")), "merkle-levels")
+
+
+def _nodes(blocks: DataFrame, level: int, up: bool, keep: Sequence[str] = ()) -> DataFrame:
+    """A row for every node of the blocks: its place, parent and siblings. With ``up`` a tree's root is its leaf in the tree over the subroots, at the tree's number."""
+    last = (F.col("left") == F.col("height")) & F.lit(up)
+    levels, met = F.col("levels"), F.col("met")
+
+    def node(at: Column) -> Column:
+        own = F.get(met, at)
+        siblings = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda k: F.unhex(F.get(F.get(levels, k), F.call_function("shiftright", at, k).bitwiseXOR(F.lit(1)))))
+        return F.struct(*[own[c].alias(c) for c in ("place", "hash", *keep)], siblings.alias("siblings"))
+
+    each = F.inline(F.transform(F.sequence(F.lit(0), F.size(met) - 1), node))
+    return blocks.select(
+        "tree", F.lit(level).alias("level"), F.when(last, F.lit(TOP)).otherwise(F.col("tree")).cast("long").alias("parent_tree"),
+        F.when(last, F.lit(0)).otherwise(F.lit(level) + F.col("height")).alias("parent_level"),
+        F.when(last, F.col("tree")).otherwise(F.col("above")).alias("parent_place"), each)
+
+
+def _ancestors(blocks: DataFrame) -> DataFrame:
+    """``(tree, place, hash, left)``: the node above each block."""
+    return blocks.select("tree", F.col("above").alias("place"), F.get(F.element_at("levels", -1), F.lit(0)).alias("hash"), (F.col("left") - F.col("height")).alias("left"))
+
+
+def _built(rows: DataFrame, level: int, up: bool) -> tuple[list[DataFrame], DataFrame]:
+    """Node rows of the trees from ``level`` on, and the trees' roots ``(tree, hash)``; ``rows`` has tree, place, hash and the levels ``left`` to the root."""
+    nodes, roots = [], rows.where("left = 0").select("tree", "hash")
+    while not rows.where("left > 0").isEmpty():
+        blocks = _blocks(rows)
+        nodes.append(_nodes(blocks, level, up).select(*_NODE_COLUMNS))
+        rows, level = _ancestors(blocks), level + HOP
+        roots = roots.union(rows.where("left = 0").select("tree", "hash"))
+    return nodes, roots
 
 
 def _height(n: Column) -> Column:
@@ -115,18 +128,23 @@ def manifest(docs: DataFrame, claims: Mapping[str, Column] | None = None, id_col
     true = leaf([F.col(c) for c in fields])
     claimed = leaf([claims.get(c, F.col(c)) for c in fields])
     # Texts are read once, here; from now on a row is its digests.
-    rows = written(docs.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), true.alias("leaf"), claimed.alias("claimed"))
-                   .withColumn("claimed", F.when(F.col("claimed") != F.col("leaf"), F.col("claimed"))), "merkle-rows")
+    rows = written(docs.select(F.col(id_col).alias("id"), F.col(group_col).alias("grp"), true.alias("leaf"), claimed.alias("claimed")).select(
+        "id", "grp", F.unhex("leaf").alias("leaf"), F.when(F.col("claimed") != F.col("leaf"), F.unhex("claimed")).alias("claimed")), "merkle-rows")
     counted = written(placed(rows.groupBy("grp").agg(F.count("*").alias("rows")), [], ["grp"], "merkle-groups").withColumnRenamed("place", "tree"), "merkle-trees")
     ordered = placed(rows, ["grp"], ["id", "leaf"], "merkle-ordered")
-    leaves = ordered.join(counted.withColumnRenamed("grp", "_grp"), F.col("grp").eqNullSafe(F.col("_grp"))).select(
-        "id", "grp", "tree", "place", "leaf", "claimed", _height(F.col("rows")).alias("left"))
-    leaves = written(leaves, "merkle-leaves")
-    nodes, subroots = _built(leaves.select("tree", "place", F.col("leaf").alias("hash"), "left"), up=True)
+    text = lambda c: F.lower(F.hex(c))
+    low = ordered.join(counted.withColumnRenamed("grp", "_grp"), F.col("grp").eqNullSafe(F.col("_grp"))).select(
+        "tree", "place", text("leaf").alias("hash"), _height(F.col("rows")).alias("left"), "id", text("claimed").alias("claimed"))
+    blocks = _blocks(low, ["id", "claimed"])
+    alone = low.where("left = 0").select("*", F.lit(TOP).cast("long").alias("parent_tree"), F.lit(0).alias("parent_level"), F.col("tree").alias("parent_place"),
+                                         F.array().cast("array<binary>").alias("siblings"))
+    columns = ["id", "tree", "place", F.col("hash").alias("leaf"), "claimed", "parent_tree", "parent_level", "parent_place", "siblings"]
+    leaves = written(_nodes(blocks, 0, True, ["id", "claimed"]).select(*columns).union(alone.select(*columns)), "merkle-leaves")
+    nodes, subroots = _built(_ancestors(blocks).union(low.where("left = 0").select("tree", "place", "hash", "left")), HOP, True)
     groups = written(counted.join(subroots, "tree").select("grp", "tree", "rows", F.col("hash").alias("subroot")), "merkle-subroots")
     trees = groups.count()
     height = (trees - 1).bit_length() if trees else 0
-    above, root = _built(groups.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("subroot").alias("hash"), F.lit(height).alias("left")), up=False)
+    above, root = _built(groups.select(F.lit(TOP).cast("long").alias("tree"), F.col("tree").alias("place"), F.col("subroot").alias("hash"), F.lit(height).alias("left")), 0, False)
     spark = docs.sparkSession
     stored = spark.createDataFrame([], _NODES)
     for part in nodes + above:
@@ -135,48 +153,54 @@ def manifest(docs: DataFrame, claims: Mapping[str, Column] | None = None, id_col
     return Manifest(leaves, written(stored, "merkle-nodes"), groups, found["hash"] if found else None, height)
 
 
-#: A claimed digest folded with the siblings on a node's way up: the lowest bit of its place says on which side it stands.
-_FOLD = """aggregate(siblings_up, named_struct('digest', folded, 'place', place), (f, s) -> named_struct('digest', sha2(
-    CASE WHEN s IS NULL THEN f.digest WHEN f.place % 2 = 1 THEN concat(lower(hex(s)), f.digest) ELSE concat(f.digest, lower(hex(s))) END, 256),
-    'place', f.place div 2), f -> f.digest)"""
+def _fold(digest: str, place: str, siblings: str) -> str:
+    """SQL of a digest folded with the siblings on its way up: the lowest bit of a place says on which side a sibling stands."""
+    return f"""aggregate({siblings}, named_struct('digest', {digest}, 'place', {place}), (f, s) -> named_struct('digest', sha2(
+        CASE WHEN s IS NULL THEN f.digest WHEN f.place % 2 = 1 THEN concat(lower(hex(s)), f.digest) ELSE concat(f.digest, lower(hex(s))) END, 256),
+        'place', f.place div 2), f -> f.digest)"""
+
 
 _CLIMB = """
-WITH RECURSIVE climb(id, tree_of, place_of, tree, level, place, folded, siblings) AS (
-    SELECT id, tree, place, IF(left = 0, {top}, tree), 0, IF(left = 0, tree, place), coalesce(claimed, leaf), CAST(array() AS ARRAY<BINARY>)
-    FROM {leaves}
+WITH RECURSIVE climb(id, leaf, tree_of, tree, level, place, folded, siblings) AS (
+    SELECT id, leaf, tree, parent_tree, parent_level, parent_place, {first}, filter(siblings, s -> s IS NOT NULL) FROM {leaves}
     UNION ALL
-    SELECT id, tree_of, place_of, parent_tree, parent_level, parent_place, {fold}, concat(siblings, filter(siblings_up, s -> s IS NOT NULL))
+    SELECT id, leaf, tree_of, parent_tree, parent_level, parent_place, {next}, concat(siblings, filter(up, s -> s IS NOT NULL))
     FROM (
-        SELECT /*+ BROADCAST(h) */ c.id, c.tree_of, c.place_of, c.place, c.folded, c.siblings,
-            coalesce(h.parent_tree, n.parent_tree) AS parent_tree, coalesce(h.parent_level, n.parent_level) AS parent_level,
-            coalesce(h.parent_place, n.parent_place) AS parent_place, coalesce(h.siblings, n.siblings) AS siblings_up
-        FROM climb c
-        LEFT JOIN {high} h ON c.tree = h.tree AND c.level = h.level AND c.place = h.place
-        LEFT JOIN {low} n ON c.tree = n.tree AND c.level = n.level AND c.place = n.place)
-    WHERE siblings_up IS NOT NULL)
-SELECT id, tree_of AS tree, place_of AS place, folded, siblings FROM climb WHERE tree = {top} AND level = {height}
+        SELECT /*+ BROADCAST(h) */ c.id, c.leaf, c.tree_of, c.place, c.folded, c.siblings, {parent}
+        FROM climb c {joins})
+    WHERE up IS NOT NULL)
+SELECT id, leaf, tree_of AS tree, folded, siblings FROM climb WHERE tree = {top} AND level = {height}
 """
 
 
 def climbed(held: Manifest) -> DataFrame:
-    """For every leaf ``(id, tree, place, folded, siblings)``: its siblings up to the root, and what the claimed leaf folds to there."""
+    """For every leaf ``(id, leaf, tree, folded, siblings)``: its siblings up to the root, and what the claimed leaf folds to there."""
     spark = held.leaves.sparkSession
     top = F.col("tree") == TOP
     # A few rows: one per stored level.
-    few = [(r["top"], r["level"]) for r in held.nodes.groupBy(top.alias("top"), "level").count().where(F.col("count") <= BROADCAST_ROWS).collect()]
+    sizes = held.nodes.groupBy(top.alias("top"), "level").count().collect()
     high = F.lit(False)
-    for is_top, level in few:
-        high = high | ((top == F.lit(is_top)) & (F.col("level") == level))
-    views = {k: f"merkle_{k}_{uuid.uuid4().hex}" for k in ("leaves", "high", "low")}
+    for r in sizes:
+        if r["count"] <= BROADCAST_ROWS:
+            high = high | ((top == F.lit(r["top"])) & (F.col("level") == r["level"]))
+    kinds = {"h": held.nodes.where(high)}
+    if any(r["count"] > BROADCAST_ROWS for r in sizes):
+        kinds["n"] = held.nodes.where(~high)
+    views = {k: f"merkle_{k}_{uuid.uuid4().hex}" for k in ("leaves", *kinds)}
     held.leaves.createOrReplaceTempView(views["leaves"])
-    held.nodes.where(high).createOrReplaceTempView(views["high"])
-    held.nodes.where(~high).createOrReplaceTempView(views["low"])
+    for k, rows in kinds.items():
+        rows.createOrReplaceTempView(views[k])
+    either = lambda c: f"coalesce({', '.join(f'{k}.{c}' for k in kinds)})"
+    sql = _CLIMB.format(
+        top=TOP, height=held.height, leaves=views["leaves"], first=_fold("coalesce(claimed, leaf)", "place", "siblings"), next=_fold("folded", "place", "up"),
+        parent=", ".join([*[f"{either(c)} AS {c}" for c in ("parent_tree", "parent_level", "parent_place")], f"{either('siblings')} AS up"]),
+        joins=" ".join(f"LEFT JOIN {views[k]} {k} ON c.tree = {k}.tree AND c.level = {k}.level AND c.place = {k}.place" for k in kinds))
     # The rows that a recursive query may return are limited unless told otherwise; here they are the rows of the dataset.
     limit = "spark.sql.cteRecursionRowLimit"
     before = spark.conf.get(limit)
     spark.conf.set(limit, "-1")
     try:
-        return written(spark.sql(_CLIMB.format(top=TOP, height=held.height, fold=_FOLD, **views)), "merkle-climbed")
+        return written(spark.sql(sql), "merkle-climbed")
     finally:
         spark.conf.set(limit, before)
         for v in views.values():
@@ -185,9 +209,7 @@ def climbed(held: Manifest) -> DataFrame:
 
 def verified(held: Manifest) -> DataFrame:
     """Every leaf with its proof and whether what is claimed of it agrees with the root: id, grp, leaf, subroot, root, siblings, folded_root, verified."""
-    leaves = held.leaves.select("tree", "place", "grp", "leaf")
-    subroots = held.groups.select("tree", "subroot")
-    return climbed(held).join(leaves, ["tree", "place"]).join(subroots, "tree").select(
+    return climbed(held).join(held.groups.select("tree", "grp", "subroot"), "tree").select(
         "id", "grp", "leaf", "subroot", F.lit(held.root).alias("root"), "siblings",
         F.col("folded").alias("folded_root"), (F.col("folded") == F.lit(held.root)).alias("verified"))
 

@@ -103,10 +103,11 @@ def test_proofs_stand_alone(spark):
     held = merkle.manifest(df, {"text": F.when(F.col("doc_id") == 5, F.lit("forged")).otherwise(F.col("text"))})
     rows = merkle.verified(held).collect()
     assert [r.id for r in rows if not r.verified] == [5] and {r.root for r in rows} == {held.root}
-    # Every stored node but the roots' parents is linked to a stored node or to the root.
-    nodes = held.nodes.select("tree", "level", "place", "parent_tree", "parent_level", "parent_place").collect()
-    there = {(n.tree, n.level, n.place) for n in nodes} | {(merkle.TOP, held.height, 0)}
-    assert all((n.parent_tree, n.parent_level, n.parent_place) in there for n in nodes)
+    # Every stored row is linked to a stored node or to the root.
+    parents = ["parent_tree", "parent_level", "parent_place"]
+    nodes = held.nodes.select("tree", "level", "place", *parents).collect()
+    there = {tuple(n)[:3] for n in nodes} | {(merkle.TOP, held.height, 0)}
+    assert {tuple(n)[3:] for n in nodes} | {tuple(n) for n in held.leaves.select(*parents).collect()} <= there
 
 
 def test_few_rows(spark):
