@@ -16,10 +16,11 @@ import sys
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from pitchside.plans.ingest_star import read_star_bucketed, write_star_bucketed  # noqa: E402
+from pitchside.plans.ingest_star import write_star  # noqa: E402
 from pitchside.plans.questions import QUESTIONS  # noqa: E402
 from pitchside.session import get_spark, scratch_path  # noqa: E402
 from pitchside.sources.fixtures import fixture_star, match_source_rows  # noqa: E402
+from pitchside.sources.star import read_star  # noqa: E402
 
 
 def clean(line: str) -> str:
@@ -46,15 +47,15 @@ def main() -> None:
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_spark("local[8]", 16)
     root = scratch_path(spark, "plan-report")
-    write_star_bucketed(fixture_star(spark, sf_dir), root, 16)
+    write_star(fixture_star(spark, sf_dir), root, one_price=True)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    star = read_star_bucketed(spark, root)
+    star = read_star(spark, root)
     print("# PLANS\n")
-    print("Generated by `tools/plan_report.py` on the bucketed star (auto-broadcast and AQE off; dimensions")
+    print("Generated by `tools/plan_report.py` on a star as the loader stores it (auto-broadcast and AQE off; dimensions")
     print("are still broadcast by their size-checked hint). Q7B's NTILE runs selection jobs first; the plan")
     print("below is its final job. `rangepartitioning` exchanges sort the final result (one row per team,")
-    print("season, referee or band); Q6's `SinglePartition` exchange feeds its per-season lag window.")
+    print("season, referee or band); a `SinglePartition` exchange feeds a window over seasons (Q6) or referees (Q8B).")
     print("Every exchange over fact rows sits on a partial aggregate, except in the projection (the load).\n")
     print("## Projection of the driver's tables (`match_source_rows`, co-partitioned plan used at scale)\n")
     for s in summarize(match_source_rows(spark, sf_dir)):
