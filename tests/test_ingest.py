@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pitchside.operators.audit import audit, delete_matches
 from pitchside.operators.conform import upsert
+from pitchside.plans import ingest
 from pitchside.plans.ingest import load_seasons
 from pitchside.sources.season_csv import RAW_COLUMNS, HeaderMismatch, read_raw
 from pitchside.sources.star import read_star
@@ -232,3 +233,26 @@ def test_one_pass_dimension_names_match_per_set_names(spark, season_dir):
         per = sorted(tuple(r) for r in distinct_names(cleaned, cols, SOURCE_COL).select("name_key", "name").collect())
         assert one == per
     assert sorted(r.name for r in names.where(F.col("kind") == "season").collect()) == ["2020-2021", "2021-2022"]
+
+
+def test_rows_whose_key_stands_alone_are_not_shuffled(spark):
+    """A key's hashes are shuffled, and the copies; the other rows meet the few repeated keys by broadcast."""
+    rows = spark.range(2000).select((F.col("id") % 1990).cast("string").alias("k"), (F.col("id") % 7).alias("v"), F.lit("a file").alias("f"))
+    got = ingest.numbered_copies(rows, ["k"], ["v"], "n", together=["f"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "LeftAnti, BuildRight" in plan
+    assert got.groupBy("k").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("c")).where("n <> c or c > 2").isEmpty()
+    assert got.count() == 2000
+
+
+def test_spellings_are_folded_once_and_resolve_to_one_team(spark):
+    """Every spelling of a name finds the same team, and the spelling seen first is kept."""
+    columns = ["home_name", "away_name", "referee_name", "season_name", ingest.SOURCE_COL]
+    rows = spark.createDataFrame([("Beşiktaş", "Łódź", None, "2019-2020", "b"), ("besiktas ", "LODZ", " ", "2019-2020", "a"),
+                                  ("Beşiktaş", None, "M Dean", None, "a")], ", ".join(f"{c} string" for c in columns))
+    spelled = ingest.spelled_names(rows)
+    keys = {(r["kind"], r["name"]): (r["name_key"], r["first_file"]) for r in spelled.collect()}
+    assert keys == {("team", "Beşiktaş"): ("besiktas", "a"), ("team", "besiktas "): ("besiktas", "a"), ("team", "Łódź"): ("lodz", "b"),
+                    ("team", "LODZ"): ("lodz", "a"), ("referee", "M Dean"): ("m dean", "a"), ("season", "2019-2020"): ("2019-2020", "a")}
+    first = {(r["kind"], r["name_key"]): r["name"] for r in ingest.first_spellings(spelled).collect()}
+    assert first[("team", "lodz")] == "LODZ" and first[("team", "besiktas")] == min("Beşiktaş", "besiktas ", key=str.encode)
