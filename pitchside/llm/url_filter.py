@@ -32,6 +32,9 @@ RULES = (
 )
 
 _PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)(\?[^#]*)?"
+#: What a page's links are not read from: comments, scripts and styles, also unclosed ones.
+_SILENT = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script|\z)|<style\b.*?(?:</style|\z)"
+_DOTS = r"/\.\.?(?:/|\z)"
 _LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
 _HREF = r"(?is)\bhref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
 _META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
@@ -46,9 +49,17 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _PARTS, 2), F.lit(""))
 
 
+def without_dots(path: Column) -> Column:
+    """A path with ``.`` left out and ``..`` taken back to the segment before it (at the root: to the root)."""
+    segments = F.split(F.substring(path, 2, 1 << 30), "/")
+    walked = F.aggregate(segments, F.lit(""), lambda done, s: F.when(s == "..", F.regexp_replace(done, r"/[^/]*\z", ""))
+                         .when(s == ".", done).otherwise(F.concat(done, F.lit("/"), s)))
+    return F.when(path.rlike(_DOTS), F.concat(walked, F.when(F.element_at(segments, -1).isin(".", ".."), "/").otherwise(""))).otherwise(path)
+
+
 def resource_key(url: Column) -> Column:
-    """What a URL names: host, path and query, without scheme and fragment; null if it has no host."""
-    key = F.concat(host_of(url), path_of(url), F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit("")))
+    """What a URL names: host, path without dot segments, and query, without scheme and fragment; null if it has no host."""
+    key = F.concat(host_of(url), without_dots(path_of(url)), F.coalesce(F.regexp_extract(url, _PARTS, 3), F.lit("")))
     return F.when(host_of(url) != "", key)
 
 
@@ -76,13 +87,17 @@ def matched_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """``(src, dst)`` URL pairs from each page's canonical links and meta refreshes, relative targets resolved."""
+    """``(src, dst)`` URL pairs from each page's canonical links and meta refreshes, relative targets resolved.
+
+    Comments, scripts and styles are passed over; a target that is a fragment alone names its own page and gives no edge.
+    """
     tags = F.concat(
         F.transform(F.regexp_extract_all(F.col("html"), F.lit(_LINK), F.lit(0)), lambda t: F.concat_ws(
             "", F.regexp_extract(t, _HREF, 1), F.regexp_extract(t, _HREF, 2), F.regexp_extract(t, _HREF, 3))),
         F.transform(F.regexp_extract_all(F.col("html"), F.lit(_META), F.lit(0)), lambda t: F.regexp_extract(t, _META_URL, 1)))
     found = pages.select(F.col(url).alias("src"), F.col(html).alias("html")).where(
-        F.col("html").rlike("(?i)canonical|refresh") & (host_of(F.col("src")) != "")).select("src", F.explode(tags).alias("to"))
+        F.col("html").rlike("(?i)canonical|refresh") & (host_of(F.col("src")) != ""))
+    found = found.select("src", F.regexp_replace("html", _SILENT, " ").alias("html")).select("src", F.explode(tags).alias("to"))
     to = F.replace(F.trim("to"), F.lit("&amp;"), F.lit("&"))
     scheme = F.regexp_extract("src", r"(?s)^(.*?)://", 1)
     origin = F.concat(scheme, F.lit("://"), host_of(F.col("src")))
@@ -90,8 +105,9 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     dst = (F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
            .when(to.startswith("//"), F.concat(scheme, F.lit(":"), to))
            .when(to.startswith("/"), F.concat(origin, to))
+           .when(to.startswith("?"), F.concat(origin, path_of(F.col("src")), to))
            .otherwise(F.concat(origin, F.when(folder == "", "/").otherwise(folder), to)))
-    return found.where(to != "").select("src", dst.alias("dst"))
+    return found.where((to != "") & ~to.startswith("#")).select("src", dst.alias("dst"))
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, redirects: DataFrame | None = None,
@@ -143,8 +159,16 @@ def _sql_part(url: str, k: int) -> str:
     return f"regexp_extract(coalesce({url}, ''), {_SQL_PARTS}, {k})"
 
 
+def _sql_path(path: str) -> str:
+    """The path without dot segments, by its list of segments."""
+    segments = f"string_split(substr({path}, 2), '/')"
+    return (f"CASE WHEN regexp_matches({path}, '{_DOTS}') THEN list_reduce({segments}, lambda a, s: "
+            f"CASE WHEN s = '..' THEN regexp_replace(a, '/[^/]*$', '') WHEN s = '.' THEN a ELSE a || '/' || s END, '')"
+            f" || CASE WHEN {segments}[-1] IN ('.', '..') THEN '/' ELSE '' END ELSE {path} END")
+
+
 def _sql_key(url: str) -> str:
-    return f"CASE WHEN {_sql_host(url)} <> '' THEN {_sql_host(url)} || {_sql_part(url, 2)} || {_sql_part(url, 3)} END"
+    return f"CASE WHEN {_sql_host(url)} <> '' THEN {_sql_host(url)} || ({_sql_path(_sql_part(url, 2))}) || {_sql_part(url, 3)} END"
 
 
 def _sql_best(urls: str) -> str:
@@ -157,7 +181,7 @@ def _sql_best(urls: str) -> str:
 _SQL_FOLDER = f"regexp_replace({_sql_part('src', 2)}, '[^/]*$', '')"
 OP5_SQL = rf"""
 WITH RECURSIVE rules(h, p, v) AS (VALUES {_SQL_RULES}),
-parts AS (SELECT page_id, html, url, {_sql_host('url')} AS host, {_sql_part('url', 2)} AS path, {_sql_key('url')} AS key FROM pages),
+parts AS (SELECT page_id, regexp_replace(html, '{_SILENT}', ' ', 'g') AS html, url, {_sql_host('url')} AS host, {_sql_part('url', 2)} AS path, {_sql_key('url')} AS key FROM pages),
 tags AS (
   SELECT url AS src, unnest(regexp_extract_all(html, '(?is)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>')) AS tag, true AS is_link
   FROM parts WHERE host <> ''
@@ -173,9 +197,10 @@ targets AS (
 resolved AS (
   SELECT src, CASE WHEN regexp_matches(dst, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN dst
                    WHEN starts_with(dst, '//') THEN 'x:' || dst
+                   WHEN starts_with(dst, '?') THEN 'x://' || {_sql_host('src')} || {_sql_part('src', 2)} || dst
                    WHEN starts_with(dst, '/') THEN 'x://' || {_sql_host('src')} || dst
                    ELSE 'x://' || {_sql_host('src')} || CASE WHEN {_SQL_FOLDER} = '' THEN '/' ELSE {_SQL_FOLDER} END || dst END AS dst
-  FROM targets WHERE dst <> ''),
+  FROM targets WHERE dst <> '' AND NOT starts_with(dst, '#')),
 edges AS (SELECT {_sql_key('src')} AS a, {_sql_key('dst')} AS b FROM resolved),
 ends AS (SELECT a, b FROM edges WHERE a IS NOT NULL AND b IS NOT NULL UNION SELECT b, a FROM edges WHERE a IS NOT NULL AND b IS NOT NULL),
 reach(a, b) AS (SELECT a, a FROM ends UNION SELECT r.a, e.b FROM reach r JOIN ends e ON e.a = r.b),

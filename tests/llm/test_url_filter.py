@@ -39,3 +39,26 @@ def test_aliases(spark):
     seen = spark.createDataFrame([("http://free.org/a", "http://a.net/es/")], "src string, dst string")
     got = {r.page_id: r.verdict for r in U.judge_urls(pages, redirects=seen).collect()}
     assert got[5] == got[6] == "block"
+
+
+def test_links_that_browsers_do_not_follow_and_dot_segments(spark):
+    canon = lambda u: f'<link rel="canonical" href="{u}">'
+    bad = "http://x.net/es/"
+    pages = spark.createDataFrame([
+        (1, "http://a.org/1", f"<!-- {canon(bad)} -->"), (2, "http://a.org/2", f"<script>x='{canon(bad)}'</SCRIPT>"), (3, "http://a.org/3", f"<p><!-- {canon(bad)}"),
+        (4, "http://a.org/4", f"<style>/* {canon(bad)}</style>"), (5, "http://a.org/5", f"<!-- a --><script>f()</script>{canon(bad)}<!-- b -->"),
+        (6, "http://b.org/dir/p", canon("../q")), (7, "http://b.org/q", canon(bad)), (8, "http://b.org/./x/../q#top", None), (9, "http://b.org/dir/q", None),
+        (10, "http://c.org/p?a=1", canon("?a=2")), (11, "http://c.org/p?a=2", canon(bad)), (12, "http://c.org/", None), (13, "http://d.org/p?a=1", canon("#top")), (14, "http://d.org/", canon(bad))],
+        "page_id int, url string, html string")
+    got = {r.page_id: r.verdict for r in U.judge_urls(pages).collect()}
+    assert {i for i, v in got.items() if v == "block"} == {5, 6, 7, 8, 10, 11, 14} and len(got) == 14
+    import duckdb
+    with duckdb.connect() as db:
+        db.register("pages", pages.toPandas())
+        assert {r[0]: r[-1] for r in db.execute(U.OP5_SQL).fetchall()} == got
+
+
+def test_dot_segments(spark):
+    paths = {"": "", "/": "/", "/a/../q": "/q", "/a/./b/..": "/a/", "/../x": "/x", "/..": "/", "/.": "/", "/a/.b/c..": "/a/.b/c..", "/a//../b": "/a/b"}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert {r.p: r.q for r in rows.select("p", U.without_dots(rows["p"]).alias("q")).collect()} == paths
