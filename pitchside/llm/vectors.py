@@ -1,11 +1,13 @@
 """Embedding near-duplicates with hierarchical navigable small-world graphs, one per shard.
 
 Vectors of one label (and length) are dealt into shards of bounded size by a hash. Each shard is
-indexed by its own graph; the vectors of every shard of the label then query every one of its
-shards, block by block. A query's beam is widened while all of it lies above the threshold, and
+indexed by its own graph; every two shards of a label then meet once and query each other, and each queries
+itself. A query's beam is widened while all of it lies above the threshold, and
 the beams of a whole block are widened until an audit of some of its queries against brute force
-passes. What is found is verified by its cosine in double precision. Links are joined into
-components by distributed star steps.
+passes; a beam as wide as the shard is one product with all of it. What is found is verified by its
+cosine in double precision. A block's links stay in it: it returns one row per linked vector, with
+the number of its links and the smallest key that they reach within the block, so a group of near
+copies costs a row per member and block, not per pair. Distributed star steps join these into components.
 
 Equal vectors of a label form one node with a number of copies, before anything is compared.
 
@@ -161,6 +163,12 @@ class Graph:
         out: list = [None] * len(queries)
         todo = np.arange(len(queries))
         while len(todo):
+            if 4 * width > len(self.unit):  # the next beam is the whole shard
+                for part in range(0, len(todo), 512):
+                    rows = todo[part:part + 512]
+                    for r, high in zip(rows, queries[rows] @ self.unit.T >= threshold, strict=True):
+                        out[r] = np.flatnonzero(high).astype(np.int32)
+                break
             rest = []
             step = max(1, min(512, 4_000_000 // (len(self.unit) + 1), 200_000 // width))
             for part in range(0, len(todo), step):
@@ -168,10 +176,10 @@ class Graph:
                 ids, sims = self.search(queries[rows], width)
                 for r, i, s in zip(rows, ids, sims, strict=True):
                     high = (s >= threshold) & (i >= 0)
-                    if high.all() and width < len(self.unit):
+                    if high.all():
                         rest.append(r)
                     else:
-                        out[r] = i[high]
+                        out[r] = i[high].astype(np.int32)
             todo, width = np.array(rest, np.int64), width * 4
         return out
 
@@ -201,11 +209,45 @@ def audited_links(graph: Graph, queries: np.ndarray, threshold: float, width: in
     while True:
         found = graph.within(queries, slack, width)
         hits = sum(int(truth[j][found[a]].sum()) for j, a in enumerate(asked))
-        if hits >= RECALL * truth.sum() or width >= len(graph.unit):
+        if hits >= RECALL * truth.sum() or 4 * width > len(graph.unit):
             return found
         width *= 2
 
 
+def block_links(graph: Graph, x: np.ndarray, asking: Graph, y: np.ndarray, threshold: float) -> np.ndarray:
+    """Which vectors of one shard are linked to which of another (or of itself), found from either side."""
+    linked = np.zeros((len(x), len(y)), bool)
+    sides = [(graph, x, asking, y, linked)] + ([(asking, y, graph, x, linked.T)] if asking is not graph else [])
+    for held, a, queries, b, marks in sides:
+        lengths = np.linalg.norm(a, axis=1)
+        for q, found in enumerate(audited_links(held, queries.unit, threshold)):
+            marks[found[a[found] @ b[q] / (lengths[found] * np.linalg.norm(b[q])) >= threshold], q] = True
+    if asking is graph:
+        linked |= linked.T.copy()
+        np.fill_diagonal(linked, False)
+    return linked
+
+
+def block_groups(linked: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Rows and columns of each group that the marks connect."""
+    todo, out = linked.any(axis=1), []
+    for start in np.flatnonzero(todo):
+        if not todo[start]:
+            continue
+        todo[start] = False
+        rows, columns, fresh = [np.array([start])], [], np.array([start])
+        open_columns = np.ones(linked.shape[1], bool)
+        while len(fresh):
+            reached = np.flatnonzero(linked[fresh].any(axis=0) & open_columns)
+            open_columns[reached] = False
+            columns.append(reached)
+            fresh = np.flatnonzero(linked[:, reached].any(axis=1) & todo)
+            todo[fresh] = False
+            rows.append(fresh)
+        out.append((np.concatenate(rows), np.concatenate(columns)))
+    return out
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard: int = SHARD, id_col: str = "vec_id",
                  vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row per vector: id, n_links, component_id and kept."""
@@ -219,8 +261,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard: int = SHARD
     nodes = written(rows.where("key is not null").groupBy("key").agg(
         F.count("*").alias("copies"), F.min("id").alias("id"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("dim", F.size("v")), "hnsw-nodes")
     shards = written(nodes.groupBy("label", "dim").agg(F.ceil(F.count("*") / shard).cast("int").alias("shards")), "hnsw-shards")
-    dealt = nodes.join(F.broadcast(shards) if shards.count() <= 10_000 else shards, ["label", "dim"]).withColumn(
-        "shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int")).select("label", "dim", "shards", "shard", "key", "v")
+    dealt = nodes.join(shards, ["label", "dim"]).withColumn(
+        "shard", F.pmod(F.xxhash64("key"), F.col("shards")).cast("int")).select("label", "dim", "shards", "shard", "key", "copies", "v")
 
     def index(part: pa.Table) -> pa.Table:
         part = part.sort_by("key")
@@ -230,43 +272,45 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.93, shard: int = SHARD
         first = lambda c: [part.column(c)[0].as_py()]
         return pa.table({"label": first("label"), "dim": pa.array(first("dim"), pa.int32()), "shards": pa.array(first("shards"), pa.int32()),
                          "shard": pa.array(first("shard"), pa.int32()), "keys": pa.array([part.column("key").to_pylist()], pa.list_(pa.string())),
+                         "copies": pa.array([part.column("copies").to_pylist()], pa.list_(pa.int64())),
                          "vectors": pa.array([raw], pa.binary()), "graph": pa.array([graph.to_bytes()], pa.binary())})
 
     packs = written(dealt.groupBy("label", "dim", "shard").applyInArrow(
-        index, "label string, dim int, shards int, shard int, keys array<string>, vectors binary, graph binary"), "hnsw-shard")
-    every = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
-    indexes = packs.select("label", "dim", "shard", every.alias("asking"), "keys", "vectors", "graph")
-    queries = packs.select("label", "dim", every.alias("shard"), F.col("shard").alias("asking"), F.col("keys").alias("query_keys"), F.col("vectors").alias("query_vectors"))
-
-    def ask(group, left: pa.Table, right: pa.Table) -> pa.Table:
-        dim, a, b = group[1].as_py(), [], []
-        keys, names = left.column("keys")[0].as_py(), right.column("query_keys")[0].as_py()
-        x, unit = _units(left.column("vectors")[0].as_py(), dim)
-        y, asking = _units(right.column("query_vectors")[0].as_py(), dim)
-        graph = Graph.from_bytes(unit, left.column("graph")[0].as_py())
-        lengths = np.linalg.norm(x, axis=1)
-        for q, found in enumerate(audited_links(graph, asking, threshold)):
-            cosine = x[found] @ y[q] / (lengths[found] * np.linalg.norm(y[q]))
-            for f in found[cosine >= threshold]:
-                if keys[f] != names[q]:
-                    a.append(min(keys[f], names[q]))
-                    b.append(max(keys[f], names[q]))
-        return pa.table({"a": pa.array(a, pa.string()), "b": pa.array(b, pa.string())})
-
-    by = ["label", "dim", "shard", "asking"]
-    links = written(indexes.groupBy(*by).cogroup(queries.groupBy(*by)).applyInArrow(ask, "a string, b string").distinct(), "hnsw-links")
-
-    copies = nodes.select("key", "copies")
-    both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(copies.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.sum("copies").alias("linked"))
-    parts = connected_components(links).withColumnRenamed("node", "key")
+        index, "label string, dim int, shards int, shard int, keys array<string>, copies array<bigint>, vectors binary, graph binary"), "hnsw-shard")
+    # Each two shards of a label meet once: a shard stands once for every other one, and once for itself.
+    other = F.explode(F.sequence(F.lit(0), F.col("shards") - 1))
+    packed = packs.select("label", "dim", "shard", other.alias("other"), "keys", "copies", "vectors", "graph").select(
+        "label", "dim", F.least("shard", "other").alias("low"), F.greatest("shard", "other").alias("high"), "shard", "keys", "copies", "vectors", "graph")
+
+    def meet(group: tuple[pa.Scalar, ...], block: pa.Table) -> pa.Table:
+        dim, block = group[1].as_py(), block.sort_by("shard")
+        keys = [np.array(k, object) for k in block.column("keys").to_pylist()]
+        copies = [np.array(c, np.int64) for c in block.column("copies").to_pylist()]
+        x = [_units(v, dim) for v in block.column("vectors").to_pylist()]
+        graphs = [Graph.from_bytes(unit, g) for (_, unit), g in zip(x, block.column("graph").to_pylist(), strict=True)]
+        linked = block_links(graphs[0], x[0][0], graphs[-1], x[-1][0], threshold)
+        sides = [(keys[0], linked @ copies[-1])] + ([(keys[-1], copies[0] @ linked)] if len(keys) > 1 else [])
+        out, lowest = {}, {}
+        for names, counts in sides:
+            out.update((names[k], int(counts[k])) for k in np.flatnonzero(counts))
+        for rows, columns in block_groups(linked):
+            members = {*keys[0][rows], *keys[-1][columns]}
+            lowest.update(dict.fromkeys(members, min(members)))
+        return pa.table({"key": pa.array(list(out), pa.string()), "linked": pa.array(list(out.values()), pa.int64()),
+                         "lowest": pa.array([lowest[k] for k in out], pa.string())})
+
+    links = written(packed.groupBy("label", "dim", "low", "high").applyInArrow(meet, "key string, linked long, lowest string"), "hnsw-links")
+
+    others = links.groupBy("key").agg(F.sum("linked").alias("linked"))
+    parts = connected_components(links.select("key", "lowest")).withColumnRenamed("node", "key")
     placed = nodes.select("key", "copies", "id").join(others, "key", "left").join(parts, "key", "left").select(
         "key", "id", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"), F.coalesce("component", "key").alias("component"))
     smallest = placed.groupBy("component").agg(F.min("id").alias("component_id"))
     named = written(placed.join(smallest, "component").select("key", "n_links", "component_id"), "hnsw-named")
-    out = rows.select("id", "key").join(named, "key", "left").select(
-        "id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-    return out.select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    # Unfit vectors have no key; they pass the join by, or all of them would meet in one task.
+    linked = rows.where("key is not null").select("id", "key").join(named, "key").select("id", "n_links", "component_id")
+    apart = rows.where("key is null").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
+    return linked.union(apart).select(F.col("id").alias(id_col), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def op2_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -65,5 +65,40 @@ def test_recall_of_the_graph():
     assert all(truth[i][f].all() for i, f in enumerate(got))
 
 
+def test_groups_of_a_block():
+    r = np.random.default_rng(4)
+    for shape, share in (((30, 40), 0.03), ((25, 25), 0.02), ((1, 6), 0.5), ((5, 3), 0.0)):
+        marks = r.random(shape) < share
+        got = sorted((sorted(a.tolist()), sorted(b.tolist())) for a, b in V.block_groups(marks))
+        want, left = [], set(np.flatnonzero(marks.any(axis=1)).tolist())
+        while left:
+            a, b, todo = set(), set(), [min(left)]
+            while todo:
+                i = todo.pop()
+                if i not in a:
+                    a.add(i)
+                    b |= set(np.flatnonzero(marks[i]).tolist())
+                    todo += [k for j in b for k in np.flatnonzero(marks[:, j]).tolist() if k not in a]
+            left -= a
+            want.append((sorted(a), sorted(b)))
+        assert got == sorted(want)
+
+
+def test_query_reads_the_whole_table(spark, tmp_path):
+    data = sample(150)
+    df = spark.createDataFrame([(i, v, label) for i, v, label in data], "vec_id long, embedding array<float>, label int")
+    df.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = V.op2_embedding_near_dedup(spark, str(tmp_path)).collect()
+    assert sorted(((g.vec_id, g.n_links, g.component_id) for g in got), key=str) == brute(data)
+    assert all(g.kept == (g.vec_id == g.component_id) for g in got)
+
+
+def test_a_group_of_near_copies_costs_a_row_each(spark):
+    r = np.random.default_rng(11)
+    centre = r.normal(size=12)
+    data = [(i, (centre + 0.02 * r.normal(size=12)).tolist(), 1) for i in range(400)]
+    assert found(spark, data, shard=90) == [(i, 399, 0) for i in sorted(range(400), key=lambda i: str((i, 399, 0)))]
+
+
 def test_empty_table(spark):
     assert found(spark, []) == []
