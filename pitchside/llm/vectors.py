@@ -33,6 +33,8 @@ from .components import connected_components
 SHARD = 8192
 #: Neighbours of a node on the upper layers (twice as many on the lowest), and beam widths.
 DEGREE, BUILD_BEAM, BEAM = 16, 64, 64
+#: Queries that search together: their candidates' vectors stay in the processor's cache.
+AT_ONCE = 64
 #: Queries of an audit, and the share of true links it must find.
 AUDIT, RECALL = 128, 0.995
 
@@ -117,6 +119,9 @@ class Graph:
 
     def _beam(self, queries: np.ndarray, entries: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """The best ``width`` nodes that each query meets on a layer, best first; -1 where there are fewer."""
+        if len(queries) > AT_ONCE:
+            parts = [self._beam(queries[a:a + AT_ONCE], entries[a:a + AT_ONCE], k, width) for a in range(0, len(queries), AT_ONCE)]
+            return np.vstack([p[0] for p in parts]), np.vstack([p[1] for p in parts])
         links, q = self.layers[k], len(queries)
         rows = np.arange(q)[:, None]
         seen = np.zeros((q, len(self.unit) + 1), bool)  # the last column takes what is not a node
@@ -131,7 +136,9 @@ class Graph:
             found[:, 1:][found[:, 1:] == found[:, :-1]] = -1
             found[seen[rows, found]] = -1
             seen[rows, found] = True
-            s = np.where(found >= 0, np.einsum("qd,qkd->qk", queries, self.unit[np.maximum(found, 0)]), -np.inf)
+            s = np.full(found.shape, -np.inf)
+            at = np.nonzero(found >= 0)  # few: most neighbours have been met
+            s[at] = np.einsum("nd,nd->n", queries[at[0]], self.unit[found[at]])
             all_ids, all_sims = np.hstack([ids, found]), np.hstack([sims, s])
             all_open = np.hstack([opened, found < 0])
             best = np.argpartition(-all_sims, width - 1, axis=1)[:, :width]
