@@ -41,15 +41,24 @@ class Numbering(dict):
         return n
 
 
-def pack(numbers: np.ndarray) -> bytes:
-    """Non-negative 32-bit numbers, by byte planes, compressed."""
-    planes = np.ascontiguousarray(numbers, dtype="<u4").view(np.uint8).reshape(-1, 4).T
+def pack(numbers: np.ndarray, width: int = 4) -> bytes:
+    """Non-negative numbers of ``width`` bytes, by byte planes, compressed."""
+    planes = np.ascontiguousarray(numbers, dtype=f"<u{width}").view(np.uint8).reshape(-1, width).T
     return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
-def unpack(packed: bytes) -> np.ndarray:
+def unpack(packed: bytes, width: int = 4) -> np.ndarray:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), dtype=np.uint8)
-    return np.ascontiguousarray(raw.reshape(4, -1).T).view("<u4").reshape(-1)
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(f"<u{width}").reshape(-1)
+
+
+def pack_counts(counts: np.ndarray) -> bytes:
+    """Counts over the whole corpus may pass 32 bits; the upper planes of the others take next to nothing."""
+    return pack(counts, 8)
+
+
+def unpack_counts(packed: bytes) -> np.ndarray:
+    return unpack(packed, 8).astype(np.int64)
 
 
 def block_id(number: int) -> int:

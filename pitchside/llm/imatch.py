@@ -4,13 +4,15 @@ Terms are words between ASCII white space, A-Z lower-cased. The lexicon keeps th
 band of document frequency, ``[LEAST, MOST]`` as shares of all documents: frequent words say
 nothing, and rare ones are errors or names. Document frequencies are counted over all documents;
 tasks pre-count, and packed counts are shuffled. The lexicon can hold no more than (distinct terms
-per document) / LEAST terms, however large the corpus, so it is sent to every task.
+per document) / LEAST terms, however large the corpus, so it is sent to every task. Terms are counted
+in slices by their hash, whose number follows the square root of the number of documents.
 
 A fingerprint has one hash for each of ``SUBSETS`` random parts of the lexicon: the distinct terms
 of the text that the part keeps, sorted, hashed together. Parts keep from an eighth down to a
 1024th of the lexicon, so that short texts and long ones have parts with a few terms, which survive
 an edit elsewhere in the text. The likeness of two fingerprints is the share of equal hashes among
-the parts in which either text has terms.
+the parts in which either text has terms. If no part keeps any term of a text (it has very few), its
+first hash is that of all its terms.
 
 Neighbours: documents are sorted by descending id over range partitions; a task meets a document
 and the next one in one pass, and only the first and last documents of the partitions are matched
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .blocks import pack, unpack
+from .blocks import pack_counts, unpack_counts
 from .common import table, written
 
 #: Document-frequency band of the lexicon, as shares of all documents.
@@ -43,6 +45,8 @@ LEAST, MOST = 1 / 2000, 1 / 5
 LEVELS, PER_LEVEL = 8, 8
 SUBSETS = LEVELS * PER_LEVEL
 FEWEST = 8
+#: log2 of the slices among which the distinct terms of a small corpus are counted.
+SLICE_BITS = 8
 
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 _SEEDS = np.arange(1, SUBSETS + 1, dtype=np.uint64) * _MIX[0]
@@ -69,7 +73,12 @@ def terms_of(text: str, hashes: TermHashes) -> np.ndarray:
     return out
 
 
-def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 2_000_000) -> DataFrame:
+def slice_bits(documents: int) -> int:
+    """log2 of the slices: as many as the square root of the documents, since distinct terms grow more slowly than the corpus."""
+    return max(SLICE_BITS, -(-int(documents).bit_length() // 2))
+
+
+def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 2_000_000, bits: int = SLICE_BITS) -> DataFrame:
     """``(slice, terms, counts)``: packed sorted term hashes and their document counts, each term in one row."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,10 +89,10 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 2
             counts = np.fromiter(seen.values(), np.int64, len(seen))
             order = np.argsort(terms)
             terms, counts = terms[order], counts[order]
-            of = (terms >> np.uint64(56)).astype(np.int64)  # the slice: the first byte of the hash
+            of = (terms >> np.uint64(64 - bits)).astype(np.int64)  # the slice: the first bits of the hash
             starts = np.flatnonzero(np.diff(of, prepend=-1))
             ends = [*starts[1:], len(of)]
-            rows = [(int(of[a]), _pack_terms(terms[a:b]), pack(counts[a:b])) for a, b in zip(starts, ends, strict=False)]
+            rows = [(int(of[a]), _pack_terms(terms[a:b]), pack_counts(counts[a:b])) for a, b in zip(starts, ends, strict=False)]
             part, t, c = zip(*rows, strict=True) if rows else ((), (), ())
             return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(t, pa.binary()), pa.array(c, pa.binary())], names=["slice", "terms", "counts"])
 
@@ -100,8 +109,9 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 2
 
         def out() -> pa.RecordBatch:
             t, inverse = np.unique(np.concatenate(terms), return_inverse=True)
-            c = np.bincount(inverse, weights=np.concatenate(counts)).astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_pack_terms(t)], pa.binary()), pa.array([pack(c)], pa.binary())], names=["slice", "terms", "counts"])
+            c = np.zeros(len(t), np.int64)
+            np.add.at(c, inverse, np.concatenate(counts))
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_pack_terms(t)], pa.binary()), pa.array([pack_counts(c)], pa.binary())], names=["slice", "terms", "counts"])
 
         for batch in batches:
             for part, t, c in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
@@ -110,7 +120,7 @@ def document_frequencies(docs: DataFrame, text_col: str = "text", flush: int = 2
                     terms, counts = [], []
                 now = part
                 terms.append(_unpack_terms(t))
-                counts.append(unpack(c))
+                counts.append(unpack_counts(c))
         if terms:
             yield out()
 
@@ -144,16 +154,16 @@ def lexicon(docs: DataFrame, text_col: str = "text", least: float = LEAST, most:
         for batch in batches:
             kept = []
             for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                c = unpack(c)
+                c = unpack_counts(c)
                 kept.append(_unpack_terms(t)[(c >= low) & (c <= high)].tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.binary())], names=["terms"])
 
-    rows = document_frequencies(docs, text_col).mapInArrow(band, "terms binary").collect()
+    rows = document_frequencies(docs, text_col, bits=slice_bits(n)).mapInArrow(band, "terms binary").collect()
     return np.sort(np.concatenate([np.empty(0, np.uint64), *(np.frombuffer(r["terms"], np.uint64) for r in rows)]))
 
 
 def fingerprint(terms: np.ndarray, lexicon_terms: np.ndarray) -> list[str]:
-    """One hash per random part of the lexicon; empty where the part keeps none of the terms."""
+    """One hash per random part of the lexicon; empty where the part keeps none of the terms, but never in all parts if there is a term."""
     from xxhash import xxh3_64_hexdigest
 
     if len(lexicon_terms):
@@ -166,6 +176,8 @@ def fingerprint(terms: np.ndarray, lexicon_terms: np.ndarray) -> list[str]:
     x = (x ^ (x >> np.uint64(27))) * _MIX[2]
     kept = (x ^ (x >> np.uint64(31))) < _LIMITS[:, None]
     some = kept.any(axis=1)
+    if len(terms) and not some.any():
+        kept[0] = some[0] = True
     return [xxh3_64_hexdigest(terms[kept[k]].tobytes())[:8] if some[k] else "" for k in range(SUBSETS)]
 
 

@@ -46,10 +46,38 @@ def test_lexicon_counts_documents(spark):
     want = sorted(h for h, c in counts.items() if low <= c <= high)
     assert imatch.lexicon(documents(spark, data), "text", 0.05, 0.5).tolist() == want
     merged = [(t, c) for r in imatch.document_frequencies(documents(spark, data), flush=50).collect()
-              for t, c in zip(imatch._unpack_terms(r.terms).tolist(), imatch.unpack(r.counts).tolist(), strict=True)]
+              for t, c in zip(imatch._unpack_terms(r.terms).tolist(), imatch.unpack_counts(r.counts).tolist(), strict=True)]
     assert dict(merged) == dict(counts) and len(merged) == len(counts)
 
 
+def test_texts_with_words_have_fingerprints():
+    lexicon, hashes = np.empty(0, np.uint64), imatch.TermHashes()
+    prints = {".".join(imatch.fingerprint(imatch.terms_of(f"w{i}", hashes), lexicon)).strip(".") for i in range(300)}
+    assert len(prints) == 300 and "" not in prints  # one-word texts: each its own
+    assert set(imatch.fingerprint(imatch.terms_of(" ", hashes), lexicon)) == {""}
+
+
+def test_counts_beyond_32_bits():
+    big = np.array([1, 2**32 + 5, 2**40], np.int64)
+    assert imatch.unpack_counts(imatch.pack_counts(big)).tolist() == big.tolist()
+
+
+def test_slices_follow_the_documents(spark):
+    assert [imatch.slice_bits(n) for n in (0, 1000, 10**6, 10**10)] == [8, 8, 10, 17]
+    counts = lambda bits: {t: c for r in imatch.document_frequencies(documents(spark), flush=50, bits=bits).collect()
+                           for t, c in zip(imatch._unpack_terms(r.terms).tolist(), imatch.unpack_counts(r.counts).tolist(), strict=True)}
+    assert counts(8) == counts(12)
+
+
+def test_an_id_on_several_texts(spark):
+    data = rows()  # ids 3 and 100 twice, and two rows without one
+    got = imatch.fingerprints(documents(spark, data)).collect()
+    digest = lambda r: (str(r[0]), len(r[1] or ""))
+    assert sorted((str(g.doc_id), g.n_chars) for g in got) == sorted(map(digest, data))
+    again = imatch.fingerprints(documents(spark, data).repartition(5)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
 def test_edits_are_nearer_than_strangers(spark):
     r = random.Random(6)
     words = [f"w{i}" for i in range(3000)]
