@@ -109,6 +109,18 @@ def test_projection_aggregates_on_the_order_key_partitioning(spark):
     assert any("hashpartitioning(l_orderkey#" in l and "l_linenumber" not in l for l in line_exchanges)
 
 
+def test_projection_has_as_many_parts_as_its_lines_need(spark, monkeypatch):
+    """A task of the join sorts and groups a bounded number of lines; parts are not merged by size."""
+    from pitchside.sources import fixtures
+    from tests.conftest import SF001
+    monkeypatch.setattr(fixtures, "LINES_AT_ONCE", 200)
+    lines = spark.read.parquet(f"{SF001}/lineitem.parquet")
+    want = -(-lines.count() // 200)
+    rows = fixtures.match_source_rows(spark, SF001)
+    assert want > int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert rows.rdd.getNumPartitions() == want
+
+
 def test_projection_keeps_every_order_year(spark):
     from pitchside.sources.fixtures import fixture_star
     from tests.conftest import SF001
