@@ -1,8 +1,10 @@
 """I1-I12 on hand-written season files (FIXTURES.md §1 cases) in fresh temp folders."""
 
 import os
+import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from pitchside.operators.audit import audit, delete_matches
@@ -245,6 +247,45 @@ def test_rows_whose_key_stands_alone_are_not_shuffled(spark):
     assert got.count() == 2000
 
 
+def test_copies_of_a_line_are_shuffled_once(spark):
+    """Rows of a repeated key meet by one exchange of whole rows, however many there are; the crowded keys' way is not taken."""
+    rows = spark.range(4000).select((F.col("id") % 500).cast("string").alias("k"), (F.col("id") % 7).alias("v"), F.lit("a file").alias("f"))
+    got = ingest.numbered_copies(rows, ["k"], ["v"], "n")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange (?:hash|range|round)\w*partitioning", plan, re.I)) == 1
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v", "f")).cast("long"))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_facts_are_derived_once_for_several_readers(spark, season_dir):
+    """Match and odds are views of one written table; nothing of the numbering is left in their plans."""
+    result = ingest.load_frames(read_raw(spark, season_dir))
+    held = ingest.with_written_facts(result).star
+    for name in ("match", "match_odds"):
+        plan = getattr(held, name)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "loaded-facts" in plan
+        assert sorted(map(str, getattr(held, name).collect())) == sorted(map(str, getattr(result.star, name).collect()))
+
+
+def test_season_files_are_kept_as_a_table(spark):
+    """A checkpoint of the rows took ten times the space."""
+    from pitchside.plans.ingest_outputs import season_files
+    from tests.conftest import SF001
+    rows = season_files(spark, SF001)
+    assert "FileScan parquet" in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_audit_tells_nulls_apart(spark, star001):
+    """Rows with NULL in different columns are different content, and equal rows are not."""
+    from dataclasses import replace
+    one = star001.match.limit(1)
+    other = [c for c in one.columns if c != "match_id"]
+    put = lambda n, **null: one.select(F.lit(n).alias("match_id"), *[F.lit(None if c in null or c == "match_date" else 1).cast(one.schema[c].dataType).alias(c) for c in other])
+    match = put("a", home_shots=1).unionByName(put("b", away_shots=1)).unionByName(put("c", away_shots=1)).unionByName(put("d", home_shots=1, away_shots=1))
+    found = {r.rule: r.violations for r in audit(replace(star001, match=match)).collect()}
+    assert found["duplicate match content"] == 1
+
+
 def test_spellings_are_folded_once_and_resolve_to_one_team(spark):
     """Every spelling of a name finds the same team, and the spelling seen first is kept."""
     columns = ["home_name", "away_name", "referee_name", "season_name", ingest.SOURCE_COL]
