@@ -93,7 +93,8 @@ def _whitened(distinct: DataFrame, width: int, components: int) -> DataFrame:
         return facts.select("key", "n", "deviation", F.inline("named")).select("*", F.lit(None).cast("double").alias("whitened"), F.lit(0.0).alias("identity_error"))
     projected = _product(matrix, _small(spark, vectors[:, :used] / np.sqrt(values[:used]), min(width, BLOCK_COLUMNS)))
     error = float(np.abs(_scatter(projected) / n - np.eye(used)).max())
-    back = callMLlibFunc("getIndexedRows", projected.toIndexedRowMatrix()._java_matrix_wrapper._java_model)
+    indexed = projected.toIndexedRowMatrix()  # held by a name: Python gives a matrix up to the JVM as soon as nothing refers to it
+    back = callMLlibFunc("getIndexedRows", indexed._java_matrix_wrapper._java_model)
     white = written(back.select(F.col("index").alias("place"), vector_to_array("vector").alias("white")), "whitening-white")
     each = facts.join(white, "place").select("key", "n", "deviation", "white", F.inline("named"))
     return each.select("key", "n", "deviation", "component", "explained", F.get("white", F.col("component") - 1).alias("whitened"), F.lit(error).alias("identity_error"))

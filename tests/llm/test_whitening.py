@@ -1,5 +1,8 @@
 """Whitened embeddings against numpy on small tables."""
 
+import gc
+import time
+
 import numpy as np
 import pytest
 
@@ -54,6 +57,20 @@ def test_lengths_without_variance_and_large_entries(spark):
     assert np.isnan(rows[5, 1].deviation) and abs(rows[5, 1].whitened) > 1
 
 
+def test_matrices_are_held_while_the_jvm_reads_them(spark, monkeypatch):
+    call, held = whitening.callMLlibFunc, []
+
+    def late(name, model):
+        gc.collect()
+        time.sleep(1)  # what nothing refers to is given up meanwhile
+        held.append(model.toString())
+        return call(name, model)
+
+    monkeypatch.setattr(whitening, "callMLlibFunc", late)
+    got = whitening.whiten(frame(spark, [(i, [float(i), float(i * i % 7), 1.0 / (i + 1)]) for i in range(20)]))
+    assert got.count() == 3 * 20 and held
+
+
 def test_empty(spark):
     got = whitening.whiten(frame(spark, [(1, None)]))
     assert got.count() == 0 and got.columns[:7] == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
