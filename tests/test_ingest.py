@@ -297,3 +297,35 @@ def test_spellings_are_folded_once_and_resolve_to_one_team(spark):
                     ("team", "LODZ"): ("lodz", "a"), ("referee", "M Dean"): ("m dean", "a"), ("season", "2019-2020"): ("2019-2020", "a")}
     first = {(r["kind"], r["name_key"]): r["name"] for r in ingest.first_spellings(spelled).collect()}
     assert first[("team", "lodz")] == "LODZ" and first[("team", "besiktas")] == min("Beşiktaş", "besiktas ", key=str.encode)
+
+
+def steps_before_rows_move(df):
+    """For every scan of ``spark.range`` in the plan, its steps up to the first exchange."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [plan[:at.start()].rsplit("Exchange", 1)[1] for at in re.finditer(r"Range \(", plan)]
+
+
+def match_rows(spark, n=600):
+    pick = lambda values: F.array(*map(F.lit, values))[(F.col("id") % len(values)).cast("int")]
+    return spark.range(n).select(pick(["Arsenal", "arsenal ", " ", None, "Łódź"]).alias("home_name"), pick(["LODZ", "Chelsea", None]).alias("away_name"),
+                                 pick(["M Dean", "m dean"]).alias("referee_name"), pick(["2020-2021", None, "2019-2020"]).alias("season_name"),
+                                 pick(["b", "a", None, "c"]).alias(ingest.SOURCE_COL))
+
+
+def test_names_are_made_distinct_without_sorting_the_rows(spark):
+    """The smallest file of a name is sought among distinct names, not by sorting every row of a task."""
+    from pitchside.operators.conform import distinct_names
+    rows = match_rows(spark)
+    per_set = distinct_names(rows, ["home_name", "away_name"], ingest.SOURCE_COL)
+    for names in (ingest.dimension_names(rows), ingest.spelled_names(rows), per_set):
+        steps = steps_before_rows_move(names)
+        assert steps and all("HashAggregate" in s and "Sort" not in s for s in steps)
+    first = {}
+    for r in rows.collect():
+        for name in (r.home_name, r.away_name):
+            if name and name.strip():
+                seen = (r[ingest.SOURCE_COL] or "", name.encode())
+                key = name.rstrip().lower().replace("ł", "l").replace("ó", "o").replace("ź", "z")
+                first[key] = min(first.get(key, seen), seen)
+    want = sorted((k, name.decode()) for k, (_, name) in first.items())
+    assert sorted(map(tuple, per_set.collect())) == want
