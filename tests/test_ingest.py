@@ -329,3 +329,12 @@ def test_names_are_made_distinct_without_sorting_the_rows(spark):
                 first[key] = min(first.get(key, seen), seen)
     want = sorted((k, name.decode()) for k, (_, name) in first.items())
     assert sorted(map(tuple, per_set.collect())) == want
+
+
+def test_seasons_are_made_distinct_without_sorting_the_rows(spark):
+    """The upsert takes the largest of a season's rows; before it there is one row per label, not every row of a task."""
+    existing = spark.createDataFrame([(1, "2019-2020", 1, 1), (2, "2018-2019", 2018, 2019)], "season_id long, name string, start_year short, end_year short")
+    got = upsert(existing, ingest.season_rows(match_rows(spark)), "name", "season_id", ["start_year", "end_year"])
+    steps = steps_before_rows_move(got)
+    assert steps and all("HashAggregate" in s and "Sort" not in s for s in steps)
+    assert sorted(map(tuple, got.collect())) == [(1, "2019-2020", 2019, 2020), (2, "2018-2019", 2018, 2019), (3, "2020-2021", 2020, 2021)]
