@@ -338,3 +338,27 @@ def test_seasons_are_made_distinct_without_sorting_the_rows(spark):
     steps = steps_before_rows_move(got)
     assert steps and all("HashAggregate" in s and "Sort" not in s for s in steps)
     assert sorted(map(tuple, got.collect())) == [(1, "2019-2020", 2019, 2020), (2, "2018-2019", 2018, 2019), (3, "2020-2021", 2020, 2021)]
+
+
+def test_many_repeated_keys_are_numbered_with_one_exchange(spark, monkeypatch):
+    """Keys too many to be broadcast are not joined to the rows, which would shuffle them before the window does; crowds go their own way."""
+    monkeypatch.setattr(ingest, "FEW_KEYS", 10)
+    rows = spark.range(4000).select(F.when(F.col("id") < 3000, F.col("id") % 500).otherwise(F.col("id")).cast("string").alias("k"), (F.col("id") % 7).alias("v"), F.lit("a file").alias("f"))
+    want = sorted(map(tuple, rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v", "f")).cast("long")).collect()))
+    got = ingest.numbered_copies(rows, ["k"], ["v"], "n")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert len(re.findall(r"Exchange (?:hash|range|round)\w*partitioning", plan, re.I)) == 1 and "Join" not in plan
+    assert sorted(map(tuple, got.collect())) == want
+    monkeypatch.setattr(ingest, "COPIES_AT_ONCE", 4)
+    assert sorted(map(tuple, ingest.numbered_copies(rows, ["k"], ["v"], "n").collect())) == want
+
+
+@pytest.mark.parametrize("few", [10, 10_000])
+def test_turns_hold_every_row_once_and_all_copies_of_a_key(spark, monkeypatch, few):
+    monkeypatch.setattr(ingest, "FEW_KEYS", few)
+    rows = spark.range(2000).select((F.col("id") % 1300).cast("string").alias("k"), (F.col("id") % 7).alias("v"), F.lit("a file").alias("f"))
+    parts = [list(map(tuple, p.collect())) for p in ingest.numbered_in_turns(rows, ["k"], ["v"], "n", ["f"], 3)]
+    want = rows.withColumn("n", F.row_number().over(Window.partitionBy("k").orderBy("v", "f")).cast("long"))
+    assert sorted(r for p in parts for r in p) == sorted(map(tuple, want.collect()))
+    keys = [{r[0] for r in p} for p in parts]
+    assert all(keys) and sum(map(len, keys)) == 1300
