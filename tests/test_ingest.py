@@ -362,3 +362,19 @@ def test_turns_hold_every_row_once_and_all_copies_of_a_key(spark, monkeypatch, f
     assert sorted(r for p in parts for r in p) == sorted(map(tuple, want.collect()))
     keys = [{r[0] for r in p} for p in parts]
     assert all(keys) and sum(map(len, keys)) == 1300
+
+
+def test_what_the_facts_came_from_goes_and_odds_join_moves_no_fact(spark, monkeypatch):
+    """Of a star with written facts only these stay in the shared folder, and match and odds come together without an exchange."""
+    from urllib.parse import urlparse
+    from pitchside.plans import ingest_outputs
+    from pitchside.session import checkpoint_root
+    from tests.conftest import SF001
+    names = lambda: {n.rsplit("-", 1)[0] for n in set(os.listdir(root)) - before}
+    root = urlparse(checkpoint_root(spark)).path
+    before = set(os.listdir(root))
+    star = ingest_outputs._star_with_facts(spark, SF001)
+    assert "loaded-facts" in names() and not {"season-files", "cleaned-rows"} & names()
+    joined = star.matches_with_odds()
+    assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, joined.select("match_id", "season_id", "home_win_odds").collect())) == sorted(map(str, star.match.join(star.match_odds, "match_id").select("match_id", "season_id", "home_win_odds").collect()))
