@@ -378,3 +378,16 @@ def test_what_the_facts_came_from_goes_and_odds_join_moves_no_fact(spark, monkey
     joined = star.matches_with_odds()
     assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(str, joined.select("match_id", "season_id", "home_win_odds").collect())) == sorted(map(str, star.match.join(star.match_odds, "match_id").select("match_id", "season_id", "home_win_odds").collect()))
+
+
+def test_a_load_in_turns_is_the_same_load(spark, season_dir, tmp_path, monkeypatch):
+    """Facts that are written turn by turn are those that are written at once, in memory and in the stored star."""
+    plain = lambda star: sorted(map(str, star.matches_with_odds().collect()))
+    once = load_seasons(spark, season_dir, str(tmp_path / "once"))
+    monkeypatch.setattr(ingest, "LINES_A_TURN", 3)
+    turns = load_seasons(spark, season_dir, str(tmp_path / "turns"))
+    assert turns.counts == once.counts and turns.counts.matches == 6
+    assert plain(turns.star) == plain(once.star)
+    result = ingest.load_frames(read_raw(spark, season_dir), in_turns=True)
+    assert len(result.turns) > 1
+    assert sorted(map(str, ingest.with_written_facts(result).star.match.collect())) == sorted(map(str, ingest.load_frames(read_raw(spark, season_dir)).star.match.collect()))
