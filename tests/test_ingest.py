@@ -391,3 +391,14 @@ def test_a_load_in_turns_is_the_same_load(spark, season_dir, tmp_path, monkeypat
     result = ingest.load_frames(read_raw(spark, season_dir), in_turns=True)
     assert len(result.turns) > 1
     assert sorted(map(str, ingest.with_written_facts(result).star.match.collect())) == sorted(map(str, ingest.load_frames(read_raw(spark, season_dir)).star.match.collect()))
+
+
+def test_audit_moves_digests_one_kind_of_key_at_a_time(spark, star001, monkeypatch):
+    """What is shuffled is numbers only, and the keys that every match has of its own do not lie on disk together."""
+    from pitchside.operators import audit as module
+    moved, real = [], module.written
+    monkeypatch.setattr(module, "written", lambda df, name: moved.append(df._jdf.queryExecution().executedPlan().toString()) or real(df, name))
+    assert {r.violations for r in audit(star001).collect()} == {0}
+    assert len(moved) == 3
+    for plan in moved:
+        assert re.search(r"hashpartitioning\(kind#\d+, high#\d+L?, low#\d+L?, \d+\)", plan)
