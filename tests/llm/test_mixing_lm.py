@@ -165,3 +165,85 @@ def test_words_that_begin_alike_are_spread_over_slices(spark):
 
 def test_empty_table(spark):
     assert lm.score_texts(documents(spark, []), lm.held_out()).count() == 0
+
+
+def plain_pair_score(texts, learnt, scorer, experts):
+    """As ``plain_score``, each unit after the one before it (None at a start)."""
+    alone = [Counter(u for e, t in learnt if e == k for u in lm.units_of(t)) for k in range(experts)]
+    pairs = [Counter(p for e, t in learnt if e == k for p in zip([None, *lm.units_of(t)], lm.units_of(t))) for k in range(experts)]
+    before = [Counter() for _ in range(experts)]
+    for k in range(experts):
+        for (a, _), n in pairs[k].items():
+            before[k][a] += n
+    power = [sum(n == 1 for n in p.values()) / max(len(p), 1) for p in pairs]
+    scale = [len(pairs[k]) / max(sum(n ** power[k] for n in before[k].values()), 1e-300) for k in range(experts)]
+    out = []
+    for text in texts:
+        each = [math.log(1 / experts)] * experts
+        units = lm.units_of(text)
+        for a, u in zip([None, *units], units):
+            spelt = scorer.log10([u])[0]
+            for k in range(experts):
+                new, n = sum(c == 1 for c in alone[k].values()) + 1, sum(alone[k].values())
+                p = (alone[k][u] + new * 10 ** spelt[k]) / (n + new)
+                kinds = scale[k] * before[k][a] ** power[k] if before[k][a] else 1
+                each[k] += math.log((pairs[k][a, u] + kinds * p) / (before[k][a] + kinds))
+        top = max(each)
+        out.append((top + math.log(sum(math.exp(x - top) for x in each))) / math.log(10))
+    return out
+
+
+def test_scores_after_the_unit_before_against_a_plain_scorer(spark, monkeypatch, tmp_path):
+    """The query's scores, in many blocks and slices; texts of the same units in another order score apart."""
+    words = ["alpha", "beta", "gamma", "delta", "eps"]
+    data = [(i, " ".join(words[(i + k * (1 + i % 2)) % 5] for k in range(2 + i % 9)), ["en", "de"][i % 2], "a", *([None] * 8)) for i in range(60)]
+    data += [(60, None, "en", *([None] * 9)), (61, "alpha beta gamma", "en", "a", *([None] * 8)), (62, "gamma alpha beta", "en", "a", *([None] * 8)), (63, "beta new alpha", "fr", "a", *([None] * 8))]
+    docs = documents(spark, data).coalesce(1)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    learn, kept = lm._learn_weights, []
+    monkeypatch.setattr(lm, "_learn_weights", lambda *a: kept.append(learn(*a)) or kept[-1])
+    got = {g.doc_id: g for g in lm.op4_lm_scoring(spark, str(tmp_path)).collect()}
+    trained = Counter(d[2] for d in data if not is_held(d[0]))
+    groups = sorted(trained, key=lambda g: (-trained[g], g))
+    learnt = [(groups.index(d[2]), d[1]) for d in data if not is_held(d[0])]
+    n = len(groups)
+    units = lm._merged_units(lm._unit_blocks(docs, "doc_id", "text", "lang", lm.held_out(), groups, 10**6), n)
+    model = lm.Model(lm.huffman(lm._symbol_counts(units, n)))
+    model = lm.replace(model, tables=lm._count_tables(units, model.codes, n))
+    want = plain_pair_score([d[1] for d in data], learnt, lm.Scorer(lm.replace(model, weights=kept[0]), n), n)
+    for d, w in zip(data, want, strict=True):
+        assert got[d[0]].score == pytest.approx(w, rel=1e-4)
+    assert got[61].score != pytest.approx(got[62].score, rel=1e-3)
+    # Blocks of a few texts, dealt over tasks: the same pairs are counted.
+    many = {g.doc_id: g.score for g in lm.score_texts(documents(spark, data), lm.held_out(), limit=300, pairs=True).collect()}
+    assert all(many[k] == pytest.approx(g.score, rel=0.02) for k, g in got.items())
+
+
+def test_units_after_another_sum_to_one():
+    rng = np.random.default_rng(5)
+    alone = rng.dirichlet(np.ones(40))
+    for pairs in (rng.integers(0, 5, 40), np.zeros(40, np.int64)):
+        for before in (0, -1):  # after a unit, and at a text's start
+            occurs = np.zeros(41)
+            occurs[before] = pairs.sum()
+            got = np.exp(lm.after_another(np.log(alone), occurs, 0.7, 1.3, np.full(40, before), np.arange(40), pairs))
+            assert got.sum() == pytest.approx(1.0)
+            if not pairs.any():
+                assert got == pytest.approx(alone)
+    # A unit whose probability is no number any more.
+    assert lm.after_another(np.array([-9000.0]), np.array([3, 2]), 1.0, 1.0, np.array([0]), np.array([0]), np.array([0])) == pytest.approx(-9000.0 + math.log(3 / 6))
+
+
+def test_pairs_of_texts_are_found_with_their_places():
+    seqs = [np.array(s, np.uint32) for s in ([0, 1, 0, 1, 2], [1], [0, 1, 2])]
+    found = lm.Pairs(seqs, lm.unit_hashes([b"a ", b"b ", b"c  "]))
+    want = [(-1, 0), (0, 1), (1, 0), (0, 1), (1, 2), (-1, 1), (-1, 0), (0, 1), (1, 2)]
+    assert [(int(found.before[k]), int(found.now[k])) for k in found.of] == want
+    counts = found.counts(2, np.array([0, -1, 1]))
+    assert {(int(a), int(u)): tuple(c) for a, u, c in zip(found.before, found.now, counts.T.tolist())} == {(-1, 0): (1, 1), (0, 1): (2, 1), (1, 0): (1, 0), (1, 2): (1, 1), (-1, 1): (0, 0)}
+    parts = list(found.slices(1000))
+    assert [a for _, a, _ in parts] + [len(found.codes)] == [0] + [b for *_, b in parts] and sorted({k for k, *_ in parts}) == [k for k, *_ in parts]
+
+
+def test_empty_table_has_no_pairs(spark):
+    assert lm.score_texts(documents(spark, []), lm.held_out(), pairs=True).count() == 0
